@@ -1,6 +1,6 @@
 """Importing this module registers every query."""
 
-from . import binning_queries  # noqa: F401
+from . import binning_queries, ensemble_queries, rollup_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -175,14 +175,14 @@ ZONE_EDGES = (
     "zc as (select n_nationkey as zone, n_regionkey, (n_nationkey * 67 % 320) - 160.0::double + 0.125::double as cx, "
     "(n_nationkey * 31 % 140) - 70.0::double + 0.375::double as cy from nation), "
     f"zv as (select zone, n_regionkey, i, cx + a * {ZONE_SCALE}::double as x, cy + b * {ZONE_SCALE}::double as y from zc cross join oct), "
-    "edges as (select p.zone, p.n_regionkey, p.x as ax, p.y as ay, q.x as bx, q.y as by from zv p join zv q on p.zone = q.zone and q.i = p.i + 1)"
+    "edges as (select p.zone, p.n_regionkey, p.x as x1, p.y as y1, q.x as x2, q.y as y2 from zv p join zv q on p.zone = q.zone and q.i = p.i + 1)"
 )
 
 
 def sql_in_zone(points: str, keys: str, x: str = "lon", y: str = "lat") -> str:
     """CTE body: keys + zone of every containing octagon."""
     return (
-        f"select {keys}, zone from {points} cross join edges where (ay > {y}) != (by > {y}) and {x} < (bx - ax) * ({y} - ay) / (by - ay) + ax "
+        f"select {keys}, zone from {points} cross join edges where (y1 > {y}) <> (y2 > {y}) and {x} < (x2 - x1) * ({y} - y1) / (y2 - y1) + x1 "
         f"group by {keys}, zone having count(*) % 2 = 1"
     )
 

@@ -57,12 +57,11 @@ def state_index(runoff, discharge, net_acc) -> Column:
 
 def constrain_rates(df: DataFrame) -> DataFrame:
     """Rates are not negative, refreeze stays within melt, runoff and smb follow (FN18)."""
-    zero = F.lit(0.0)
-    df = df.select(
-        *[c for c in df.columns if c not in ("acc", "rain", "melt", "refreeze", "runoff", "smb")],
-        *[F.greatest(F.col(c), zero).alias(c) for c in ("acc", "rain", "melt") if c in df.columns],
-        F.least(F.greatest(F.col("refreeze"), zero), F.greatest(F.col("melt"), zero)).alias("refreeze"),
-    )
+    def floor0(c: str) -> Column:  # keeps NULL, which greatest() would not
+        return F.when(F.col(c) < 0, F.lit(0.0)).otherwise(F.col(c))
+
+    df = df.withColumns({c: floor0(c) for c in ("acc", "rain", "melt", "refreeze") if c in df.columns})
+    df = df.withColumn("refreeze", F.when(F.col("refreeze") > F.col("melt"), F.col("melt")).otherwise(F.col("refreeze")))
     return df.withColumn("runoff", F.col("melt") - F.col("refreeze")).withColumn(
         "smb", F.col("acc") - F.col("runoff") - F.col("ec")
     )

@@ -183,7 +183,7 @@ def steady_discharge(df: DataFrame, keys: list[str], date: str, smb: str, area:
 def fill_discharge(observed: DataFrame, modelled: DataFrame, on: list[str]) -> DataFrame:
     """Observed discharge plus the modelled one for unobserved ids; negatives become zero (FIT14)."""
     u = observed.unionByName(modelled.join(observed.select(*on), on, "left_anti"), allowMissingColumns=True)
-    return u.withColumn("discharge_gtyr", F.greatest(F.lit(0.0), F.col("discharge_gtyr")))
+    return u.withColumn("discharge_gtyr", F.when(F.col("discharge_gtyr") < 0, F.lit(0.0)).otherwise(F.col("discharge_gtyr")))
 
 
 def allocate_by_area(tiles: DataFrame, bodies: DataFrame, tile: str, value: str, area: str) -> DataFrame:

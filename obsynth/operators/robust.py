@@ -111,10 +111,9 @@ def group_mad(df: DataFrame, keys: list[str], value: str | Column, limit: int |
     """keys, median and median absolute deviation (AGG3)."""
     d = df.select(*keys, col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
     small, large = split_hot(d, keys, limit, hot)
-    s = small.groupBy(*keys).agg(F.sort_array(F.collect_list("_v")).alias("_a"))
-    s = s.withColumn("median", _mid("_a"))
-    s = s.withColumn("_d", F.sort_array(F.transform("_a", lambda x: F.abs(x - F.col("median")))))
-    out = s.select(*keys, "median", _mid("_d").alias("mad"))
+    s = small.groupBy(*keys).agg(F.collect_list("_v").alias("_l"))
+    pair = let(F.sort_array("_l"), lambda a: let(_mid(a), lambda m: F.struct(m.alias("median"), _mad(a, m).alias("mad"))))
+    out = s.select(*keys, pair.alias("_p")).select(*keys, "_p.median", "_p.mad")
     if large is None:
         return out
     med = _large_quantiles(large, keys, {"median": 0.5})
@@ -133,14 +132,35 @@ def with_nmad(df: DataFrame, keys: list[str], value: str, name: str = "nmad", li
     return j.withColumn(name, score).drop("_med", "_mad")
 
 
-def _mid(arr: str) -> Column:
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once.  A plain column would be inlined into the body by the
+    optimizer and, inside an array lambda, computed again for every element."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _mid(a: Column) -> Column:
     """Median of a sorted array."""
-    n = F.size(arr)
-    lo = F.element_at(arr, F.floor((n + 1) / 2).cast("int"))
-    hi = F.element_at(arr, F.floor(n / 2 + 1).cast("int"))
+    n = F.size(a)
+    lo = F.element_at(a, F.floor((n + 1) / 2).cast("int"))
+    hi = F.element_at(a, F.floor(n / 2 + 1).cast("int"))
     return (lo + hi) / 2
 
 
+def _mad(a: Column, m: Column) -> Column:
+    return let(F.sort_array(F.transform(a, lambda x: F.abs(x - m))), _mid)
+
+
+def _trimmed_mean(values: Column, k: Column) -> Column:
+    """Mean of the values within k MADs of the median; the values at the median where the MAD is zero; the
+    median itself where no value is kept (an even group with its spread around a mid-point)."""
+
+    def mean(a: Column, m: Column, cut: Column) -> Column:
+        kept = F.filter(a, lambda x: (F.abs(x - m) < cut) | (x == m))
+        return let(kept, lambda q: F.when(F.size(q) > 0, F.aggregate(q, F.lit(0.0), lambda acc, x: acc + x) / F.size(q)).otherwise(m))
+
+    return let(F.sort_array(values), lambda a: let(_mid(a), lambda m: let(k * _mad(a, m), lambda cut: mean(a, m, cut))))
+
+
 def bin_reducer(method: str) -> float | str:
     """'median', 'mean' or the sigma count of an ``nmadK`` method (AGG2)."""
     m = re.fullmatch(r"nmad(\d+(?:\.\d+)?)", method)
@@ -172,16 +192,8 @@ def reduce_bins(
         return got.unionByName(big)
 
     k = F.lit(how * MAD_TO_SIGMA)
-    s = small.groupBy(*keys).agg(F.sort_array(F.collect_list("_v")).alias("_a"))
-    s = s.withColumn("_med", _mid("_a"))
-    s = s.withColumn("_d", F.sort_array(F.transform("_a", lambda x: F.abs(x - F.col("_med")))))
-    s = s.withColumn("_cut", k * _mid("_d"))
-    s = s.withColumn(
-        "_k", F.filter("_a", lambda x: (F.abs(x - F.col("_med")) < F.col("_cut")) | (x == F.col("_med")))
-    )
-    mean = F.aggregate("_k", F.lit(0.0), lambda acc, x: acc + x) / F.size("_k")
-    # an even group with zero-width spread around a mid-point keeps no value: use the median itself
-    s = s.select(*keys, F.when(F.size("_k") > 0, mean).otherwise(F.col("_med")).alias(out), F.size("_a").cast("long").alias("nobs"))
+    s = small.groupBy(*keys).agg(F.collect_list("_v").alias("_l"), nobs)
+    s = s.select(*keys, _trimmed_mean(F.col("_l"), k).alias(out), "nobs")
     if large is None:
         return s
     med = _large_quantiles(large, keys, {"_med": 0.5})

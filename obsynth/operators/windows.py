@@ -25,8 +25,8 @@ def rate_from_cumulative(df: DataFrame, keys: list[str], date: str, value: str,
 def monotone_repair(df: DataFrame, keys: list[str], order: str, value: str, out: str = "repaired") -> DataFrame:
     """First value plus the running sum of the non-negative increments (WIN2)."""
     w = W.partitionBy(*keys).orderBy(order)
-    step = F.greatest(F.lit(0.0), F.col(value) - F.lag(value).over(w))
-    df = df.withColumn("_step", F.coalesce(step, F.col(value)))
+    step = F.col(value) - F.lag(value).over(w)
+    df = df.withColumn("_step", F.when(step.isNull(), F.col(value)).when(step < 0, F.lit(0.0)).otherwise(step))
     return df.withColumn(out, F.sum("_step").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("_step")
 
 
