@@ -433,7 +433,7 @@ def misfit_per_cell(spark, d):
     with_(
         "s as (select o_custkey as id, cast(date_trunc('month', o_orderdate) as date) as day, sum(o_totalprice) / 1e4 as smb from orders group by 1, 2)",
         f"g as (select id, regr_slope(smb, {sql_decyear('day')}) * (id % 40 + 1) / 1000.0 as q from s where (id % 180) - 90 < -60 group by id)",
-        "o as (select c_custkey as id, c_acctbal / 1000 as q from customer where c_custkey % 9 = 0)",
+        "o as (select c_custkey as id, c_acctbal / 1000 as q from customer where c_mktsegment = 'BUILDING')",
         "u as (select id, q from o union all select id, q from g where id not in (select id from o))",
     )
     + f"select id, {r('greatest(0.0, q)')} as q from u where q is not null and not isnan(q)",
@@ -442,7 +442,7 @@ def steady_discharge_filled(spark, d):
     o = v.table(spark, d, "orders").groupBy(F.col("o_custkey").alias("id"), F.trunc("o_orderdate", "month").alias("day")).agg((F.sum("o_totalprice") / 1e4).alias("smb"))
     o = o.withColumn("lat", (F.col("id") % 180 - 90).cast("double")).withColumn("area", (F.col("id") % 40 + 1).cast("double"))
     m = fit.steady_discharge(o, ["id"], "day", "smb", "area", "lat", -60.0)
-    seen = v.table(spark, d, "customer").where("c_custkey % 9 = 0").select(F.col("c_custkey").alias("id"), (F.col("c_acctbal") / 1000).alias("discharge_gtyr"))
+    seen = v.table(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("id"), (F.col("c_acctbal") / 1000).alias("discharge_gtyr"))
     f = fit.fill_discharge(seen, m, ["id"]).where("discharge_gtyr is not null")
     return f.select("id", fixed("discharge_gtyr").alias("q"))
 

@@ -268,7 +268,7 @@ def align(cube: DataFrame, offsets: DataFrame, keys: list[str], mission: str = "
 
 def fill_empty_tiles(
     cube: DataFrame, levels: DataFrame, targets: DataFrame, tiles: DataFrame, hyps: DataFrame, dims: list[str] = ["mission"],
-    tile: str = "tile_id", time: str = "date_index", height: str = "height_index", value: str = "dh", k: int = 5, descend: int = 3,
+    tile: str = "tile_id", time: str = "date_index", height: str = "height_index", value: str = "dh", k: int = 5,
 ) -> DataFrame:
     """Rows for empty target tiles from the k nearest tiles with data at overlapping elevations (FIT10).
 
@@ -283,7 +283,7 @@ def fill_empty_tiles(
     t = targets.join(band, tile).join(tiles.select(tile, "lon", "lat"), tile)
     q = t.withColumn(height, F.explode(F.sequence("_h0", "_h1")))
     have = cube.where(F.col(value).isNotNull()).select(*dims, tile, height).distinct().join(tiles.select(tile, "lon", "lat"), tile)
-    near = nearest(q, have, k, tile, tile, by=[*dims, height], levels=descend)
+    near = nearest(q, have, k, tile, tile, by=[*dims, height])
     near = near.groupBy(*dims, tile, f"{tile}_2").agg(F.min("meters").alias("meters"))
     r = F.row_number().over(W.partitionBy(*dims, tile).orderBy("meters", f"{tile}_2"))  # k x heights rows
     near = near.withColumn("_r", r).where(F.col("_r") <= k).select(*dims, F.col(tile).alias("_target"), F.col(f"{tile}_2").alias(tile))

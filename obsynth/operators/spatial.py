@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..functions.numeric import col
+from .robust import let
 
 # -- containment and overlap ------------------------------------------------------------------
 
@@ -93,7 +94,9 @@ def tiles_touching_zones(tiles: DataFrame, zones: DataFrame, tile: str, zone: st
 
 # -- nearest neighbours -----------------------------------------------------------------------
 
-STEP = 8  # each level splits a cube of the unit ball into STEP^3
+STEP = 16  # each level splits a cube of the unit ball into STEP^3, of which about pi STEP^2 meet the sphere
+LEAF = 256  # locations per leaf cube that need no further split
+MAX_LEVELS = 5
 
 
 def _xyz(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -101,98 +104,141 @@ def _xyz(df: DataFrame, x: str, y: str) -> DataFrame:
     return df.withColumns({"_x": px, "_y": py, "_z": pz})
 
 
-def _cube(level: int) -> list[Column]:
-    n = STEP**level
-    return [F.least(F.floor((F.col(c) + 1.0) * (n / 2.0)), F.lit(n - 1)).cast("int").alias(f"_c{c[1]}{level}") for c in ("_x", "_y", "_z")]
-
-
 def _cube_names(level: int) -> list[str]:
     return [f"_c{c}{level}" for c in "xyz"]
 
 
-def _box_bounds(b: str) -> tuple[Column, Column]:
-    """Squared chord distance from (_x, _y, _z) to the nearest and the farthest corner of box struct ``b``."""
+def _with_cubes(df: DataFrame, levels: int) -> DataFrame:
+    made = {}
+    for lv in range(1, levels + 1):
+        n = STEP**lv
+        for c in "xyz":
+            made[f"_c{c}{lv}"] = F.least(F.floor((F.col(f"_{c}") + 1.0) * (n / 2.0)), F.lit(n - 1)).cast("int")
+    return df.withColumns(made)
+
+
+def _bounds(box: Column) -> tuple[Column, Column]:
+    """Squared chord distance from (_x, _y, _z) to the nearest and the farthest point of a box struct."""
     near, far = F.lit(0.0), F.lit(0.0)
     for c in ("x", "y", "z"):
-        q, lo, hi = F.col(f"_{c}"), F.col(f"{b}.{c}0"), F.col(f"{b}.{c}1")
+        q, lo, hi = F.col(f"_{c}"), box[f"{c}0"], box[f"{c}1"]
         gap = F.greatest(lo - q, q - hi, F.lit(0.0))
         reach = F.greatest(F.abs(q - lo), F.abs(hi - q))
         near, far = near + gap * gap, far + reach * reach
     return near, far
 
 
+def _cubes_of(loc: DataFrame, by: list[str], level: int) -> DataFrame:
+    """Occupied cubes of a level with the bounding box of their locations and the number of sites."""
+    keys = [*by, *(_cube_names(level - 1) if level > 1 else []), *_cube_names(level)]
+    box = F.struct(*[f(f"_{c}").alias(f"{c}{e}") for c in "xyz" for f, e in ((F.min, 0), (F.max, 1))])
+    return loc.groupBy(*keys).agg(box.alias("_b"), F.sum("_n").alias("_n"))
+
+
+def search_levels(loc: DataFrame, by: list[str] = []) -> int:
+    """Depth at which no cube holds more than LEAF locations (one small count per level)."""
+    for lv in range(1, MAX_LEVELS):
+        top = loc.groupBy(*by, *_cube_names(lv)).agg(F.count(F.lit(1)).alias("_m")).agg(F.max("_m")).first()[0]
+        if top is None or top <= LEAF:
+            return lv
+    return MAX_LEVELS
+
+
 def nearest(
     queries: DataFrame, sites: DataFrame, k: int = 1, query_key: str = "query_id", site_key: str = "site_id",
-    by: list[str] = [], x: str = "lon", y: str = "lat", levels: int = 4, max_meters: float | None = None,
+    by: list[str] = [], x: str = "lon", y: str = "lat", levels: int | None = None, max_meters: float | None = None,
     exclude_self: bool = False,
 ) -> DataFrame:
     """Exact k nearest sites by great-circle distance (JN11, WIN14, AGG26): (by, query, site, meters, rank).
 
-    A tree of occupied cubes on the unit sphere is descended level by level.  Each query keeps only the
-    cubes that can still hold one of its k nearest: those whose nearest corner is not beyond the distance
-    within which k sites are already certain.  Candidates per query stay a handful however many sites
-    share a region, so neither a dense cluster of sites nor of queries turns into all pairs, and no
-    search radius has to be guessed.  Sites at one location are collapsed to one candidate carrying its
-    site count, and expanded again only for the winners.
+    A tree of occupied cubes on the unit sphere is descended level by level, as deep as the densest
+    place asks for.  Each query keeps only the cubes that can still hold one of its k nearest: those whose
+    nearest corner is not beyond the distance within which k sites are already certain.  Candidates per
+    query stay a handful however many sites share a region, so neither a dense cluster of sites nor of
+    queries turns into all pairs, and no search radius has to be guessed.  Sites at one location are
+    collapsed to one candidate carrying its site count, and expanded again only for the winners.
     """
-    q = _xyz(queries.select(*by, F.col(query_key).alias("_q"), x, y), x, y)
     need = k + 1 if exclude_self else k
     spots = sites.select(*by, F.col(site_key).alias("_s"), F.col(x).alias("_sx"), F.col(y).alias("_sy"))
     spot_keys = [*by, "_sx", "_sy"]
-    loc = spots.groupBy(*spot_keys).agg(F.count(F.lit(1)).alias("_n"))
-    loc = _xyz(loc, "_sx", "_sy")
-    loc = loc.select("*", *[c for lv in range(1, levels + 1) for c in _cube(lv)])
+    loc = _xyz(spots.groupBy(*spot_keys).agg(F.count(F.lit(1)).alias("_n")), "_sx", "_sy")
+    if levels is None:
+        levels = search_levels(_with_cubes(loc, MAX_LEVELS - 1), by)
+    loc = _with_cubes(loc, levels)
+    limit = None if max_meters is None else (2.0 * math.sin(min(max_meters / geo.EARTH_RADIUS_M, math.pi) / 2.0)) ** 2 * (1 + 1e-9)
 
-    def tree(level: int) -> DataFrame:
-        keys = [*by, *(_cube_names(level - 1) if level > 1 else []), *_cube_names(level)]
-        box = F.struct(*[f(c).alias(f"{c[1]}{e}") for c in ("_x", "_y", "_z") for f, e in ((F.min, 0), (F.max, 1))])
-        return loc.groupBy(*keys).agg(box.alias("_b"), F.sum("_n").alias("_n"))
+    def reachable(near: Column, cut: Column) -> Column:
+        ok = cut.isNull() | (near <= cut * (1 + 1e-12) + 1e-18)
+        return ok if limit is None else ok & (near <= limit)
 
-    limit = None if max_meters is None else (2.0 * math.sin(min(max_meters / geo.EARTH_RADIUS_M, math.pi) / 2.0)) ** 2 * (1 + 1e-9)
+    # level 1: the occupied cubes of a `by` group fit in one array (at most STEP^3), so every query prunes
+    # them inside its own row, before anything is multiplied or shuffled
+    cells = _cubes_of(loc, by, 1).groupBy(*by).agg(F.collect_list(F.struct("_b", "_n", *_cube_names(1))).alias("_cells"))
+    q = _xyz(queries.select(*by, F.col(query_key).alias("_q"), x, y), x, y)
     qcols = [*by, "_q", x, y, "_x", "_y", "_z"]
-
-    def prune(cand: DataFrame) -> DataFrame:
-        near, far = _box_bounds("_b")
-        c = cand.withColumns({"_near": near, "_far": far})
-        w = W.partitionBy(*by, "_q").orderBy("_far").rowsBetween(W.unboundedPreceding, 0)
-        c = c.withColumn("_cum", F.sum("_n").over(w))
-        cut = F.min(F.when(F.col("_cum") >= need, F.col("_far"))).over(W.partitionBy(*by, "_q"))
-        c = c.withColumn("_cut", cut).where(F.col("_cut").isNull() | (F.col("_near") <= F.col("_cut") * (1 + 1e-12) + 1e-18))
-        return c if limit is None else c.where(F.col("_near") <= limit)
-
-    # level 1: at most STEP^3 occupied cubes per `by` group, carried as one array per group
-    root = tree(1)
-    seeds = root.groupBy(*by).agg(F.collect_list(F.struct("_b", "_n", *_cube_names(1))).alias("_cells")) if by else root.agg(
-        F.collect_list(F.struct("_b", "_n", *_cube_names(1))).alias("_cells"))
     if by:
-        c = q.join(seeds, by)
+        q = q.join(cells, by)
     else:
-        c = q.withColumn("_one", F.lit(1)).join(F.broadcast(seeds.withColumn("_one", F.lit(1))), "_one").drop("_one")
-    c = prune(c.select(*qcols, F.explode("_cells").alias("_e")).select(*qcols, "_e.*"))
+        q = q.withColumn("_one", F.lit(1)).join(F.broadcast(cells.withColumn("_one", F.lit(1))), "_one")  # one row of bounded size
+
+    def scored(e: Column) -> Column:
+        near, far = _bounds(e["_b"])
+        return F.struct(near.alias("near"), far.alias("far"), e["_n"].alias("n"), *[e[c].alias(c) for c in _cube_names(1)])
+
+    def cut_of(arr: Column) -> Column:
+        if need == 1:
+            return F.array_min(F.transform(arr, lambda e: e["far"]))
+        order = F.array_sort(F.transform(arr, lambda e: F.struct(e["far"].alias("far"), e["n"].alias("n"))))
+        start = F.struct(F.lit(0).cast("long").alias("c"), F.lit(None).cast("double").alias("f"))
+        step = lambda a, e: F.when(a["c"] >= need, a).otherwise(F.struct((a["c"] + e["n"]).alias("c"), e["far"].alias("f")))
+        return F.aggregate(order, start, step, lambda a: F.when(a["c"] >= need, a["f"]))
+
+    alive = let(F.transform("_cells", scored), lambda arr: let(cut_of(arr), lambda cut: F.filter(arr, lambda e: reachable(e["near"], cut))))
+    c = q.select(*qcols, F.explode(alive).alias("_e")).select(*qcols, *[f"_e.{n}" for n in _cube_names(1)])
     for lv in range(2, levels + 1):
-        c = c.select(*qcols, *_cube_names(lv - 1)).join(tree(lv), [*by, *_cube_names(lv - 1)])
-        c = prune(c)
+        c = c.join(_cubes_of(loc, by, lv), [*by, *_cube_names(lv - 1)])
+        near, far = _bounds(F.col("_b"))
+        c = c.withColumns({"_near": near, "_far": far})
+        per = W.partitionBy(*by, "_q")
+        if need == 1:
+            cut = F.min("_far").over(per)
+        else:
+            c = c.withColumn("_cum", F.sum("_n").over(per.orderBy("_far").rowsBetween(W.unboundedPreceding, 0)))
+            cut = F.min(F.when(F.col("_cum") >= need, F.col("_far"))).over(per)
+        c = c.withColumn("_cut", cut).where(reachable(F.col("_near"), F.col("_cut"))).select(*qcols, *_cube_names(lv))
     leaf = loc.select(*spot_keys, "_n", *_cube_names(levels))
-    c = c.select(*qcols, *_cube_names(levels)).join(leaf, [*by, *_cube_names(levels)])
-    c = c.select(*by, "_q", *spot_keys[len(by):], "_n", geo.haversine(x, y, "_sx", "_sy").alias("meters"))
+    c = c.join(leaf, [*by, *_cube_names(levels)])
+    c = c.select(*by, "_q", "_sx", "_sy", "_n", geo.haversine(x, y, "_sx", "_sy").alias("meters"))
     if max_meters is not None:
         c = c.where(F.col("meters") <= max_meters)
+    name = site_key if site_key != query_key else f"{site_key}_2"
+    if need == 1:
+        # nearest location per query is a combined minimum; then the smallest id there
+        first = spots.groupBy(*spot_keys).agg(F.min("_s").alias("_s"))
+        hit = c.join(first, spot_keys)
+        best = hit.groupBy(*by, "_q").agg(F.min(F.struct("meters", "_s")).alias("_m"))
+        return best.select(*by, F.col("_q").alias(query_key), F.col("_m._s").alias(name), F.col("_m.meters").alias("meters"), F.lit(1).alias("rank"))
     # a location is needed when fewer than `need` sites lie strictly nearer
-    w = W.partitionBy(*by, "_q").orderBy("meters").rangeBetween(W.unboundedPreceding, W.currentRow)
-    c = c.withColumn("_upto", F.sum("_n").over(w))
-    same = F.sum("_n").over(W.partitionBy(*by, "_q", "meters"))
-    c = c.where(F.col("_upto") - same < need)
-    # one site per location suffices for the nearest; otherwise the first `need` ids of it
-    firsts = spots.withColumn("_r", F.row_number().over(W.partitionBy(*spot_keys).orderBy("_s"))).where(F.col("_r") <= need) if need > 1 else spots.groupBy(*spot_keys).agg(F.min("_s").alias("_s"))
-    hit = c.join(firsts, spot_keys).select(*by, "_q", "_s", "meters")
+    per = W.partitionBy(*by, "_q")
+    upto = F.sum("_n").over(per.orderBy("meters").rangeBetween(W.unboundedPreceding, W.currentRow))
+    c = c.withColumns({"_upto": upto, "_same": F.sum("_n").over(W.partitionBy(*by, "_q", "meters"))}).where(F.col("_upto") - F.col("_same") < need)
+    hit = c.join(_first_ids(spots, spot_keys, need), spot_keys).select(*by, "_q", F.explode("_ids").alias("_s"), "meters")
     if exclude_self:
         hit = hit.where(F.col("_q") != F.col("_s"))
-    rank = F.row_number().over(W.partitionBy(*by, "_q").orderBy("meters", "_s"))
-    hit = hit.withColumn("rank", rank).where(F.col("rank") <= k)
-    return hit.select(*by, F.col("_q").alias(query_key), F.col("_s").alias(site_key if site_key != query_key else f"{site_key}_2"), "meters", "rank")
+    hit = hit.withColumn("rank", F.row_number().over(per.orderBy("meters", "_s"))).where(F.col("rank") <= k)
+    return hit.select(*by, F.col("_q").alias(query_key), F.col("_s").alias(name), "meters", "rank")
+
+
+def _first_ids(spots: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """The n smallest ids of each location.  Ids are first reduced within 64 hash slices of a location, so a
+    location shared by very many sites is not gathered in one task."""
+    d = spots.withColumn("_slice", F.pmod(F.xxhash64("_s"), F.lit(64)))
+    r = F.row_number().over(W.partitionBy(*keys, "_slice").orderBy("_s"))
+    few = d.withColumn("_r", r).where(F.col("_r") <= n)
+    return few.groupBy(*keys).agg(F.slice(F.array_sort(F.collect_list("_s")), 1, n).alias("_ids"))
 
 
-def population_near(pixels: DataFrame, vertices: DataFrame, scenarios: DataFrame, buffers: list[float], pixel_key: str = "pixel_id", levels: int = 4) -> DataFrame:
+def population_near(pixels: DataFrame, vertices: DataFrame, scenarios: DataFrame, buffers: list[float], pixel_key: str = "pixel_id", levels: int | None = None) -> DataFrame:
     """Population within each buffer of a qualifying river vertex, by country and thresholds; a pixel counts
     once however many vertices reach it (AGG26).
 
