@@ -56,7 +56,7 @@ def monthly_median(df: DataFrame, keys: list[str], ts: str, value: str, limit: i
 def area_average(binned: DataFrame, hyps: DataFrame, keys: list[str], value: str = "dh", tile: str = "tile_id", height: str = "height_bin", area: str = "area_km2") -> DataFrame:
     """Area-weighted mean over elevation ignoring missing cells (AGG11, AGG29)."""
     j = binned.where(F.col(value).isNotNull()).join(hyps.select(tile, height, area), [tile, height])
-    return j.groupBy(*keys).agg((F.sum(F.col(value) * F.col(area)) / F.sum(area)).alias(value))
+    return j.groupBy(*keys).agg(F.try_divide(F.sum(F.col(value) * F.col(area)), F.sum(area)).alias(value))
 
 
 def volume_series(

@@ -26,7 +26,7 @@ def interval_change(obs: DataFrame, series: DataFrame, on: list[str], obs_id: st
     if divide_by is not None:
         a = obs.select(obs_id, F.col(divide_by).alias("_area"))
         g = g.join(a, obs_id)
-        g = g.select(obs_id, "n_steps", *[(F.col(v) / F.col("_area") / 1000.0).alias(v) for v in values])
+        g = g.select(obs_id, "n_steps", *[(F.try_divide(F.col(v), F.col("_area")) / 1000.0).alias(v) for v in values])
     return g
 
 
@@ -38,7 +38,7 @@ def annual_statistics(df: DataFrame, year: str, area: str, balance: str, site: s
 def annual_coverage(stats: DataFrame, whole: DataFrame, area: str) -> DataFrame:
     """Share of the total area seen each year, in percent (AGG22)."""
     tot = whole.agg(F.sum(area).alias("_whole")).withColumn("_k", F.lit(1))
-    return stats.withColumn("_k", F.lit(1)).join(F.broadcast(tot), "_k").withColumn("coverage", F.col("area_sum") / F.col("_whole") * 100).drop("_k", "_whole")
+    return stats.withColumn("_k", F.lit(1)).join(F.broadcast(tot), "_k").withColumn("coverage", F.try_divide(F.col("area_sum"), F.col("_whole")) * 100).drop("_k", "_whole")
 
 
 def cell_misfit(df: DataFrame, cell: list[str], misfit: str, area: str) -> DataFrame:

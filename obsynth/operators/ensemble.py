@@ -82,7 +82,8 @@ def state_index_error(fits: DataFrame, discharge: DataFrame, region: str = "regi
     a = F.col("runoff") + F.col("discharge")
     sa = F.sqrt(F.col("runoff_error") * F.col("runoff_error") + F.col("discharge_error") * F.col("discharge_error"))
     b, sb = F.col("net_acc"), F.col("net_acc_error")
-    rel = F.sqrt((sa / a) * (sa / a) + (sb / b) * (sb / b))
+    ra, rb = F.try_divide(sa, a), F.try_divide(sb, b)
+    rel = F.sqrt(ra * ra + rb * rb)
     return j.withColumn("gsi_error", F.abs("gsi_error") * rel)
 
 

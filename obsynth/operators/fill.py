@@ -38,21 +38,31 @@ def _basis(t, h):
     return np.column_stack([one, t, t * t, h, h * h, s, s * h, s * h * h, c, c * h, c * h * h])
 
 
-def _boxed_quadratic(G, b, lo, hi, sweeps=400):
-    """Minimise x'Gx/2 - b'x in a box: exact when the free optimum is inside, coordinate descent otherwise."""
+def _boxed_quadratic(G, b, lo, hi):
+    """Minimise x'Gx/2 - b'x in a box by an active set: solve for the free coefficients, pin the one that
+    leaves the box furthest, release a pinned one whose gradient points inward."""
     d = np.sqrt(np.maximum(np.diag(G), 1e-300))
-    x = np.linalg.lstsq(G / np.outer(d, d), b / d, rcond=1e-12)[0] / d
-    if np.all(x >= lo) and np.all(x <= hi):
-        return x
-    x = np.clip(x, lo, hi)
-    for _ in range(sweeps):
-        old = x.copy()
-        for i in range(len(x)):
-            if G[i, i] > 0:
-                x[i] = min(max(x[i] - (G[i] @ x - b[i]) / G[i, i], lo[i]), hi[i])
-        if np.all(np.abs(x - old) <= 1e-12 * (1 + np.abs(x))):
+    G, b, lo, hi = G / np.outer(d, d), b / d, lo * d, hi * d  # unit diagonal
+    G = G + 1e-12 * np.eye(len(b))
+    pin = np.zeros(len(b), dtype=int)
+    x = np.zeros(len(b))
+    for _ in range(6 * len(b)):
+        free = pin == 0
+        x = np.where(pin < 0, lo, np.where(pin > 0, hi, x))
+        if free.any():
+            x[free] = np.linalg.solve(G[np.ix_(free, free)], b[free] - G[np.ix_(free, ~free)] @ x[~free])
+        out = np.where(free, np.maximum(lo - x, x - hi) / np.maximum(hi - lo, 1e-300), -1.0)
+        worst = int(np.argmax(out))
+        if out[worst] > 1e-12:
+            pin[worst] = -1 if x[worst] < lo[worst] else 1
+            continue
+        grad = G @ x - b
+        back = np.where(pin < 0, -grad, np.where(pin > 0, grad, -1.0))
+        worst = int(np.argmax(back))
+        if back[worst] <= 1e-9 * (1 + np.abs(b).max()):
             break
-    return x
+        pin[worst] = 0
+    return np.clip(x, lo, hi) / d
 
 
 def fit_surface(t, h, y, w):
@@ -102,6 +112,16 @@ def eval_surface(t, h, p):
     return p[0] + p[1] * t + p[2] * t * t + p[3] * h + p[4] * h * h + s * (p[6] + p[7] * h + p[8] * h * h)
 
 
+def spread(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Partition by key with the session's full partition count.  The fits are heavy and their input small:
+    left alone, partition coalescing by bytes would put all of them in one task."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def _no_rows(columns):
+    return pd.DataFrame({c: pd.Series(dtype=object) for c in columns})
+
+
 def _nmad(x):
     a = np.abs(x - np.median(x))
     m = np.median(a) * MAD_TO_SIGMA
@@ -145,7 +165,7 @@ def surface_model_fill(
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in binned.select(*keys).schema) + ", " + FILL_SCHEMA
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({c: [] for c in [*keys, *[p.split()[0] for p in FILL_SCHEMA.split(", ")]]})
+        empty = _no_rows([*keys, *[p.split()[0] for p in FILL_SCHEMA.split(", ")]])
         if len(pdf) <= N_SURFACE + 2:
             return empty
         one = pdf.iloc[0]
@@ -180,7 +200,7 @@ def surface_model_fill(
                 "nobs": nobs.ravel(), "t0": t_mean, "h0": h_mean, "dh0": level, "param": [p.tolist()] * len(T)}
         return pd.DataFrame(out)
 
-    return d.groupBy(*keys).applyInPandas(work, schema)
+    return spread(d, keys).groupBy(*keys).applyInPandas(work, schema)
 
 
 def split_params(filled: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -201,7 +221,7 @@ def replace_with_model(
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cube.select(*keys).schema) + ", date_index int, height_index int, dh double"
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({c: [] for c in [*keys, "date_index", "height_index", "dh"]})
+        none = _no_rows([*keys, "date_index", "height_index", "dh"])
         parts = [pdf[pdf["mission"] == m] for m in preferred]
         if any(len(p) == 0 for p in parts):
             return none
@@ -229,7 +249,7 @@ def replace_with_model(
         one = pdf.iloc[0]
         return pd.DataFrame({**{k: [one[k]] * len(v) for k in keys}, "date_index": D.astype(np.int32), "height_index": E.astype(np.int32), "dh": v})
 
-    made = d.groupBy(*keys).applyInPandas(work, schema)
+    made = spread(d, keys).groupBy(*keys).applyInPandas(work, schema)
     made = made.withColumn("mission", F.lit(target)).withColumn("nobs", F.lit(9999).cast("long")).select(*cube.columns)
     rest = cube.join(made.select(*keys, "mission", "date_index", "height_index"), [*keys, "mission", "date_index", "height_index"], "left_anti")
     return rest.unionByName(made)
@@ -256,7 +276,7 @@ def mission_offsets(cube: DataFrame, hyps: DataFrame, keys: list[str], time: str
     # one value per date of the axis
     med = d.groupBy(*keys, mission, "_ref").agg(F.median("_d").alias("_m"))
     w = F.sqrt(F.col("_n").cast("double"))
-    g = med.join(n, [*keys, mission]).groupBy(*keys, mission).agg((F.sum(F.col("_m") * w) / F.sum(w)).alias("offset"), F.count(F.lit(1)).alias("n_refs"))
+    g = med.join(n, [*keys, mission]).groupBy(*keys, mission).agg(F.try_divide(F.sum(F.col("_m") * w), F.sum(w)).alias("offset"), F.count(F.lit(1)).alias("n_refs"))
     return g.where(F.col("offset").isNotNull())
 
 
@@ -310,8 +330,8 @@ def profile_fill(profile: DataFrame, keys: list[str], cell: list[str], index: st
     lo, hi = F.min(F.when(F.col("_near"), F.col(index))).over(w), F.max(F.when(F.col("_near"), F.col(index))).over(w)
     a0, a1 = F.min(F.when(F.col(area) > 0, F.col(index))).over(w), F.max(F.when(F.col(area) > 0, F.col(index))).over(w)
     d = d.withColumns({"_lo": lo, "_hi": hi, "_a0": a0, "_a1": a1, "_whole": F.sum(area).over(w)})
-    below = F.sum(F.when(F.col(index) < F.col("_lo"), F.col(area)).otherwise(0.0)).over(w) / F.col("_whole")
-    above = F.sum(F.when(F.col(index) > F.col("_hi"), F.col(area)).otherwise(0.0)).over(w) / F.col("_whole")
+    below = F.try_divide(F.sum(F.when(F.col(index) < F.col("_lo"), F.col(area)).otherwise(0.0)).over(w), F.col("_whole"))
+    above = F.try_divide(F.sum(F.when(F.col(index) > F.col("_hi"), F.col(area)).otherwise(0.0)).over(w), F.col("_whole"))
     d = d.withColumns({"_below": below, "_above": above})
     start = F.when((F.col("_below") > 0) & (F.col("_below") < max_fraction), F.col("_a0")).otherwise(F.col("_lo"))
     stop = F.when((F.col("_above") > 0) & (F.col("_above") < max_fraction), F.col("_a1")).otherwise(F.col("_hi"))
@@ -345,7 +365,7 @@ def monthly_spline(series: DataFrame, keys: list[str], date: str, value: str, cl
         months = pd.date_range(d.iloc[0].replace(day=1), d.iloc[-1], freq="MS")
         months = months[(months >= d.iloc[0]) & (months <= d.iloc[-1])]
         if ok.sum() < 3 or len(months) == 0:
-            return pd.DataFrame({c: [] for c in [*keys, "month", value]})
+            return _no_rows([*keys, "month", value])
         first = int(np.argmax(ok))
         y = y[ok]
         n = len(y)
@@ -367,7 +387,7 @@ def monthly_spline(series: DataFrame, keys: list[str], date: str, value: str, cl
         one = pdf.iloc[0]
         return pd.DataFrame({**{q: [one[q]] * len(v) for q in keys}, "month": months.date, value: v})
 
-    return series.groupBy(*keys).applyInPandas(work, schema)
+    return spread(series, keys).groupBy(*keys).applyInPandas(work, schema)
 
 
 def with_axis_time(df: DataFrame, index: str = "date_index", start: str = DATE_AXIS_START, step: int = DATE_AXIS_STEP) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import decimal_year
 from ..functions.models import amplitude, annual_terms, phase_day, phase_month
 from ..functions.numeric import bin_center, bin_index, col
-from .robust import GROUP_LIMIT, group_median
+from .robust import GROUP_LIMIT, group_median, let
 
 TIME_ORIGIN = 2000.0  # integer, so the annual terms keep their phase
 
@@ -30,38 +30,42 @@ def normal_sums(x: dict[str, Column], y: Column, weight: Column | None = None) -
 
 
 def solve_normal(df: DataFrame, names: list[str], rel_tol: float = 1e-10) -> DataFrame:
-    """Append the solution columns ``names`` from _a_i_j, _b_i (LDL'); NULL for a singular system."""
+    """Append the solution columns ``names`` from _a_i_j, _b_i (LDL'); NULL for a singular system.
+
+    The factorisation is one nested expression whose steps are bound once each, so that a filter pushed
+    below it by the optimizer cannot multiply it out."""
     p = len(names)
-    made = []
-
-    def add(d: DataFrame, cols: dict[str, Column]) -> DataFrame:
-        made.extend(cols)
-        return d.withColumns(cols)
-
-    L = lambda i, j: F.col(f"_l_{i}_{j}")
-    D = lambda k: F.col(f"_d_{k}")
-    for k in range(p):
-        dk = F.col(f"_a_{k}_{k}")
-        for j in range(k):
-            dk = dk - L(k, j) * L(k, j) * D(j)
-        df = add(df, {f"_d_{k}": F.when(dk > F.abs(F.col(f"_a_{k}_{k}")) * rel_tol, dk)})
-        step = {}
+
+    def factor(k: int, done: list[Column]) -> Column:
+        """Column k of L as struct (d, z, l_{k+1}, ...), then the rest; ``done`` holds the earlier ones."""
+        if k == p:
+            return back(p - 1, done, {})
+        d = F.col(f"_a_{k}_{k}")
+        for c in done:
+            d = d - c[f"l{k}"] * c[f"l{k}"] * c["d"]
+        d = F.when(d > F.abs(F.col(f"_a_{k}_{k}")) * rel_tol, d)
+        z = F.col(f"_b_{k}")
+        for c in done:
+            z = z - c[f"l{k}"] * c["z"]
+        low = []
         for i in range(k + 1, p):
-            v = F.col(f"_a_{k}_{i}")
-            for j in range(k):
-                v = v - L(i, j) * L(k, j) * D(j)
-            step[f"_l_{i}_{k}"] = v / D(k)
-        zk = F.col(f"_b_{k}")
-        for j in range(k):
-            zk = zk - L(k, j) * F.col(f"_z_{j}")
-        step[f"_z_{k}"] = zk
-        df = add(df, step)
-    for k in reversed(range(p)):
-        xk = F.col(f"_z_{k}") / D(k)
+            e = F.col(f"_a_{k}_{i}")
+            for c in done:
+                e = e - c[f"l{i}"] * c[f"l{k}"] * c["d"]
+            low.append((e / d).alias(f"l{i}"))
+        return let(F.struct(d.alias("d"), z.alias("z"), *low), lambda c: factor(k + 1, [*done, c]))
+
+    def back(k: int, cols: list[Column], x: dict[int, Column]) -> Column:
+        if k < 0:
+            return F.struct(*[x[i].alias(names[i]) for i in range(p)])
+        e = cols[k]["z"] / cols[k]["d"]
         for i in range(k + 1, p):
-            xk = xk - L(i, k) * F.col(names[i])
-        df = df.withColumn(names[k], xk)
-    return df.drop(*made, *[c for c in df.columns if c.startswith(("_a_", "_b_"))])
+            e = e - cols[k][f"l{i}"] * x[i]
+        return let(e, lambda v: back(k - 1, cols, {**x, k: v}))
+
+    keep = [c for c in df.columns if not c.startswith(("_a_", "_b_"))]
+    solved = df.select(*keep, factor(0, []).alias("_sol"))
+    return solved.select(*[c for c in keep if c not in names], *[F.col("_sol")[n].alias(n) for n in names])
 
 
 def ols(df: DataFrame, keys: list[str], y: str | Column, x: dict[str, Column], weight: str | Column | None = None, extra: dict[str, Column] | None = None) -> DataFrame:
@@ -211,8 +215,8 @@ def scale_classes(df: DataFrame, keys: list[str], pscale: str, value: str, new:
     g = g.withColumn(pscale, F.explode(F.array(*[F.lit(float(v)) for v in new])))
     x = F.col(pscale)
     # interpolation uses every class
-    g = g.withColumn("_lo", F.element_at(F.filter("_p", lambda p: p["x"] <= x), -1))
-    g = g.withColumn("_hi", F.element_at(F.filter("_p", lambda p: p["x"] >= x), 1))
+    g = g.withColumn("_lo", F.try_element_at(F.filter("_p", lambda p: p["x"] <= x), F.lit(-1)))
+    g = g.withColumn("_hi", F.try_element_at(F.filter("_p", lambda p: p["x"] >= x), F.lit(1)))
     lo, hi = F.col("_lo"), F.col("_hi")
     inner = F.when(lo["x"] == hi["x"], lo["y"]).otherwise(lo["y"] + (hi["y"] - lo["y"]) * (x - lo["x"]) / (hi["x"] - lo["x"]))
     three = F.when(F.col("_n") <= 3, F.col("_ok")).when(lo.isNull(), F.slice("_ok", 1, 3)).otherwise(F.slice("_ok", -3, 3))
@@ -222,9 +226,9 @@ def scale_classes(df: DataFrame, keys: list[str], pscale: str, value: str, new:
     def acc(f):
         return F.aggregate("_e", F.lit(0.0), lambda a, p: a + f(p))
 
-    g = g.withColumns({"_sx": acc(lambda p: p["x"]) / m, "_sy": acc(lambda p: p["y"]) / m})
+    g = g.withColumns({"_sx": F.try_divide(acc(lambda p: p["x"]), m), "_sy": F.try_divide(acc(lambda p: p["y"]), m)})
     sxx = acc(lambda p: (p["x"] - F.col("_sx")) * (p["x"] - F.col("_sx")))
     sxy = acc(lambda p: (p["x"] - F.col("_sx")) * (p["y"] - F.col("_sy")))
-    outer = F.col("_sy") + sxy / sxx * (x - F.col("_sx"))
+    outer = F.col("_sy") + F.try_divide(sxy, sxx) * (x - F.col("_sx"))
     y = F.when(F.col("_n") < 2, F.lit(0.0)).when(lo.isNotNull() & hi.isNotNull(), inner).otherwise(outer)
     return g.select(*keys, pscale, F.greatest(F.lit(0.0), y).alias(value))

@@ -352,4 +352,4 @@ def tile_grid(spark, width: int = 2) -> DataFrame:
 def coverage_fraction(pixels: DataFrame, tile_area: DataFrame, layer: str, width: float, area: str = "cell_area", x: str = "lon", y: str = "lat") -> DataFrame:
     """Covered pixel area of each tile and layer over the tile area (AGG30)."""
     g = tile_of(pixels, width, x, y).groupBy("tile_x", "tile_y", layer).agg(F.sum(area).alias("_c"))
-    return g.join(tile_area, ["tile_x", "tile_y"]).select("tile_x", "tile_y", layer, (F.col("_c") / F.col("tile_area")).alias("fraction"))
+    return g.join(tile_area, ["tile_x", "tile_y"]).select("tile_x", "tile_y", layer, F.try_divide(F.col("_c"), F.col("tile_area")).alias("fraction"))

@@ -16,7 +16,7 @@ def rate_from_cumulative(df: DataFrame, keys: list[str], date: str, value: str,
     w = W.partitionBy(*keys).orderBy(date)
     step = F.datediff(F.col(date), F.lag(date).over(w))
     diff = F.col(value) - F.lag(value).over(w)
-    df = df.withColumn(out, diff / (step * F.lit(86400.0)) if per_second else diff)
+    df = df.withColumn(out, F.try_divide(diff, step * F.lit(86400.0)) if per_second else diff)
     if repeat_first:
         df = df.withColumn(out, F.coalesce(out, F.lead(out).over(w)))
     return df
