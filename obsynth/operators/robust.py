@@ -29,8 +29,7 @@ def find_hot(df: DataFrame, keys: list[str], limit: int = GROUP_LIMIT) -> DataFr
     entries and is stored, so later joins with it are small broadcasts.  Counting a superset of the rows
     (before filters) is allowed: it only moves more groups to the split path."""
     hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit).select(*keys)
-    hot = cut_lineage(hot)
-    return None if hot.isEmpty() else hot
+    return None if hot.isEmpty() else cut_lineage(hot)
 
 
 def split_hot(df: DataFrame, keys: list[str], limit: int | None, hot: DataFrame | str | None = "count") -> tuple[DataFrame, DataFrame | None]:
