@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.binning import bin_2d
-from ..operators.robust import reduce_bins
+from ..operators.robust import reduce_bins_methods
 from ..functions.numeric import bin_index
 
 YEAR_BIN_START = "1990-01-01"
@@ -80,11 +80,9 @@ def obs_run(spark: SparkSession, d: str) -> DataFrame:
     """run_id, tile, mission, time_bin, height_bin, dh, nobs: every binning method over the same cells."""
     base = obs(spark, d).select("tile", "mission", year_bin().alias("time_bin"), height10().alias("height_bin"), "dh")
     keys = ["tile", "mission", "time_bin", "height_bin"]
-    parts = [reduce_bins(base, keys, "dh", m).withColumn("run_id", F.lit(i)) for i, m in RUN_METHODS.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    r = reduce_bins_methods(base, keys, "dh", list(RUN_METHODS.values()))
+    ids = F.create_map(*[F.lit(x) for i, m in RUN_METHODS.items() for x in (m, i)])
+    return r.withColumn("run_id", ids[F.col("method")]).drop("method")
 
 
 def sql_obs_run() -> list[str]:

@@ -40,7 +40,7 @@ def trace_downstream(starts: DataFrame, reaches: DataFrame, start: str = "start"
         jump = cut_lineage(nxt.select(F.col("a.v").alias("v"), F.coalesce(F.col("b.up"), F.lit(0)).cast("long").alias("up")))
         span *= 2
         if jump.where(F.col("up") != 0).isEmpty():
-            # one last shift is not needed: no node is span steps above another
+            # no node is ``span`` steps above another: every path is complete
             return path.select("start", "step", F.col("v").alias(id_col))
     raise ValueError("the network has a cycle")
 

@@ -149,7 +149,7 @@ def _mad(a: Column, m: Column) -> Column:
     return let(F.sort_array(F.transform(a, lambda x: F.abs(x - m))), _mid)
 
 
-def _trimmed_mean(values: Column, k: Column) -> Column:
+def _trimmed_mean(values: Column, k: Column, presorted: bool = False) -> Column:
     """Mean of the values within k MADs of the median; the values at the median where the MAD is zero; the
     median itself where no value is kept (an even group with its spread around a mid-point)."""
 
@@ -157,7 +157,10 @@ def _trimmed_mean(values: Column, k: Column) -> Column:
         kept = F.filter(a, lambda x: (F.abs(x - m) < cut) | (x == m))
         return let(kept, lambda q: F.when(F.size(q) > 0, F.aggregate(q, F.lit(0.0), lambda acc, x: acc + x) / F.size(q)).otherwise(m))
 
-    return let(F.sort_array(values), lambda a: let(_mid(a), lambda m: let(k * _mad(a, m), lambda cut: mean(a, m, cut))))
+    def inner(a: Column) -> Column:
+        return let(_mid(a), lambda m: let(k * _mad(a, m), lambda cut: mean(a, m, cut)))
+
+    return inner(values) if presorted else let(F.sort_array(values), inner)
 
 
 def bin_reducer(method: str) -> float | str:
@@ -205,3 +208,28 @@ def reduce_bins(
         F.coalesce(F.avg(F.when(keep, F.col("_v"))), F.first("_med")).alias(out), nobs
     )
     return s.unionByName(big)
+
+
+def reduce_bins_methods(df: DataFrame, keys: list[str], value: str, methods: list[str], limit: int | None = GROUP_LIMIT, hot="count") -> DataFrame:
+    """keys, method, statistic, nobs for several binning methods.  The values of a cell are shuffled once and
+    every method is evaluated on the same array; only groups beyond ``limit`` fall back to one pass per method."""
+    d = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    small, large = split_hot(d, keys, limit, hot)
+    g = small.groupBy(*keys).agg(F.collect_list("_v").alias("_l"), F.count(F.lit(1)).alias("nobs"))
+
+    def stat(m: str, a: Column) -> Column:
+        how = bin_reducer(m)
+        if how == "mean":
+            return F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x) / F.size(a)
+        if how == "median":
+            return _mid(a)
+        return _trimmed_mean(a, F.lit(how * MAD_TO_SIGMA), presorted=True)
+
+    made = let(F.sort_array("_l"), lambda a: F.array(*[F.struct(F.lit(m).alias("method"), stat(m, a).alias(value)) for m in methods]))
+    out = g.select(*keys, "nobs", F.explode(made).alias("_m")).select(*keys, "_m.method", f"_m.{value}", "nobs")
+    if large is None:
+        return out
+    for m in methods:
+        big = reduce_bins(large.withColumnRenamed("_v", value), keys, value, m, limit=0, hot=large.select(*keys).distinct())
+        out = out.unionByName(big.select(*keys, F.lit(m).alias("method"), value, "nobs"))
+    return out

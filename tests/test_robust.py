@@ -71,3 +71,13 @@ def test_missing_values_are_left_out(spark):
 def test_zero_mad_keeps_values_at_the_median(spark):
     df = spark.createDataFrame([("a", v) for v in [2.0, 2.0, 2.0, 9.0]], "k string, x double")
     assert robust.reduce_bins(df, ["k"], "x", "nmad5").collect()[0]["x"] == 2.0
+
+
+@pytest.mark.parametrize("limit", [10, None])
+def test_methods_in_one_pass(spark, limit):
+    _, df = frame(spark, 9)
+    methods = ["median", "mean", "nmad3", "nmad5"]
+    got = {(r["k"], r["method"]): (r["x"], r["nobs"]) for r in robust.reduce_bins_methods(df, ["k"], "x", methods, limit).collect()}
+    for m in methods:
+        for r in robust.reduce_bins(df, ["k"], "x", m, limit=None).collect():
+            assert got[r["k"], m] == (pytest.approx(r["x"], rel=1e-12), r["nobs"])
