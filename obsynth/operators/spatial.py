@@ -94,9 +94,9 @@ def tiles_touching_zones(tiles: DataFrame, zones: DataFrame, tile: str, zone: st
 
 # -- nearest neighbours -----------------------------------------------------------------------
 
-STEP = 16  # each level splits a cube of the unit ball into STEP^3, of which about pi STEP^2 meet the sphere
-LEAF = 256  # locations per leaf cube that need no further split
-MAX_LEVELS = 5
+STEP = 4  # each level splits a cube of the unit ball into STEP^3, of which about pi STEP^2 meet the sphere
+LEAF = 64  # locations per leaf cube that need no further split
+MAX_LEVELS = 8  # cubes of about 200 m
 
 
 def _xyz(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -173,8 +173,16 @@ def nearest(
 
     # level 1: the occupied cubes of a `by` group fit in one array (at most STEP^3), so every query prunes
     # them inside its own row, before anything is multiplied or shuffled
-    cells = _cubes_of(loc, by, 1).groupBy(*by).agg(F.collect_list(F.struct("_b", "_n", *_cube_names(1))).alias("_cells"))
-    q = _xyz(queries.select(*by, F.col(query_key).alias("_q"), x, y), x, y)
+    root = _cubes_of(loc, by, 1)
+    half = [(F.col(f"_b.{c}1") - F.col(f"_b.{c}0")) / 2 for c in "xyz"]
+    ball = F.struct(
+        *[((F.col(f"_b.{c}0") + F.col(f"_b.{c}1")) / 2).alias(c) for c in "xyz"],
+        (F.sqrt(half[0] * half[0] + half[1] * half[1] + half[2] * half[2]) + 1e-12).alias("r"), F.col("_n").alias("n"), *_cube_names(1))
+    cells = root.groupBy(*by).agg(F.collect_list(ball).alias("_cells"))
+    q = queries.select(*by, F.col(query_key).alias("_q"), x, y)
+    # one light shuffle by query: evens out few or skewed input splits before the work per query, and while the
+    # tree is small enough to broadcast, every later step per query stays in this partitioning
+    q = _xyz(q.repartition(int(q.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by, "_q"), x, y)
     qcols = [*by, "_q", x, y, "_x", "_y", "_z"]
     if by:
         q = q.join(cells, by)
@@ -182,8 +190,14 @@ def nearest(
         q = q.withColumn("_one", F.lit(1)).join(F.broadcast(cells.withColumn("_one", F.lit(1))), "_one")  # one row of bounded size
 
     def scored(e: Column) -> Column:
-        near, far = _bounds(e["_b"])
-        return F.struct(near.alias("near"), far.alias("far"), e["_n"].alias("n"), *[e[c].alias(c) for c in _cube_names(1)])
+        # first level: distance to the ball around the cube's locations, fewer steps than the box
+        a, b, c = F.col("_x") - e["x"], F.col("_y") - e["y"], F.col("_z") - e["z"]
+
+        def ends(s: Column) -> Column:
+            near, far = F.greatest(s - e["r"], F.lit(0.0)), s + e["r"]
+            return F.struct((near * near).alias("near"), (far * far).alias("far"), e["n"].alias("n"), *[e[n].alias(n) for n in _cube_names(1)])
+
+        return let(F.sqrt(a * a + b * b + c * c), ends)
 
     def cut_of(arr: Column) -> Column:
         if need == 1:
@@ -194,7 +208,8 @@ def nearest(
         return F.aggregate(order, start, step, lambda a: F.when(a["c"] >= need, a["f"]))
 
     alive = let(F.transform("_cells", scored), lambda arr: let(cut_of(arr), lambda cut: F.filter(arr, lambda e: reachable(e["near"], cut))))
-    c = q.select(*qcols, F.explode(alive).alias("_e")).select(*qcols, *[f"_e.{n}" for n in _cube_names(1)])
+    # (explode_outer: a plain explode would evaluate the array a second time for its inferred size filter)
+    c = q.select(*qcols, F.explode_outer(alive).alias("_e")).select(*qcols, *[f"_e.{n}" for n in _cube_names(1)])
     for lv in range(2, levels + 1):
         c = c.join(_cubes_of(loc, by, lv), [*by, *_cube_names(lv - 1)])
         near, far = _bounds(F.col("_b"))
