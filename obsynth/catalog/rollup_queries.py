@@ -314,7 +314,7 @@ def region_list_sums(spark, d):
           "ownyr as (select basin, yr, sum(v) as v from own group by all having count(distinct mo) = 12)",
           "oth as (select o_custkey % 10 as basin, o_orderkey % 5 as gcm, year(o_orderdate) as yr, sum(o_totalprice) / 2e5 as v from orders group by all)",
           "med as (select basin, yr, median(v) as o from oth group by all)")
-    + f"""select basin, {r('avg(v)', 5)} as own_mean, {r('avg(o)', 5)} as other_mean, {r('regr_slope(v, yr)', 5)} as own_trend, {r('regr_slope(o, yr)', 5)} as other_trend,
+    + f"""select basin, {r('avg(v)', 5)} as own_mean, {r('avg(o)', 5)} as other_mean, {r('case when count(*) > 1 then regr_slope(v, yr) end', 5)} as own_trend, {r('case when count(*) > 1 then regr_slope(o, yr) end', 5)} as other_trend,
     count(*) as n_years, {r('(avg(v) / avg(o) - 1) * 100', 4)} as percent_diff from ownyr join med using (basin, yr) group by basin""",
 )
 def model_compare(spark, d):
