@@ -285,7 +285,10 @@ def _pack(df: DataFrame, keys: list[str], cell_deg: float, values: list[str]) ->
     d = df.withColumn("_cx", F.floor(F.col("lon") / cell_deg)).withColumn("_cy", F.floor(F.col("lat") / cell_deg))
     cnt = d.groupBy(*keys, "_cx", "_cy").agg(F.ceil(F.count(F.lit(1)) / (BLOCK // 2)).cast("int").alias("_nb"))
     d = d.join(cnt, [*keys, "_cx", "_cy"]).withColumn("_blk", F.pmod(F.xxhash64("_id"), F.col("_nb")).cast("int"))
-    return d.groupBy(*keys, "_cx", "_cy", "_blk").agg(F.collect_list(F.struct("_id", "lon", "lat", *values)).alias("_pts"))
+    g = d.groupBy(*keys, "_cx", "_cy", "_blk").agg(F.collect_list(F.struct("_id", "lon", "lat", *values)).alias("_pts"))
+    # parallel arrays reach Python as numpy buffers
+    arrays = F.struct(*[F.col(f"_pts.{c}").alias(c) for c in ("_id", "lon", "lat", *values)])
+    return g.select(*keys, "_cx", "_cy", arrays.alias("_pts"))
 
 
 def distance_band_means(df: DataFrame, keys: list[str], point: str, value: str, edges_m: list[float], cell_deg: float) -> DataFrame:
@@ -307,37 +310,39 @@ def distance_band_means(df: DataFrame, keys: list[str], point: str, value: str,
     span = F.array_distinct(F.transform(F.sequence(F.col("_cx") - F.col("_rx"), F.col("_cx") + F.col("_rx")), lambda c: F.pmod(c + n_x // 2, F.lit(n_x)) - n_x // 2))
     left = left.withColumn("_tx", F.explode(span))
     right = blocks.select(*keys, F.col("_pts").alias("_b"), (F.pmod(F.col("_cx") + n_x // 2, F.lit(n_x)) - n_x // 2).alias("_tx"), F.col("_cy").alias("_ty"))
-    pairs = left.join(right, [*keys, "_tx", "_ty"]).select(*keys, "_a", "_b")
+    cols = [F.col(f"_{side}.{c}").alias(f"{side}_{c.strip('_')}") for side in "ab" for c in ("_id", "lon", "lat", "_v")]
+    pairs = left.join(right, [*keys, "_tx", "_ty"]).select(*keys, *cols)
+    # block pairs are spread evenly: the pairs of a hot cell would otherwise follow its join partition
+    pairs = pairs.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*keys).schema) + ", id long, band int, n long, s double, c long"
     edges = np.asarray(edges_m, dtype=float)
+    nk = len(keys)
 
     def work(batches):
         for pdf in batches:
             out = []
             for row in pdf.itertuples(index=False):
-                a, b = row[len(keys)], row[len(keys) + 1]
-                ia, ib = np.array([p["_id"] for p in a]), np.array([p["_id"] for p in b])
-                la, pa = np.radians([p["lon"] for p in a]), np.radians([p["lat"] for p in a])
-                lb, pb = np.radians([p["lon"] for p in b]), np.radians([p["lat"] for p in b])
-                va, vb = np.array([p["_v"] for p in a]), np.array([p["_v"] for p in b])
+                ia, la, pa, va, ib, lb, pb, vb = (np.asarray(x) for x in row[nk:])
+                la, pa, lb, pb = (np.radians(x) for x in (la, pa, lb, pb))
                 h = np.sin((pb[None] - pa[:, None]) / 2) ** 2 + np.cos(pa)[:, None] * np.cos(pb)[None] * np.sin((lb[None] - la[:, None]) / 2) ** 2
                 dist = 2 * geo.EARTH_RADIUS_M * np.arcsin(np.minimum(1.0, np.sqrt(h)))
                 band = np.searchsorted(edges, dist, side="left") - 1
-                band[ia[:, None] == ib[None]] = -1
-                diff = np.abs(va[:, None] - vb[None])
-                for k in range(n_bands):
-                    m = band == k
-                    n = m.sum(axis=1)
-                    some = n > 0
-                    if some.any():
-                        nz = m & (diff != 0)
-                        out.append(pd.DataFrame({
-                            **{key: row[i] for i, key in enumerate(keys)}, "id": ia[some], "band": k, "n": n[some],
-                            "s": np.where(nz, diff, 0.0).sum(axis=1)[some], "c": nz.sum(axis=1)[some],
-                        }))
+                i, j = np.nonzero((band >= 0) & (band < n_bands) & (ia[:, None] != ib[None]))
+                if len(i) == 0:
+                    continue
+                slot, diff = i * n_bands + band[i, j], np.abs(va[i] - vb[j])
+                size = len(ia) * n_bands
+                n = np.bincount(slot, minlength=size)
+                s = np.bincount(slot, weights=diff, minlength=size)
+                c = np.bincount(slot[diff != 0], minlength=size)
+                got = np.nonzero(n)[0]
+                out.append((row[:nk], ia[got // n_bands], got % n_bands, n[got], s[got], c[got]))
             if out:
-                yield pd.concat(out)[[*keys, "id", "band", "n", "s", "c"]]
+                data = {k: np.repeat(np.array([o[0][q] for o in out], dtype=object), [len(o[1]) for o in out]) for q, k in enumerate(keys)}
+                for name, q in (("id", 1), ("band", 2), ("n", 3), ("s", 4), ("c", 5)):
+                    data[name] = np.concatenate([o[q] for o in out])
+                yield pd.DataFrame(data)
 
     part = pairs.mapInPandas(work, schema)
     return part.groupBy(*keys, "id", "band").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("c").alias("c"))
