@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import encode_decode
 from .common import table
+from .media import png_features, texts_to_png
 from .packing import pack_documents
+from .topk import exact_top_k
+from .urls import judge_pages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -19,6 +22,34 @@ def op(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession,
     return fn
 
 
+@op
+def op5_host_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_pages(table(spark, sf_dir, "pages")).drop("trust", "distrust")
+
+
+@op
+def op7_norm_sorted_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_top_k(table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op7_norm_sorted_top_k"] = """
+with v as (
+    select vec_id, list_transform(embedding, x -> cast(floor(64 * cast(x as double)) as bigint)) as v from embeddings
+    where vec_id is not null and embedding is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0
+), s as (
+    select a.vec_id as query_id, b.vec_id, cast(list_sum(list_transform(list_zip(a.v, b.v), z -> z[1] * z[2])) as bigint) as score
+    from v a join v b on a.vec_id <> b.vec_id where a.vec_id % 20 = 0
+)
+select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score
+from s qualify rank <= 20
+"""
+
+
+@op
+def op8_png_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return png_features(texts_to_png(table(spark, sf_dir, "documents"))).drop("hash", "error")
+
+
 @op
 def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"))
