@@ -10,6 +10,7 @@ from .bpe import encode_decode
 from .common import table
 from .media import png_features, texts_to_png
 from .packing import pack_documents
+from .secret_scan import report_sql, secret_report
 from .topk import exact_top_k
 from .urls import judge_pages
 
@@ -22,6 +23,14 @@ def op(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession,
     return fn
 
 
+@op
+def op4_entropy_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_report(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op4_entropy_secrets"] = report_sql()
+
+
 @op
 def op5_host_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_pages(table(spark, sf_dir, "pages")).drop("trust", "distrust")
@@ -34,10 +43,10 @@ def op7_norm_sorted_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLES["op7_norm_sorted_top_k"] = """
 with v as (
-    select vec_id, list_transform(embedding, x -> cast(floor(64 * cast(x as double)) as bigint)) as v from embeddings
-    where vec_id is not null and embedding is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0
+    select vec_id, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint)) as v from embeddings
+    where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
 ), s as (
-    select a.vec_id as query_id, b.vec_id, cast(list_sum(list_transform(list_zip(a.v, b.v), z -> z[1] * z[2])) as bigint) as score
+    select a.vec_id as query_id, b.vec_id, cast(list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2])) as bigint) as score
     from v a join v b on a.vec_id <> b.vec_id where a.vec_id % 20 = 0
 )
 select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score
