@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import encode_decode
 from .common import table
+from .html_main import extract_main
 from .media import png_features, texts_to_png
 from .packing import pack_documents
 from .secret_scan import report_sql, secret_report
@@ -23,6 +24,11 @@ def op(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession,
     return fn
 
 
+@op
+def op1_template_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main(table(spark, sf_dir, "pages"))
+
+
 @op
 def op4_entropy_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(table(spark, sf_dir, "documents"))
