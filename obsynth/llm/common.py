@@ -2,15 +2,28 @@
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Iterator
+import functools
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SLICE_BYTES = 4 << 20
+CHUNKS = 64  # parts of a table of counters that are summed apart
+
+# Odd multipliers of the hashes (any odd constants would do).
+WORD_STEP = 0x9E3779B97F4A7C15
+WORD_STEP_INVERSE = pow(WORD_STEP, -1, 1 << 64)
+MIX_1, MIX_2 = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
+
+# Words: runs of anything but space and the bytes 9 to 13; LOWER puts A-Z in lower case.
+WHITE = np.zeros(256, bool)
+WHITE[[32, *range(9, 14)]] = True
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,5 +55,82 @@ def crc_fold(column: str, folds: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % folds
 
 
-def crc(text: str) -> int:
-    return zlib.crc32(text.encode())
+def bytes_of(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
+    """The texts of a batch as UTF-8; null reads as empty."""
+    return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
+
+
+def mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(MIX_1)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(MIX_2)
+    return h ^ (h >> np.uint64(31))
+
+
+@functools.cache
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the word multiplier and of its inverse modulo 2**64."""
+    out = []
+    for m in (WORD_STEP, WORD_STEP_INVERSE):
+        p = np.full(n, m, np.uint64)
+        p[0] = 1
+        out.append(np.cumprod(p))
+    return out[0], out[1]
+
+
+def word_hashes(texts: list[bytes], lower: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of all words of the texts, in order.  A word's hash is a polynomial of its bytes,
+    cut out of one running sum over all texts."""
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    raw = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+    if lower:
+        raw = LOWER[raw]
+    white = WHITE[raw]
+    first = np.flatnonzero(~white & np.r_[True, white[:-1]])
+    last = np.flatnonzero(~white & np.r_[white[1:], True]) + 1
+    up, down = _powers(1 << max(16, int(len(raw)).bit_length()))
+    total = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=total[1:])
+    word = mix((total[last] - total[first]) * down[first] + (last - first).astype(np.uint64))
+    return np.searchsorted(ends, first, side="right"), word
+
+
+def summed_over_tasks(rows: DataFrame, count: Callable[[Iterator[pa.RecordBatch]], np.ndarray], size: int) -> np.ndarray:
+    """Sum over all tasks of the ``size`` integers that ``count`` makes of a task's batches.  Tasks
+    send their numbers in chunks, further tasks add those up, and one table of fixed size reaches
+    the driver."""
+    width = -(-size // CHUNKS)
+    schema = "chunk int, numbers binary"
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.asarray(count(batches), np.int64)
+        for c in range(CHUNKS):
+            part = total[c * width : (c + 1) * width]
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["chunk", "numbers"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for c, x in zip(b.column("chunk").to_pylist(), b.column("numbers").to_pylist(), strict=True):
+                part = np.frombuffer(x, np.int64)
+                sums[c] = sums[c] + part if c in sums else part
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["chunk", "numbers"])
+
+    out = np.zeros(size, np.int64)
+    for r in rows.mapInArrow(send, schema).repartition(CHUNKS, "chunk").mapInArrow(add, schema).collect():
+        part = np.frombuffer(r["numbers"], np.int64)
+        out[r["chunk"] * width : r["chunk"] * width + len(part)] += part
+    return out
+
+
+def labelled_sample(labels: DataFrame, label: str, held: Column, per_class: dict[int, int], id_col: str = "doc_id") -> DataFrame:
+    """(doc_id, label, bit): at most so many labelled ids of each class, none held out.  The ids with
+    the smallest hashes are taken, so the sample does not hang on the order of rows; its size is the
+    bound, whatever the tables."""
+    fit = labels.select(F.col(id_col).alias("doc_id"), F.col(label).cast("int").alias("label")).where(F.col("doc_id").isNotNull() & F.col("label").isNotNull())
+    fit = fit.where(~held).distinct()
+    parts = [fit.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for k, n in per_class.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out.withColumn("bit", F.shiftright(F.xxhash64(F.lit(7), "doc_id"), 20).bitwiseAND(1))
