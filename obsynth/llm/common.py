@@ -124,7 +124,7 @@ def summed_over_tasks(rows: DataFrame, count: Callable[[Iterator[pa.RecordBatch]
 
 
 def labelled_sample(labels: DataFrame, label: str, held: Column, per_class: dict[int, int], id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, label, bit): at most so many labelled ids of each class, none held out.  The ids with
+    """(doc_id, label, bits): at most so many labelled ids of each class, none held out.  The ids with
     the smallest hashes are taken, so the sample does not hang on the order of rows; its size is the
     bound, whatever the tables."""
     fit = labels.select(F.col(id_col).alias("doc_id"), F.col(label).cast("int").alias("label")).where(F.col("doc_id").isNotNull() & F.col("label").isNotNull())
@@ -133,4 +133,4 @@ def labelled_sample(labels: DataFrame, label: str, held: Column, per_class: dict
     out = parts[0]
     for p in parts[1:]:
         out = out.union(p)
-    return out.withColumn("bit", F.shiftright(F.xxhash64(F.lit(7), "doc_id"), 20).bitwiseAND(1))
+    return out.withColumn("bits", F.shiftrightunsigned(F.xxhash64(F.lit(7), "doc_id"), 20))

@@ -16,6 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
 from .common import slices, texts_of
 
@@ -201,7 +202,7 @@ def png_features(stored: DataFrame, media_col: str = "media") -> DataFrame:
     fresh = [x.split()[0] for x in FEATURES.split(", ")]
     kept = [c for c in stored.columns if c != media_col and c not in fresh]
     rows = stored.select(*kept, stored[media_col].alias(media_col))
-    schema = ", ".join([*(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept), FEATURES])
+    schema = StructType([*(rows.schema[c] for c in kept), *StructType.fromDDL(FEATURES).fields])
 
     def one(data: bytes | None) -> tuple:
         if data is None:

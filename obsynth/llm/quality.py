@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import bytes_of, labelled_sample, slices, summed_over_tasks, word_hashes
 
@@ -168,7 +169,7 @@ def train(docs: DataFrame, labels: DataFrame, held: Column, sample: dict[int, in
     vectors = word_vectors(context_sums(docs))
     shared = docs.sparkSession.sparkContext.broadcast(vectors)  # of fixed size
     chosen = F.broadcast(labelled_sample(labels, "quality", held, sample))  # at most the sample's size
-    rows = docs.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", "label", F.shiftright(F.xxhash64(F.lit(11), "doc_id"), 20).bitwiseAND(3).alias("part"), "text")
+    rows = docs.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", "label", (F.col("bits") % 4).alias("part"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
@@ -194,7 +195,7 @@ def score_quality(docs: DataFrame, model: QualityModel, text_col: str = "text",
     good.  Null and empty texts have the score of a text without words; repeated rows and null ids
     are scored as they come; no rows give no rows."""
     rows = docs.drop(score_col)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), f"`{score_col}` double"])
+    schema = StructType([*rows.schema.fields, StructField(score_col, DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -99,7 +99,8 @@ def _spans(text: str, pattern: str, number: int, pieces: str, found: str, values
 
 
 def find_secrets(docs: DataFrame, text_col: str = "text", classes: list[CharClass] = CLASSES) -> DataFrame:
-    """All rows and columns of ``docs`` with ``_base`` and ``_all``: arrays of (start, kind, end) of
+    """``docs`` (whose column names do not start with an underscore and a letter of p, m, v, s) with
+    ``_base`` and ``_all``: arrays of (start, kind, end) of
     the base patterns and of all spans, sorted; kinds are numbered in the order of ``kinds``.
 
     A null or empty text has no spans.  Every row is judged alone, so repeated rows, null ids and any
@@ -148,17 +149,16 @@ def secret_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def mask_secrets(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET]", classes: list[CharClass] = CLASSES) -> DataFrame:
     """``docs`` with every span (overlapping ones as one) replaced by ``mask``; null stays null."""
-    columns = docs.columns
-    d = find_secrets(docs, text_col, classes)
-    text = F.col(text_col)
+    d = find_secrets(docs.select(F.struct("*").alias("_row"), F.col(text_col).alias("text")), classes=classes)
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
 
     def step(acc: Column, s: Column) -> Column:
-        fresh = F.concat(acc["parts"], F.array(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask)))
+        fresh = F.concat(acc["parts"], F.array(F.substring("text", acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask)))
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], fresh).otherwise(acc["parts"]).alias("parts"))
 
-    masked = F.aggregate(F.col("_all"), start, step, lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(text, acc["at"] + 1, F.char_length(text))))
-    return d.withColumn(text_col, F.when(F.size("_all") > 0, masked).otherwise(text)).select(*columns)
+    masked = F.aggregate(F.col("_all"), start, step, lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring("text", acc["at"] + 1, F.char_length("text"))))
+    text = F.when(F.size("_all") > 0, masked).otherwise(F.col("text"))
+    return d.select(*((text if c == text_col else F.col("_row").getField(c)).alias(c) for c in docs.columns))
 
 
 def _sql_either_case(word: str) -> str:

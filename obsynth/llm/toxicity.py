@@ -1,7 +1,7 @@
 """Toxicity by compression distance.
 
 Two zstandard dictionaries share a stretch of ordinary text; the toxic one also holds the segments
-that toxic training documents repeat and ordinary ones lack, the ordinary one as many neutral bytes
+that toxic training documents repeat and ordinary ones hardly have, the ordinary one as many neutral bytes
 in their place.  Windows slide over a text and are compressed with both; a window that the toxic
 dictionary makes shorter speaks for toxicity.  The best windows are compressed again at shifted
 places, whose mean is free of chance, and a logistic calibration turns gains into a probability.
@@ -9,7 +9,6 @@ places, whose mean is free of chance, and a logistic calibration turns gains int
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,92 +17,91 @@ import pyarrow as pa
 import zstandard as zs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import bytes_of, labelled_sample, slices
 
 # The bounded training sample: labelled rows of each class, and the longest text that is used.
 SAMPLE = {1: 2000, 0: 5000}
 SAMPLE_CHARS = 20_000
+PARTS = 4  # of the sample; the calibration leaves one out at a time
 
-GRAM = 5  # bytes of the strings whose document counts are compared
-STANDS_OUT = 6.0  # standard deviations above the count that ordinary text lets expect
-COVERED = 2  # segments wanted per toxic document
+START = 3  # first bytes of a word that are marked
+LENGTHS = range(5, 9)  # bytes of the word beginnings whose document counts are compared
+STANDS_OUT = 5.0  # standard deviations above the count that ordinary text lets expect
+FACTOR = 3  # times as frequent in toxic documents at least
+COVERED = 5  # segments wanted per toxic document
 LEAST = 0.005  # share of the toxic documents a segment must newly cover (three at least)
 SEGMENT_BYTES, ORDINARY_BYTES = 1024, 32768
 
 WINDOW, STRIDE = 96, 48
-BEST = 3  # windows of a text that are looked at again
+BEST = 8  # windows of a text that are looked at again
 SHIFTS = np.arange(-24, 25, 8)
 LEVEL, MIN_MATCH = 6, 5
 
 
 def normal(text: bytes) -> bytes:
-    """ASCII letters in lower case, lines joined by spaces, so that words look alike everywhere."""
-    return b" " + text.lower().replace(b"\n", b" ") if text else b""
-
-
-def grams(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(value, place) of the 5-byte strings that have no space but in front."""
-    a = np.frombuffer(text, np.uint8)
-    if len(a) < GRAM:
-        return np.empty(0, np.uint64), np.empty(0, int)
-    spaces = np.r_[0, np.cumsum(a == 32)]
-    at = np.flatnonzero(spaces[GRAM:] == spaces[1 : len(a) - GRAM + 2])
-    value = np.zeros(len(at), np.uint64)
-    for i in range(GRAM):
-        value = value << np.uint64(8) | a[at + i]
-    return value, at
-
-
-def _document_counts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    found = [np.unique(grams(t)[0]) for t in texts]
-    return np.unique(np.concatenate(found), return_counts=True) if found else (np.empty(0, np.uint64), np.empty(0, int))
+    """ASCII letters in lower case, lines joined by spaces, and one bit turned in the first bytes of
+    every word, so that what a word begins with is matched by beginnings of words alone."""
+    if not text:
+        return b""
+    a = np.frombuffer(b" " + text.lower().replace(b"\n", b" "), np.uint8).copy()
+    space = a == 32
+    since = np.arange(len(a)) - np.maximum.accumulate(np.where(space, np.arange(len(a)), 0))
+    a[(since > 0) & (since <= START)] ^= 32
+    return a.tobytes()
+
+
+def word_starts(text: bytes) -> np.ndarray:
+    """The distinct word beginnings of 5 to 8 bytes, the space in front included, as integers."""
+    a = np.frombuffer(text + b" " * max(LENGTHS), np.uint8)
+    at = np.flatnonzero(a[: len(text)] == 32)
+    value, whole, out = np.zeros(len(at), np.uint64), np.ones(len(at), bool), []
+    for i in range(max(LENGTHS)):
+        letter = a[at + i]
+        if i:
+            whole &= letter != 32
+        value = value << np.uint64(8) | letter
+        if i + 1 in LENGTHS:
+            out.append(value[whole])
+    return np.unique(np.concatenate(out))
+
+
+def _as_bytes(value: int) -> bytes:
+    return value.to_bytes((value.bit_length() + 7) // 8, "big")
 
 
 def toxic_segments(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
-    """Strings of toxic documents that ordinary ones lack, chosen greedily to cover every toxic
-    document twice; exact copies of a document count once."""
-    toxic = list(dict.fromkeys(toxic))
-    value, count = _document_counts(toxic)
-    other, other_count = _document_counts(ordinary)
-    seen = np.zeros(len(value))
-    if len(other):
-        i = np.minimum(np.searchsorted(other, value), len(other) - 1)
-        seen = np.where(other[i] == value, other_count[i], 0)
-    expect = len(toxic) * (seen + 1) / max(1, len(ordinary))
-    keep = ((count - expect) / np.sqrt(expect + 1) >= STANDS_OUT) & (count > 5 * expect)
-    value, count = value[keep], count[keep]
-    if not len(value):
-        return []
-    held: list[set[bytes]] = []
-    for t in toxic:
-        g, at = grams(t)
-        i = np.minimum(np.searchsorted(value, g), len(value) - 1)
-        hit = value[i] == g
-        at, n = at[hit], count[i[hit]]
-        own: set[bytes] = set()
-        if len(at):
-            run = np.flatnonzero(np.r_[True, np.diff(at) > 1])
-            peak = np.repeat(np.maximum.reduceat(n, run), np.diff(np.r_[run, len(at)]))
-            at = at[n >= peak / 2]  # the common core, not each ending
-            own = {t[z[0] : z[-1] + GRAM] for z in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1)}
-        held.append(own)
-    cover = Counter(x for own in held for x in own)
-    left, chosen, size = [COVERED] * len(held), [], 0
-    while cover:
-        x, n = max(cover.items(), key=lambda kv: (kv[1], kv[0]))
-        if n < max(3, LEAST * len(held)) or size + len(x) > SEGMENT_BYTES:
+    """Word beginnings that toxic documents hold far oftener than ordinary ones, chosen greedily to
+    cover every toxic document a few times; exact copies of a document count once."""
+    held = [word_starts(t) for t in dict.fromkeys(toxic)]
+    value, count = np.unique(np.concatenate(held), return_counts=True)
+    other, other_count = np.unique(np.concatenate([word_starts(t) for t in ordinary]), return_counts=True)
+    i = np.minimum(np.searchsorted(other, value), len(other) - 1)
+    expect = len(held) * (np.where(other[i] == value, other_count[i], 0) + 0.5) / len(ordinary)
+    keep = ((count - expect) / np.sqrt(expect + 1) >= STANDS_OUT) & (count > FACTOR * expect)
+    value, expect = value[keep], expect[keep]
+    pairs = [np.searchsorted(value, np.intersect1d(h, value, assume_unique=True)) for h in held]
+    member = np.zeros((len(value), len(held)), bool)
+    for k, p in enumerate(pairs):
+        member[p, k] = True
+    left, chosen, size = np.full(len(held), COVERED), [], 0
+    names = [_as_bytes(v) for v in value.tolist()]
+    while len(value):
+        fresh = member[:, left > 0].sum(1)
+        gain = fresh - FACTOR * expect
+        best = int(np.argmax(gain))
+        if gain[best] < max(3, LEAST * len(held)) or size + max(LENGTHS) > SEGMENT_BYTES:
             break
-        chosen.append(x)
-        size += len(x)
-        del cover[x]
-        for k, own in enumerate(held):
-            if left[k] and x in own:
-                left[k] -= 1
-                if not left[k]:
-                    for w in own:
-                        if w in cover:
-                            cover[w] -= 1
+        for k in sorted(range(len(names)), key=lambda k: len(names[k])):  # the longest form as common
+            if names[k].startswith(names[best]) and fresh[k] >= 0.9 * fresh[best]:
+                best = k
+        chosen.append(names[best])
+        size += len(names[best])
+        left = left - (member[best] & (left > 0))
+        for k, name in enumerate(names):
+            if name.startswith(names[best]) or names[best].startswith(name):
+                member[k] = False
     return chosen
 
 
@@ -190,34 +188,45 @@ def calibrate(x: np.ndarray, y: np.ndarray, rounds: int = 50, ridge: float = 1.0
     return w, mean, scale
 
 
-def train(docs: DataFrame, labels: DataFrame, held: Column, sample: dict[int, int] = SAMPLE) -> ToxicityModel:
-    """Fits dictionaries on one half of a bounded sample of labelled rows and the calibration on the
-    other (on the same rows where the half lacks a class).  Without rows of both classes every score
-    is the share of toxic labels (0.5 without labels)."""
-    chosen = F.broadcast(labelled_sample(labels, "toxic", held, sample))  # at most the sample's size
-    rows = docs.select("doc_id", "text").join(chosen, "doc_id").where(F.length("text").between(1, SAMPLE_CHARS)).select("doc_id", "text", "label", "bit").distinct().collect()
-    rows = sorted(rows, key=lambda r: (r["doc_id"], r["text"]))
-    texts, y, bit = [r["text"].encode() for r in rows], np.array([r["label"] for r in rows], int), np.array([r["bit"] for r in rows], int)
+def _dictionaries(texts: list[bytes], y: np.ndarray) -> ToxicityModel:
+    ordinary = [normal(t) for t, k in zip(texts, y, strict=True) if not k]
+    segments = b"".join(reversed(toxic_segments([normal(t) for t, k in zip(texts, y, strict=True) if k], ordinary)))
+    mixed = b"".join(ordinary[i][:2048] for i in np.random.default_rng(0).permutation(len(ordinary)))[:ORDINARY_BYTES]
+    return ToxicityModel(segments + mixed if segments else b"", b"\0" * len(segments) + mixed)
+
+
+def fit(texts: list[bytes], y: np.ndarray, part: np.ndarray) -> ToxicityModel:
+    """Dictionaries from all rows; the calibration sees each row's gains under dictionaries that were
+    made without the row's part.  Rows of one class alone give a constant score, their share of
+    toxic labels (0.5 without rows)."""
     if len(set(y.tolist())) < 2:
         share = y.mean() if len(y) else 0.5
         return ToxicityModel(b"", b"", (float(np.log((share + 1e-9) / (1 - share + 1e-9))), 0, 0, 0, 0))
-    fit = bit == 0 if all(((y == k) & (bit == b)).any() for k in (0, 1) for b in (0, 1)) else np.ones(len(y), bool)
-    test = ~fit if not fit.all() else fit
-    ordinary = [normal(t) for t, k, f in zip(texts, y, fit, strict=True) if f and not k]
-    segments = b"".join(reversed(toxic_segments([normal(t) for t, k, f in zip(texts, y, fit, strict=True) if f and k], ordinary)))
-    mixed = b"".join(ordinary[i][:2048] for i in np.random.default_rng(0).permutation(len(ordinary)))[:ORDINARY_BYTES]
-    model = ToxicityModel(segments + mixed if segments else b"", b"\0" * len(segments) + mixed)
-    x = Gains(model).features([t for t, f in zip(texts, test, strict=True) if f])
-    w, mean, scale = calibrate(x, y[test])
+    x = np.zeros((len(texts), 4))
+    for k in set(part.tolist()):
+        out = np.flatnonzero(part == k)
+        rest = np.flatnonzero(part != k)
+        model = _dictionaries([texts[i] for i in rest], y[rest])
+        x[out] = Gains(model).features([texts[i] for i in out])
+    model = _dictionaries(texts, y)
+    w, mean, scale = calibrate(x, y)
     return ToxicityModel(model.toxic, model.ordinary, tuple(w), tuple(mean), tuple(scale))
 
 
+def train(docs: DataFrame, labels: DataFrame, held: Column, sample: dict[int, int] = SAMPLE) -> ToxicityModel:
+    """The model of a bounded sample of labelled rows, none of them held out."""
+    chosen = F.broadcast(labelled_sample(labels, "toxic", held, sample))  # at most the sample's size
+    rows = docs.select("doc_id", "text").join(chosen, "doc_id").where(F.length("text").between(1, SAMPLE_CHARS)).select("doc_id", "text", "label", "bits").distinct().collect()
+    rows = sorted(rows, key=lambda r: (r["doc_id"], r["text"], r["label"]))
+    return fit([r["text"].encode() for r in rows], np.array([r["label"] for r in rows], int), np.array([r["bits"] % PARTS for r in rows], int))
+
+
 def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """``docs`` with a double ``score_col`` (replaced if there): the probability that the whole text is
     toxic.  Null and empty texts have the score of a text without windows; repeated rows and null
     ids are scored as they come; no rows give no rows."""
     rows = docs.drop(score_col)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), f"`{score_col}` double"])
+    schema = StructType([*rows.schema.fields, StructField(score_col, DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gains = Gains(model)
