@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import bin_center, bin_index, col
-from .robust import GROUP_LIMIT, group_mad, reduce_bins
+from .robust import group_mad, reduce_bins
 
 
 def with_height_bin(df: DataFrame, height: str, width: float = 100.0, lo: float = 0.0, hi: float = 10000.0, closed: str = "left", out: str = "height_bin") -> DataFrame:
@@ -20,11 +20,11 @@ def with_height_bin(df: DataFrame, height: str, width: float = 100.0, lo: float
 
 def bin_2d(
     df: DataFrame, keys: list[str], value: str, time_bin: Column, height_bin: Column,
-    method: str = "nmad5", limit: int | None = GROUP_LIMIT, hot="count",
+    method: str = "nmad5",
 ) -> DataFrame:
     """Binned statistic and count per (keys, time_bin, height_bin); sparse, a missing cell has no row (AGG1)."""
     d = df.select(*keys, time_bin.alias("time_bin"), height_bin.alias("height_bin"), F.col(value))
-    return reduce_bins(d, [*keys, "time_bin", "height_bin"], value, method, limit=limit, hot=hot)
+    return reduce_bins(d, [*keys, "time_bin", "height_bin"], value, method)
 
 
 def bin_with(df: DataFrame, keys: list[str], value: str, reducer: Callable[[Column], Column], out: str | None = None) -> DataFrame:
@@ -41,16 +41,16 @@ def densify(df: DataFrame, keys: list[str], axes: dict[str, Column]) -> DataFram
     return grid.join(df, [*keys, *axes], "left")
 
 
-def bin_1d(df: DataFrame, keys: list[str], x: str, value: str, lo: float, width: float, method: str = "median", limit: int | None = GROUP_LIMIT) -> DataFrame:
+def bin_1d(df: DataFrame, keys: list[str], x: str, value: str, lo: float, width: float, method: str = "median") -> DataFrame:
     """Binned statistic along one axis (AGG4)."""
     d = df.withColumn("bin", bin_index(x, lo, width))
-    return reduce_bins(d, [*keys, "bin"], value, method, limit=limit)
+    return reduce_bins(d, [*keys, "bin"], value, method)
 
 
-def monthly_median(df: DataFrame, keys: list[str], ts: str, value: str, limit: int | None = GROUP_LIMIT) -> DataFrame:
+def monthly_median(df: DataFrame, keys: list[str], ts: str, value: str) -> DataFrame:
     """Median per calendar month (AGG5)."""
     d = df.withColumn("month", F.trunc(F.col(ts), "month"))
-    return reduce_bins(d, [*keys, "month"], value, "median", limit=limit)
+    return reduce_bins(d, [*keys, "month"], value, "median")
 
 
 def area_average(binned: DataFrame, hyps: DataFrame, keys: list[str], value: str = "dh", tile: str = "tile_id", height: str = "height_bin", area: str = "area_km2") -> DataFrame:
@@ -79,9 +79,9 @@ def volume_series(
     return j.select(*keys, time, dv.alias("dv"))
 
 
-def mission_mad(binned: DataFrame, value: str = "dh", mission: str = "mission", limit: int | None = GROUP_LIMIT) -> DataFrame:
+def mission_mad(binned: DataFrame, value: str = "dh", mission: str = "mission") -> DataFrame:
     """MAD of all binned values of a mission, the error floor (AGG13)."""
-    return group_mad(binned, [mission], value, limit).select(mission, F.col("mad").alias("floor"))
+    return group_mad(binned, [mission], value).select(mission, F.col("mad").alias("floor"))
 
 
 def histogram(df: DataFrame, keys: list[str], bins: dict[str, Column], weight: str | Column | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.numeric import col
-from .robust import GROUP_LIMIT, group_median
+from .robust import group_median
 
 
 def valid_points(df: DataFrame, value: str = "dh", height: str = "height", reference: str | None = None, mask: str | None = None) -> DataFrame:
@@ -27,9 +27,9 @@ def min_support(df: DataFrame, keys: list[str], at_least: int = 100) -> DataFram
     return df.join(ok, keys, "left_semi")
 
 
-def robust_range(df: DataFrame, keys: list[str], value: str = "dh", dh_max: float = 200.0, limit: int | None = GROUP_LIMIT, hot="count") -> DataFrame:
+def robust_range(df: DataFrame, keys: list[str], value: str = "dh", dh_max: float = 200.0) -> DataFrame:
     """abs(x - median) < dh_max and abs(x) < 2 dh_max (FLT4)."""
-    med = group_median(df, keys, value, "_med", limit, hot)
+    med = group_median(df, keys, value, "_med")
     v = F.col(value)
     return (
         df.where(F.abs(v) < 2 * dh_max)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import decimal_year
 from ..functions.models import amplitude, annual_terms, phase_day, phase_month
 from ..functions.numeric import bin_center, bin_index, col
-from .robust import GROUP_LIMIT, group_median, let
+from .robust import let, reduce_bins
 
 TIME_ORIGIN = 2000.0  # integer, so the annual terms keep their phase
 
@@ -150,15 +150,13 @@ def region_trends(df: DataFrame, keys: list[str], date: str, value: str, interva
     )
 
 
-def curvature_coefficients(df: DataFrame, keys: list[str], curvature: str, value: str, lo: float = -1.0, hi: float = 1.0, width: float = 0.1, degree: int = 4, limit: int | None = GROUP_LIMIT) -> DataFrame:
+def curvature_coefficients(df: DataFrame, keys: list[str], curvature: str, value: str, lo: float = -1.0, hi: float = 1.0, width: float = 0.1, degree: int = 4) -> DataFrame:
     """Quartic through the binned medians weighted by their counts; groups with too few bins have no
     row (FIT5)."""
     n_bins = int(round((hi - lo) / width))
     d = df.where(F.col(value).isNotNull() & F.col(curvature).isNotNull())
     d = d.withColumn("_bin", bin_index(curvature, lo, width)).where(F.col("_bin").between(0, n_bins - 1))
-    med = group_median(d, [*keys, "_bin"], value, "_m", limit)
-    cnt = d.groupBy(*keys, "_bin").agg(F.count(F.lit(1)).alias("_n"))
-    b = med.join(cnt, [*keys, "_bin"]).withColumn("_c", bin_center("_bin", lo, width))
+    b = reduce_bins(d, [*keys, "_bin"], value, "median", "_m").withColumnRenamed("nobs", "_n").withColumn("_c", bin_center("_bin", lo, width))
     powers = {"q0": F.lit(1.0)}
     for k in range(1, degree + 1):
         powers[f"q{k}"] = F.pow(F.col("_c"), F.lit(float(k)))
@@ -166,9 +164,9 @@ def curvature_coefficients(df: DataFrame, keys: list[str], curvature: str, value
     return fit.where(F.col("n") > degree + 1)
 
 
-def curvature_correct(df: DataFrame, off_mask: DataFrame, keys: list[str], curvature: str, value: str, limit: int | None = GROUP_LIMIT, **axis) -> DataFrame:
+def curvature_correct(df: DataFrame, off_mask: DataFrame, keys: list[str], curvature: str, value: str, **axis) -> DataFrame:
     """Subtract the polynomial bias estimated on ``off_mask`` rows; unfitted groups are unchanged (FIT5)."""
-    fit = curvature_coefficients(off_mask, keys, curvature, value, limit=limit, **axis)
+    fit = curvature_coefficients(off_mask, keys, curvature, value, **axis)
     names = [c for c in fit.columns if c.startswith("q")]
     j = df.join(fit.select(*keys, *names), keys, "left")
     bias = F.col(names[-1])

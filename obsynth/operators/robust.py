@@ -1,10 +1,10 @@
-"""Exact order statistics and robust means per group, safe for hot groups.
+"""Exact order statistics and robust means per group, by one method for groups of every size.
 
-An exact median needs the values of its group together.  Groups up to ``limit`` rows are finished
-with one shuffle (``percentile`` / sorted arrays of proven size).  Larger groups never meet in one
-task: a mergeable sketch brackets each wanted rank, exact counts on 1024 equal-width buckets inside
-the bracket locate the one or two buckets that hold it, and only those buckets' distinct values are
-ranked.  The sketch steers the bucket edges; the answer rests on exact counts alone.
+A mergeable sketch of bounded size brackets each wanted rank; exact counts on equal-width buckets
+inside the bracket locate the bucket that holds it; that bucket's distinct values are ranked.  The
+sketch steers the bucket edges, the answer rests on exact counts alone.  No group meets in one task:
+sketches and counts are combined before the shuffle, and values inside a bracket are dealt out by
+value.
 """
 
 from __future__ import annotations
@@ -18,115 +18,86 @@ from pyspark.sql import functions as F
 from ..functions.numeric import col
 from ..session import cut_lineage
 
-GROUP_LIMIT = 1_000_000
 BUCKETS = 1024
+ACCURACY = 2000  # of the sketch; its ranks are off by a two-thousandth at most
 MAD_TO_SIGMA = 1.4826  # fixed value
 
 
-def find_hot(df: DataFrame, keys: list[str], limit: int = GROUP_LIMIT) -> DataFrame | None:
-    """Keys of groups above ``limit`` rows, or None.  One map-side combined count, run at once: knowing
-    that no group is large keeps the common plan to a single shuffle.  The list has at most rows/limit
-    entries and is stored, so later joins with it are small broadcasts.  Counting a superset of the rows
-    (before filters) is allowed: it only moves more groups to the split path."""
-    hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit).select(*keys)
-    return None if hot.isEmpty() else cut_lineage(hot)
-
-
-def split_hot(df: DataFrame, keys: list[str], limit: int | None, hot: DataFrame | str | None = "count") -> tuple[DataFrame, DataFrame | None]:
-    """(rows of groups within ``limit``, rows of larger groups or None).  ``limit=None`` states that every
-    group is small by construction (an ensemble, an axis); ``hot`` passes on an earlier :func:`find_hot`."""
-    if limit is None:
-        return df, None
-    if isinstance(hot, str):
-        hot = find_hot(df, keys, limit)
-    if hot is None:
-        return df, None
-    hot = F.broadcast(hot.select(*keys))  # at most rows/limit entries
-    return df.join(hot, keys, "left_anti"), df.join(hot, keys, "left_semi")
-
-
-def _large_quantiles(df: DataFrame, keys: list[str], probs: dict[str, float]) -> DataFrame:
-    names = list(probs)
-    around = [min(max(p + d, 0.0), 1.0) for p in probs.values() for d in (-0.01, 0.01)]
-    sketch = df.groupBy(*keys).agg(
-        F.count("_v").alias("_n"),
-        F.percentile_approx("_v", [float(a) for a in around], 2000).alias("_q"),
-    )
-    targets = sketch.select(
-        *keys,
-        F.explode(
-            F.array(*[
-                F.struct(
-                    F.lit(nm).alias("name"),
-                    (F.lit(float(probs[nm])) * (F.col("_n") - 1)).alias("pos"),
-                    F.col("_q")[2 * i].alias("a"),
-                    F.col("_q")[2 * i + 1].alias("b"),
-                )
-                for i, nm in enumerate(names)
-            ])
-        ).alias("_t"),
-    )
-    # one row per large group and probability: bounded by rows/limit
-    x = df.join(F.broadcast(targets), keys)
+def same_keys(df: DataFrame, other: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys, nulls included; the keys of ``other`` go."""
+    renamed = other.select(*(F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)), *(c for c in other.columns if c not in keys))
+    on = [F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)]
+    return df.join(renamed, on, how).drop(*(f"_key{i}" for i in range(len(keys))))
+
+
+def _values(df: DataFrame, keys: list[str], value: str | Column) -> DataFrame:
+    """Keys and the present values as ``_v``."""
+    return df.select(*keys, col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+
+
+def _quantiles(d: DataFrame, keys: list[str], probs: dict[str, float]) -> DataFrame:
+    """Quantiles of ``_v``: one read for the sketch and one for the counts."""
+    around = [min(max(p + d_, 0.0), 1.0) for p in probs.values() for d_ in (-0.005, 0.005)]
+    sketch = d.groupBy(*keys).agg(F.count("_v").alias("_n"), F.percentile_approx("_v", [float(a) for a in around], ACCURACY).alias("_q"))
+    wanted = F.array(*(
+        F.struct(F.lit(nm).alias("name"), (F.lit(float(p)) * (F.col("_n") - 1)).alias("pos"), F.col("_q")[2 * i].alias("a"), F.col("_q")[2 * i + 1].alias("b"))
+        for i, (nm, p) in enumerate(probs.items())
+    ))
+    x = same_keys(d, sketch.select(*keys, wanted.alias("_t")), keys).select(*keys, "_v", F.explode("_t").alias("_t"))
     v, a, b = F.col("_v"), F.col("_t.a"), F.col("_t.b")
     inside = F.when(b > a, F.least(F.floor((v - a) / (b - a) * BUCKETS), F.lit(BUCKETS - 1))).otherwise(F.lit(0))
     x = x.withColumn("_b", F.when(v < a, -1).when(v > b, BUCKETS).otherwise(inside).cast("int"))
-
     gk = [*keys, "_t"]
-    hist = x.groupBy(*gk, "_b").agg(F.count(F.lit(1)).alias("_c"))
-    w = W.partitionBy(*gk).orderBy("_b")  # at most BUCKETS + 2 rows
-    hist = hist.withColumn("_upto", F.sum("_c").over(w))
+    # outside the bracket only the values next to it can be wanted (a rank is at most one place off)
+    vals = x.groupBy(*gk, "_b", F.when((v >= a) & (v <= b), v).alias("_in")).agg(F.count(F.lit(1)).alias("_c"), F.max("_v").alias("_top"), F.min("_v").alias("_low"))
+    vals = vals.select(*gk, "_b", "_c", F.when(F.col("_b") < 0, F.col("_top")).otherwise(F.col("_low")).alias("_w"))
+
+    # cumulative counts of at most BUCKETS + 2 rows, then of the distinct values of one or two buckets
+    hist = vals.groupBy(*gk, "_b").agg(F.sum("_c").alias("_c")).withColumn("_upto", F.sum("_c").over(W.partitionBy(*gk).orderBy("_b")))
     lo, hi = F.floor(F.col("_t.pos")), F.ceil(F.col("_t.pos"))
     before = F.col("_upto") - F.col("_c")
     picked = hist.where((before <= hi) & (F.col("_upto") > lo)).select(*gk, "_b", before.alias("_before"))
-
-    cand = x.join(F.broadcast(picked), [*gk, "_b"])
-    ties = cand.groupBy(*gk, "_b", "_before", "_v").agg(F.count(F.lit(1)).alias("_c"))
-    w2 = W.partitionBy(*gk, "_b").orderBy("_v")
-    ties = ties.withColumn("_upto", F.col("_before") + F.sum("_c").over(w2))
-    before = F.col("_upto") - F.col("_c")
-    at = lambda r: F.max(F.when((before <= r) & (F.col("_upto") > r), F.col("_v")))
+    ties = same_keys(vals, picked, [*gk, "_b"])
+    ties = ties.withColumn("_upto", F.col("_before") + F.sum("_c").over(W.partitionBy(*gk, "_b").orderBy("_w")))
+    at = lambda r: F.max(F.when((before <= r) & (F.col("_upto") > r), F.col("_w")))
     got = ties.groupBy(*gk).agg(at(lo).alias("_lo"), at(hi).alias("_hi"))
     frac = F.col("_t.pos") - F.floor(F.col("_t.pos"))
     got = got.select(*keys, F.col("_t.name").alias("_name"), (F.col("_lo") + frac * (F.col("_hi") - F.col("_lo"))).alias("_val"))
-    return got.groupBy(*keys).agg(*[F.max(F.when(F.col("_name") == nm, F.col("_val"))).alias(nm) for nm in names])
+    return got.groupBy(*keys).agg(*[F.max(F.when(F.col("_name") == nm, F.col("_val"))).alias(nm) for nm in probs])
 
 
-def group_quantiles(
-    df: DataFrame, keys: list[str], value: str | Column, probs: dict[str, float], limit: int | None = GROUP_LIMIT, hot="count"
-) -> DataFrame:
+def group_quantiles(df: DataFrame, keys: list[str], value: str | Column, probs: dict[str, float]) -> DataFrame:
     """Exact linearly interpolated quantiles (type 7) of non-missing values per group (S4)."""
-    d = df.select(*keys, col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    small, large = split_hot(d, keys, limit, hot)
-    out = small.groupBy(*keys).agg(*[F.percentile("_v", float(p)).alias(nm) for nm, p in probs.items()])
-    return out if large is None else out.unionByName(_large_quantiles(large, keys, probs))
+    return _quantiles(_values(df, keys, value), keys, probs)
+
 
+def group_median(df: DataFrame, keys: list[str], value: str | Column, name: str = "median") -> DataFrame:
+    return group_quantiles(df, keys, value, {name: 0.5})
 
-def group_median(df, keys, value, name="median", limit: int | None = GROUP_LIMIT, hot="count") -> DataFrame:
-    return group_quantiles(df, keys, value, {name: 0.5}, limit, hot)
 
+def _with_mad(d: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of ``_values`` with the median and the MAD of their group.  Keys and values are written
+    once, as are the medians, so what made the rows runs once however often they are read."""
+    d = cut_lineage(d)
+    dev = same_keys(d, cut_lineage(_quantiles(d, keys, {"median": 0.5})), keys)
+    mad = _quantiles(dev.select(*keys, F.abs(F.col("_v") - F.col("median")).alias("_v")), keys, {"mad": 0.5})
+    return same_keys(dev, mad, keys)
 
-def group_mad(df: DataFrame, keys: list[str], value: str | Column, limit: int | None = GROUP_LIMIT, hot="count") -> DataFrame:
+
+def group_mad(df: DataFrame, keys: list[str], value: str | Column) -> DataFrame:
     """keys, median and median absolute deviation (AGG3)."""
-    d = df.select(*keys, col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    small, large = split_hot(d, keys, limit, hot)
-    s = small.groupBy(*keys).agg(F.collect_list("_v").alias("_l"))
-    pair = let(F.sort_array("_l"), lambda a: let(_mid(a), lambda m: F.struct(m.alias("median"), _mad(a, m).alias("mad"))))
-    out = s.select(*keys, pair.alias("_p")).select(*keys, "_p.median", "_p.mad")
-    if large is None:
-        return out
-    med = _large_quantiles(large, keys, {"median": 0.5})
-    dev = large.join(F.broadcast(med), keys).select(*keys, F.abs(F.col("_v") - F.col("median")).alias("_v"))
-    mad = _large_quantiles(dev, keys, {"mad": 0.5})
-    return out.unionByName(med.join(mad, keys))
-
-
-def with_nmad(df: DataFrame, keys: list[str], value: str, name: str = "nmad", limit: int | None = GROUP_LIMIT, hot="count") -> DataFrame:
+    d = cut_lineage(_values(df, keys, value))
+    med = cut_lineage(_quantiles(d, keys, {"median": 0.5}))
+    dev = same_keys(d, med, keys).select(*keys, F.abs(F.col("_v") - F.col("median")).alias("_v"))
+    return same_keys(med, _quantiles(dev, keys, {"mad": 0.5}), keys).select(*keys, "median", "mad")
+
+
+def with_nmad(df: DataFrame, keys: list[str], value: str, name: str = "nmad") -> DataFrame:
     """Append the normalised deviation of each value within its group.  Where the MAD is zero the
     values equal to the median get 0 and the others NULL (S3)."""
-    m = group_mad(df, keys, value, limit, hot)
+    m = group_mad(df, keys, value)
     dev = F.abs(F.col(value) - F.col("_med"))
-    j = df.join(m.select(*keys, F.col("median").alias("_med"), F.col("mad").alias("_mad")), keys, "left")
+    j = same_keys(df, m.select(*keys, F.col("median").alias("_med"), F.col("mad").alias("_mad")), keys, "left")
     score = F.when(F.col("_mad") > 0, dev / (F.col("_mad") * MAD_TO_SIGMA)).when(dev == 0, F.lit(0.0))
     return j.withColumn(name, score).drop("_med", "_mad")
 
@@ -137,32 +108,6 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _mid(a: Column) -> Column:
-    """Median of a sorted array."""
-    n = F.size(a)
-    lo = F.element_at(a, F.floor((n + 1) / 2).cast("int"))
-    hi = F.element_at(a, F.floor(n / 2 + 1).cast("int"))
-    return (lo + hi) / 2
-
-
-def _mad(a: Column, m: Column) -> Column:
-    return let(F.sort_array(F.transform(a, lambda x: F.abs(x - m))), _mid)
-
-
-def _trimmed_mean(values: Column, k: Column, presorted: bool = False) -> Column:
-    """Mean of the values within k MADs of the median; the values at the median where the MAD is zero; the
-    median itself where no value is kept (an even group with its spread around a mid-point)."""
-
-    def mean(a: Column, m: Column, cut: Column) -> Column:
-        kept = F.filter(a, lambda x: (F.abs(x - m) < cut) | (x == m))
-        return let(kept, lambda q: F.when(F.size(q) > 0, F.aggregate(q, F.lit(0.0), lambda acc, x: acc + x) / F.size(q)).otherwise(m))
-
-    def inner(a: Column) -> Column:
-        return let(_mid(a), lambda m: let(k * _mad(a, m), lambda cut: mean(a, m, cut)))
-
-    return inner(values) if presorted else let(F.sort_array(values), inner)
-
-
 def bin_reducer(method: str) -> float | str:
     """'median', 'mean' or the sigma count of an ``nmadK`` method (AGG2)."""
     m = re.fullmatch(r"nmad(\d+(?:\.\d+)?)", method)
@@ -173,63 +118,45 @@ def bin_reducer(method: str) -> float | str:
     raise ValueError(f"unknown binning method {method}")
 
 
-def reduce_bins(
-    df: DataFrame, keys: list[str], value: str, method: str = "nmad5", out: str | None = None, limit: int | None = GROUP_LIMIT, hot="count"
-) -> DataFrame:
-    """keys, the binned statistic and ``nobs`` (AGG1, AGG2).  ``nmadK`` is the mean of the values
-    whose normalised deviation is below K; a zero MAD keeps the values equal to the median (S3)."""
-    out = out or value
-    how = bin_reducer(method)
-    d = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    nobs = F.count(F.lit(1)).alias("nobs")
-    if how == "mean":
-        return d.groupBy(*keys).agg(F.avg("_v").alias(out), nobs)
-
-    small, large = split_hot(d, keys, limit, hot)
-    if how == "median":
-        got = small.groupBy(*keys).agg(F.percentile("_v", 0.5).alias(out), nobs)
-        if large is None:
-            return got
-        big = _large_quantiles(large, keys, {out: 0.5}).join(large.groupBy(*keys).agg(nobs), keys)
-        return got.unionByName(big)
-
-    k = F.lit(how * MAD_TO_SIGMA)
-    s = small.groupBy(*keys).agg(F.collect_list("_v").alias("_l"), nobs)
-    s = s.select(*keys, _trimmed_mean(F.col("_l"), k).alias(out), "nobs")
-    if large is None:
-        return s
-    med = _large_quantiles(large, keys, {"_med": 0.5})
-    dev = large.join(F.broadcast(med), keys)
-    mad = _large_quantiles(dev.select(*keys, F.abs(F.col("_v") - F.col("_med")).alias("_v")), keys, {"_mad": 0.5})
-    j = dev.join(F.broadcast(mad), keys)
-    gap = F.abs(F.col("_v") - F.col("_med"))
-    keep = (gap < k * F.col("_mad")) | (gap == 0)
-    big = j.groupBy(*keys).agg(
-        F.coalesce(F.avg(F.when(keep, F.col("_v"))), F.first("_med")).alias(out), nobs
-    )
-    return s.unionByName(big)
-
-
-def reduce_bins_methods(df: DataFrame, keys: list[str], value: str, methods: list[str], limit: int | None = GROUP_LIMIT, hot="count") -> DataFrame:
-    """keys, method, statistic, nobs for several binning methods.  The values of a cell are shuffled once and
-    every method is evaluated on the same array; only groups beyond ``limit`` fall back to one pass per method."""
-    d = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    small, large = split_hot(d, keys, limit, hot)
-    g = small.groupBy(*keys).agg(F.collect_list("_v").alias("_l"), F.count(F.lit(1)).alias("nobs"))
-
-    def stat(m: str, a: Column) -> Column:
+def _reducers(methods: list[str]) -> list[Column]:
+    """The statistic of each method over rows that carry the median and MAD of their group.  A method
+    ``nmadK`` is the mean of the values within K deviations (those at the median where the MAD is
+    zero), the median itself where none is."""
+    out, gap = [], F.abs(F.col("_v") - F.col("median"))
+    for m in methods:
         how = bin_reducer(m)
         if how == "mean":
-            return F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x) / F.size(a)
-        if how == "median":
-            return _mid(a)
-        return _trimmed_mean(a, F.lit(how * MAD_TO_SIGMA), presorted=True)
-
-    made = let(F.sort_array("_l"), lambda a: F.array(*[F.struct(F.lit(m).alias("method"), stat(m, a).alias(value)) for m in methods]))
-    out = g.select(*keys, "nobs", F.explode(made).alias("_m")).select(*keys, "_m.method", f"_m.{value}", "nobs")
-    if large is None:
-        return out
-    for m in methods:
-        big = reduce_bins(large.withColumnRenamed("_v", value), keys, value, m, limit=0, hot=large.select(*keys).distinct())
-        out = out.unionByName(big.select(*keys, F.lit(m).alias("method"), value, "nobs"))
+            out.append(F.avg("_v"))
+        elif how == "median":
+            out.append(F.max("median"))
+        else:
+            keep = (gap < how * MAD_TO_SIGMA * F.col("mad")) | (gap == 0)
+            out.append(F.coalesce(F.avg(F.when(keep, F.col("_v"))), F.max("median")))
     return out
+
+
+def _reduced(d: DataFrame, keys: list[str], methods: list[str], names: list[str]) -> DataFrame:
+    """keys, one column a method, nobs."""
+    kinds = {bin_reducer(m) for m in methods}
+    if kinds == {"mean"}:
+        rows = d
+    elif kinds <= {"mean", "median"}:
+        rows = same_keys(d, _quantiles(d, keys, {"median": 0.5}), keys)
+    else:
+        rows = _with_mad(d, keys)
+    return rows.groupBy(*keys).agg(*(c.alias(n) for c, n in zip(_reducers(methods), names, strict=True)), F.count(F.lit(1)).alias("nobs"))
+
+
+def reduce_bins(df: DataFrame, keys: list[str], value: str, method: str = "nmad5", out: str | None = None) -> DataFrame:
+    """keys, the binned statistic and ``nobs`` (AGG1, AGG2).  ``nmadK`` is the mean of the values
+    whose normalised deviation is below K; a zero MAD keeps the values equal to the median (S3)."""
+    return _reduced(_values(df, keys, value), keys, [method], [out or value])
+
+
+def reduce_bins_methods(df: DataFrame, keys: list[str], value: str, methods: list[str]) -> DataFrame:
+    """keys, method, statistic, nobs for several binning methods.  Median and MAD are found once for
+    all methods, and one aggregate evaluates every method."""
+    names = [f"_m{i}" for i in range(len(methods))]
+    got = _reduced(_values(df, keys, value), keys, methods, names)
+    made = F.array(*(F.struct(F.lit(m).alias("method"), F.col(n).alias(value)) for m, n in zip(methods, names, strict=True)))
+    return got.select(*keys, "nobs", F.explode(made).alias("_m")).select(*keys, "_m.method", f"_m.{value}", "nobs")

@@ -25,7 +25,7 @@ def reference_layers(dem: DataFrame, priority: list[str], best: str = "best") ->
 def bin_points(
     points: DataFrame, dem: DataFrame, masks: DataFrame, canopy: DataFrame, missions: DataFrame, methods: list[str],
     curvature_options: tuple[bool, ...] = (False, True), dh_max: float = 200.0, max_canopy: float = 1.0, min_points: int = 100,
-    height_width: float = 100.0, unfiltered: tuple[str, ...] = (), limit: int | None = robust.GROUP_LIMIT,
+    height_width: float = 100.0, unfiltered: tuple[str, ...] = (),
 ) -> DataFrame:
     """surface_mask, dem_id, curvature_correct, binning_method, mission, tile_id, date_index, height_index, dh, nobs.
 
@@ -42,15 +42,14 @@ def bin_points(
     variants = ref.withColumn("curvature_correct", F.explode(F.array(*[F.lit(c) for c in curvature_options])))
     if True in curvature_options:
         plain, corrected = variants.where("not curvature_correct"), variants.where("curvature_correct")
-        variants = plain.unionByName(fit.curvature_correct(corrected, off, group, "curvature", "dh", limit=limit).select(*plain.columns))
+        variants = plain.unionByName(fit.curvature_correct(corrected, off, group, "curvature", "dh").select(*plain.columns))
 
     d = variants.join(masks.where("inside").select("point_id", F.col("mask").alias("surface_mask")), "point_id")
     gk = ["surface_mask", "curvature_correct", *group]
     d = filters.min_support(d, gk, min_points)
-    hot = None if limit is None else robust.find_hot(d, gk, limit)
-    d = filters.robust_range(d, gk, "dh", dh_max, limit=limit, hot=hot)
+    d = filters.robust_range(d, gk, "dh", dh_max)
     d = d.where((F.col("surface_mask") != "land") | (F.col("canopyh") <= max_canopy))
     d = d.withColumn("date_index", date_bin("ts")).withColumn("height_index", bin_index("height_ref", 0.0, height_width))
     d = d.where((F.col("height_index") >= 0) & (F.col("height_index") < 10000.0 / height_width))
-    cells = robust.reduce_bins_methods(d, [*gk, "date_index", "height_index"], "dh", methods, limit=limit, hot=None if hot is None else "count")
+    cells = robust.reduce_bins_methods(d, [*gk, "date_index", "height_index"], "dh", methods)
     return cells.withColumnRenamed("method", "binning_method")
