@@ -10,11 +10,11 @@ from ..operators import calibrate, compare, fit
 from . import views as v
 from .registry import query, r, sql_decyear, sql_ols_ctes, sql_phase_fraction, sql_season, with_
 
-SERIES = "ob as (select tile, cast(date_trunc('month', ts) as date) as date, avg(dh) * 1.2 + cos(year(ts)) as value from obs where abs(dh) < 100 group by tile, 2, year(ts))"
+SERIES = "ob as (select tile, cast(date_trunc('month', ts) as date) as date, avg(dh) * 1.2 + cos(year(ts)) as value from obs group by tile, 2, year(ts))"
 
 
 def observed(spark, d):
-    o = v.obs(spark, d).where(F.abs("dh") < 100)
+    o = v.obs(spark, d)
     g = o.groupBy("tile", F.trunc("ts", "month").alias("date")).agg(F.avg("dh").alias("m"))
     return g.select("tile", "date", (F.col("m") * 1.2 + F.cos(F.year("date").cast("double"))).alias("value"))
 

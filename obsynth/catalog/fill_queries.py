@@ -217,7 +217,7 @@ SETTINGS_SCHEMA = "mission string, bincount_min int, smooth_n int, nmad_max doub
 
 def cube30(spark, d):
     """tile, mission, date_index (90-day steps), height_index, dh, nobs."""
-    o = v.obs(spark, d).where(F.abs("dh") < 200)
+    o = v.obs(spark, d)
     b = binning.bin_2d(o, ["tile", "mission"], "dh", v.day_bin(90), v.height10(), "median")
     return b.select("tile", "mission", F.col("time_bin").alias("date_index"), F.col("height_bin").alias("height_index"), "dh", "nobs")
 
@@ -258,7 +258,7 @@ def profile_fill(spark, d):
 
 @query("monthly_spline")
 def monthly_spline(spark, d):
-    o = v.obs(spark, d).where(F.abs("dh") < 100)
+    o = v.obs(spark, d)
     s = o.groupBy("tile", v.day_bin(30).alias("i")).agg(F.avg("dh").alias("value"))
     s = s.select("tile", F.date_add(F.lit("1990-01-01").cast("date"), F.col("i") * 30 + 15).alias("date"), "value")
     return fill.monthly_spline(s, ["tile"], "date", "value").withColumn("value", fixed("value", 4))

@@ -190,14 +190,14 @@ def running_totals(spark, d):
 @query(
     "locate_by_name_or_id",
     with_(v.TILES, v.SITES)
-    + f"""select c_custkey, {r('coalesce(n.lon, i.lon)')} as lon, {r('coalesce(n.lat, i.lat)')} as lat from (select c_custkey, case when c_custkey % 2 = 0 then 'supplier 000000' || lpad(cast(c_custkey % 250 as varchar), 3, '0') else '?' end as nm from customer) c
-    left join (select *, 'supplier 000000' || lpad(cast(tile_id as varchar), 3, '0') as nm from tiles) n on n.nm = c.nm left join tiles i on i.tile_id = c_custkey""",
+    + f"""select c_custkey, {r('coalesce(n.lon, i.lon)')} as lon, {r('coalesce(n.lat, i.lat)')} as lat from (select c_custkey, case when c_custkey % 2 = 0 then 'supplier ' || format('{{:09d}}', c_custkey // 2) else '?' end as nm from customer) c
+    left join (select *, 'supplier ' || format('{{:09d}}', tile_id) as nm from tiles) n on n.nm = c.nm left join tiles i on i.tile_id = c_custkey""",
 )
 def locate_by_name_or_id(spark, d):
     t = v.tiles(spark, d)
-    places = t.select(F.col("tile_id").alias("place_id"), F.concat(F.lit("Supplier#000000"), F.lpad(F.col("tile_id").cast("string"), 3, "0")).alias("name"), "lon", "lat")
+    places = t.select(F.col("tile_id").alias("place_id"), F.format_string("Supplier#%09d", "tile_id").alias("name"), "lon", "lat")
     c = v.table(spark, d, "customer")
-    rec = c.select(F.col("c_custkey"), F.col("c_custkey").alias("place_id"), F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("SUPPLIER  000000"), F.lpad((F.col("c_custkey") % 250).cast("string"), 3, "0"))).otherwise("?").alias("name"))
+    rec = c.select(F.col("c_custkey"), F.col("c_custkey").alias("place_id"), F.when(F.col("c_custkey") % 2 == 0, F.format_string("SUPPLIER  %09d", F.floor(F.col("c_custkey") / 2))).otherwise("?").alias("name"))
     o = tables.locate_by_name_or_id(rec, places)
     return o.select("c_custkey", fixed("lon").alias("lon"), fixed("lat").alias("lat"))
 

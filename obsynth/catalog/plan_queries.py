@@ -16,7 +16,7 @@ from .rollup_queries import members
 
 def _cube(spark, d):
     """Cubes of two binning methods on 90-day, 10-unit cells; tiles named by nation."""
-    o = v.obs(spark, d).where(F.abs("dh") < 200).select(F.col("tile").alias("tile_id"), "mission", v.day_bin(90).alias("date_index"), v.height10().alias("height_index"), "dh")
+    o = v.obs(spark, d).select(F.col("tile").alias("tile_id"), "mission", v.day_bin(90).alias("date_index"), v.height10().alias("height_index"), "dh")
     c = robust.reduce_bins_methods(o, ["tile_id", "mission", "date_index", "height_index"], "dh", ["median", "nmad5"])
     return c.select(F.when(F.col("method") == "median", 1).otherwise(2).alias("run_id"), "mission", "tile_id", "date_index", "height_index", "dh", "nobs")
 

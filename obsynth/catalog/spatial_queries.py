@@ -399,27 +399,30 @@ def point_series_extract(spark, d):
     return p.join(s, "tile").select("site_id", "month", fixed(F.col("value") * (910.0 / (1 + F.col("site_id") % 9)), 4).alias("value"))
 
 
+RING_AREA = "case when {t} % 7 = 0 then 0.0 else 1.0 + ({t} * ({i} + 3)) % 7 end"
+
+
 @query(
     "ring_profile",
     with_(
-        v.TILES, v.SITES, "hy as (select tile_id, cast(i as int) as height_index, 1.0 + (tile_id * (i + 3)) % 7 as area from tiles cross join range(0, 4) z(i))",
+        v.TILES, v.SITES, f"hy as (select tile_id, cast(i as int) as height_index, {RING_AREA.format(t='tile_id', i='i')} as area from tiles cross join range(0, 4) z(i))",
+        "wh as (select tile_id, sum(area) as w from hy group by all)",
         "kk as (select tile_id, lon - 2 as x0, lon + 2 as x1, lat - 2 as y0, lat + 2 as y1, 1.0 / 6371000.0 * (180.0 / pi()) / cos(radians(((lat - 2) + (lat + 2)) / 2)) as kx, 1.0 / 111139.0 as ky from tiles)",
         "pt as (select lon, lat, cast(floor(abs(value) / 2500) as int) as height_index, value from sites)",
-        "dd as (select tile_id, height_index, value, greatest(greatest(x0 - lon, lon - x1, 0.0) / kx, greatest(y0 - lat, lat - y1, 0.0) / ky) as m from kk cross join pt)",
-        "rg as (select *, case when m <= 0 then 0 when m <= 200000 then 1 when m <= 600000 then 2 when m <= 1200000 then 3 when m <= 2000000 then 4 end as ring from dd)",
-        "g as (select tile_id, height_index, ring, sum(value) as s, count(*) as n from rg where ring is not null group by all)",
-        "fr as (select tile_id, height_index, min(ring) as ring from g group by all)",
-        "br as (select fr.tile_id, ring, sum(area) as a from fr join hy on hy.tile_id = fr.tile_id and hy.height_index = fr.height_index group by all)",
-        "cv as (select tile_id, ring, sum(a) over (partition by tile_id order by ring) as c from br)",
-        "st as (select cv.tile_id, min(ring) as stop from cv join (select tile_id, sum(area) as w from hy group by all) w on w.tile_id = cv.tile_id where c >= 0.75 * w group by all)",
+        "dd as (select tile_id, height_index, value, cast(ceil(greatest(greatest(x0 - lon, lon - x1, 0.0) / kx, greatest(y0 - lat, lat - y1, 0.0) / ky) / 200000) as int) as ring from kk cross join pt)",
+        "cv as (select n.i as ring, wh.tile_id, coalesce(sum(area) filter (exists (select 1 from dd where dd.tile_id = hy.tile_id and dd.height_index = hy.height_index and dd.ring <= n.i)), 0) / any_value(w) as c "
+        "from range(0, 31) n(i) cross join hy join wh using (tile_id) where w > 0 group by n.i, wh.tile_id)",
+        "st as (select tile_id, coalesce(min(ring) filter (c >= 0.75), 30) as ring, coalesce(min(c) filter (c >= 0.75), max(c)) as coverage, max(c) >= 0.75 as covered from cv group by tile_id)",
+        "g as (select st.tile_id, dd.height_index, st.ring, coverage, covered, avg(value) as value from st left join dd on dd.tile_id = st.tile_id and dd.ring <= st.ring group by all)",
+        "al as (select * from g union all select tile_id, height_index, 0, 0.0, true, 0.0 from hy join wh using (tile_id) where w = 0)",
     )
-    + f"select fr.tile_id, fr.height_index, fr.ring, {r('s / n', 4)} as value from fr join st on st.tile_id = fr.tile_id and fr.ring <= st.stop join g on g.tile_id = fr.tile_id and g.height_index = fr.height_index and g.ring = fr.ring",
+    + f"select tile_id, height_index, cast(ring as int) as ring, {r('coverage')} as coverage, covered, {r('value', 4)} as value from al",
 )
 def ring_profile(spark, d):
     t = v.tiles(spark, d)
     boxes = t.select("tile_id", (F.col("lon") - 2).alias("min_x"), (F.col("lon") + 2).alias("max_x"), (F.col("lat") - 2).alias("min_y"), (F.col("lat") + 2).alias("max_y"))
     hy = t.select("tile_id", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("height_index"))
-    hy = hy.withColumn("area_km2", 1.0 + (F.col("tile_id") * (F.col("height_index") + 3)) % 7)
+    hy = hy.withColumn("area_km2", F.when(F.col("tile_id") % 7 == 0, 0.0).otherwise(1.0 + (F.col("tile_id") * (F.col("height_index") + 3)) % 7))
     p = v.sites(spark, d).withColumn("height", F.abs("value"))
-    o = raster.ring_profile(p, boxes, hy, ["value"], [], 200000.0, 4, 2500.0, 10.0, 0.75)
-    return o.select("tile_id", "height_index", "ring", fixed("value", 4).alias("value"))
+    o = raster.ring_profile(p, boxes, hy, ["value"], [], 200000.0, 30, 2500.0, 10.0, 0.75)
+    return o.select("tile_id", "height_index", "ring", fixed("coverage").alias("coverage"), "covered", fixed("value", 4).alias("value"))

@@ -217,13 +217,13 @@ FLUX = (
 
 
 def nation_series(spark: SparkSession, d: str) -> DataFrame:
-    """tile, mission, month, value: monthly mean of obs with abs(dh) < 100."""
-    o = obs(spark, d).where(F.abs("dh") < 100)
+    """tile, mission, month, value: monthly mean of obs."""
+    o = obs(spark, d)
     return o.groupBy("tile", "mission", F.trunc("ts", "month").alias("month")).agg(F.avg("dh").alias("value"))
 
 
 NATION_SERIES = (
-    "series as (select tile, mission, cast(date_trunc('month', ts) as date) as month, avg(dh) as value from obs where abs(dh) < 100 group by 1, 2, 3)"
+    "series as (select tile, mission, cast(date_trunc('month', ts) as date) as month, avg(dh) as value from obs group by 1, 2, 3)"
 )
 
 
@@ -259,7 +259,7 @@ M_AXIS = [1 / 5, 1 / 3, 1.0, 3.0, 5.0]
 
 def model_dv(spark: SparkSession, d: str) -> DataFrame:
     """tile, date, pscale, mscale, value: a stack derived from the monthly means of obs."""
-    o = obs(spark, d).where(F.abs("dh") < 100)
+    o = obs(spark, d)
     g = o.groupBy("tile", F.trunc("ts", "month").alias("date")).agg(F.avg("dh").alias("base"), F.avg("height").alias("melt"))
     g = g.withColumn("pscale", F.explode(F.array(*[F.lit(v) for v in P_AXIS])))
     g = g.withColumn("mscale", F.explode(F.array(*[F.lit(v) for v in M_AXIS])))
@@ -272,7 +272,7 @@ def _vals(name: str, axis: list[float]) -> str:
 
 MODEL_DV = (
     _vals("pax", P_AXIS) + ", " + _vals("maxis", M_AXIS) + ", "
-    "mbase as (select tile, cast(date_trunc('month', ts) as date) as date, avg(dh) as base, avg(height) as melt from obs where abs(dh) < 100 group by 1, 2), "
+    "mbase as (select tile, cast(date_trunc('month', ts) as date) as date, avg(dh) as base, avg(height) as melt from obs group by 1, 2), "
     "model_dv as (select tile, date, pax.v as pscale, maxis.v as mscale, base * pax.v - maxis.v * melt / 10.0::double as value, pax.i as ip, maxis.i as im "
     "from mbase cross join pax cross join maxis)"
 )

@@ -11,15 +11,13 @@ from .numeric import col
 def scale_to_linear(c) -> Column:
     """Position on the even axis: 0 at scale 1, +1 at 2, -1 at 1/2 (FN12)."""
     s = col(c)
-    recip = F.when(s < 1, F.lit(-1.0) / s).otherwise(s)
-    return F.when(recip < -1, recip + 1).otherwise(recip - 1)
+    return F.when(s >= 1, s - 1).otherwise(1 - 1 / s)
 
 
 def linear_to_scale(c) -> Column:
     """Inverse of :func:`scale_to_linear`; NULL inside the undefined interval [-1, 1) (FN12)."""
     x = col(c)
-    s = F.when(x < 0, x - 1).otherwise(x + 1)
-    return F.when(~((x >= -1) & (x < 1)), F.when(s < -1, F.lit(-1.0) / s).otherwise(s))
+    return F.when(x >= 1, x + 1).when(x < -1, 1 / (1 - x))
 
 
 def scale_distance(c) -> Column:

@@ -187,45 +187,66 @@ def ring_profile(
     points: DataFrame, tiles: DataFrame, hyps: DataFrame, values: list[str], scale: list[str], step_m: float,
     max_rings: int, height_width: float, cell: float, min_coverage: float = 0.75, x: str = "lon", y: str = "lat",
 ) -> DataFrame:
-    """Mean model values per (tile, elevation bin, scale) from points in the tile, widening the search box
-    until the bins found cover ``min_coverage`` of the tile's area (AGG20).
+    """Mean model values per (tile, elevation bin, scale) from all points in the tile's box, which grows
+    by ``step_m`` on every side until the bins with points cover ``min_coverage`` of the tile's area
+    (AGG20): tile_id, height_index, scale, ring, coverage, covered, values.
+
+    A tile whose bins do not reach the coverage within ``max_rings`` comes with all it has found and
+    ``covered`` false; one without any point in reach has a row with null bin and values; a tile
+    without area has zeros in all its bins.  Rings are searched in doubling reach, each time for the
+    tiles that still want coverage; sums per ring are combined before the shuffle."""
+    from pyspark.sql import Window as W
 
-    Ring n buffers the tile by step * n (n + 1) / 2.  A bin takes the points of the first ring that has
-    any; a tile keeps the bins of the rings up to the first that covers enough.  All rings are one
-    candidate join; sums per ring are combined before the shuffle."""
     from ..functions.geo import degrees_lat, degrees_lon
+    from ..session import cut_lineage
     from .spatial import cover_cells
 
-    reach = [step_m * n * (n + 1) / 2 for n in range(max_rings + 1)]
+    h = hyps.select("tile_id", "height_index", F.col("area_km2").alias("_area"))
+    whole = h.groupBy("tile_id").agg(F.sum("_area").alias("_whole"))
     mid = (F.col("min_y") + F.col("max_y")) / 2
     t = tiles.select("tile_id", "min_x", "max_x", "min_y", "max_y").withColumn("_kx", degrees_lon(1.0, mid)).withColumn("_ky", degrees_lat(1.0))
-    grow = F.lit(reach[-1])
-    box = F.struct(
-        (F.col("min_x") - grow * F.col("_kx")).alias("min_x"), (F.col("min_y") - grow * F.col("_ky")).alias("min_y"),
-        (F.col("max_x") + grow * F.col("_kx")).alias("max_x"), (F.col("max_y") + grow * F.col("_ky")).alias("max_y"),
-    )
-    t = cover_cells(t, box, cell)
+    t = cut_lineage(t.join(whole, "tile_id", "left").withColumn("_whole", F.coalesce("_whole", F.lit(0.0))))
     p = points.select(F.col(x).alias("_x"), F.col(y).alias("_y"), bin_index("height", 0.0, height_width).alias("height_index"), *scale, *values)
-    p = p.withColumn("_cx", F.floor(F.col("_x") / cell)).withColumn("_cy", F.floor(F.col("_y") / cell))
-    j = p.join(t.drop("_bb"), ["_cx", "_cy"])
-    out_x = F.greatest(F.col("min_x") - F.col("_x"), F.col("_x") - F.col("max_x"), F.lit(0.0)) / F.col("_kx")
-    out_y = F.greatest(F.col("min_y") - F.col("_y"), F.col("_y") - F.col("max_y"), F.lit(0.0)) / F.col("_ky")
-    d = F.greatest(out_x, out_y)
-    ring = F.lit(None).cast("int")
-    for n in reversed(range(max_rings + 1)):
-        ring = F.when(d <= reach[n], F.lit(n)).otherwise(ring)
-    j = j.withColumn("_ring", ring).where(F.col("_ring").isNotNull())
-    g = j.groupBy("tile_id", "height_index", "_ring", *scale).agg(
-        *[F.sum(v).alias(v) for v in values], *[F.count(v).alias(f"_n_{v}") for v in values])
-    first = g.groupBy("tile_id", "height_index").agg(F.min("_ring").alias("_ring"))
-    h = hyps.select("tile_id", "height_index", "area_km2")
-    whole = h.groupBy("tile_id").agg(F.sum("area_km2").alias("_whole"))
-    by_ring = first.join(h, ["tile_id", "height_index"]).groupBy("tile_id", "_ring").agg(F.sum("area_km2").alias("_a"))
-    from pyspark.sql import Window as W
-
-    w = W.partitionBy("tile_id").orderBy("_ring").rowsBetween(W.unboundedPreceding, 0)  # at most max_rings rows
-    cov = by_ring.withColumn("_cum", F.sum("_a").over(w)).join(whole, "tile_id")
-    enough = cov.where(F.col("_cum") >= min_coverage * F.col("_whole")).groupBy("tile_id").agg(F.min("_ring").alias("_stop"))
-    first = first.join(enough, "tile_id").where(F.col("_ring") <= F.col("_stop")).drop("_stop")
-    got = g.join(first, ["tile_id", "height_index", "_ring"])
-    return got.select("tile_id", "height_index", *scale, F.col("_ring").alias("ring"), *[(F.col(v) / F.col(f"_n_{v}")).alias(v) for v in values])
+    p = cut_lineage(p.withColumn("_cx", F.floor(F.col("_x") / cell)).withColumn("_cy", F.floor(F.col("_y") / cell)))
+
+    def sums_within(want: DataFrame, rings: int) -> DataFrame:
+        """Sums per (tile, bin, ring, scale) of the points at most ``rings`` rings away."""
+        grow = F.lit(step_m * rings)
+        box = F.struct(
+            (F.col("min_x") - grow * F.col("_kx")).alias("min_x"), (F.col("min_y") - grow * F.col("_ky")).alias("min_y"),
+            (F.col("max_x") + grow * F.col("_kx")).alias("max_x"), (F.col("max_y") + grow * F.col("_ky")).alias("max_y"),
+        )
+        j = p.join(cover_cells(want, box, cell).drop("_bb"), ["_cx", "_cy"])
+        out_x = F.greatest(F.col("min_x") - F.col("_x"), F.col("_x") - F.col("max_x"), F.lit(0.0)) / F.col("_kx")
+        out_y = F.greatest(F.col("min_y") - F.col("_y"), F.col("_y") - F.col("max_y"), F.lit(0.0)) / F.col("_ky")
+        j = j.withColumn("_ring", F.ceil(F.greatest(out_x, out_y) / step_m).cast("int")).where(F.col("_ring") <= rings)
+        return j.groupBy("tile_id", "height_index", "_ring", *scale).agg(*[F.sum(v).alias(v) for v in values], *[F.count(v).alias(f"_n_{v}") for v in values])
+
+    want, rings, parts = t.where("_whole > 0"), 1, []
+    while True:
+        g = cut_lineage(sums_within(want, rings))
+        first = g.groupBy("tile_id", "height_index").agg(F.min("_ring").alias("_ring")).join(h, ["tile_id", "height_index"])
+        by_ring = first.groupBy("tile_id", "_ring").agg(F.sum("_area").alias("_a"))
+        w = W.partitionBy("tile_id").orderBy("_ring").rowsBetween(W.unboundedPreceding, 0)  # at most ``rings`` + 1 rows
+        reached = by_ring.join(want.select("tile_id", "_whole"), "tile_id").withColumn("coverage", F.sum("_a").over(w) / F.col("_whole"))
+        stop = reached.where(F.col("coverage") >= min_coverage).groupBy("tile_id").agg(F.min(F.struct("_ring", "coverage")).alias("_s"))
+        stop = cut_lineage(stop.select("tile_id", F.col("_s._ring").alias("ring"), F.col("_s.coverage").alias("coverage"), F.lit(True).alias("covered")))
+        last = rings >= max_rings
+        rest = cut_lineage(want.join(stop, "tile_id", "left_anti"))
+        if last:
+            most = reached.groupBy("tile_id").agg(F.max("coverage").alias("coverage"))
+            left = rest.join(most, "tile_id", "left").select("tile_id", F.lit(max_rings).alias("ring"), F.coalesce("coverage", F.lit(0.0)).alias("coverage"), F.lit(False).alias("covered"))
+            stop = stop.unionByName(left)
+        inside = stop.join(g, "tile_id", "left").where("_ring is null or _ring <= ring")
+        parts.append(inside.groupBy("tile_id", "height_index", *scale, "ring", "coverage", "covered").agg(*[(F.sum(v) / F.sum(f"_n_{v}")).alias(v) for v in values]))
+        if last or rest.isEmpty():
+            break
+        want, rings = rest, min(2 * rings, max_rings)
+
+    empty = t.where("_whole = 0").select("tile_id").join(h.select("tile_id", "height_index"), "tile_id")
+    for s in scale:
+        empty = empty.join(p.select(s).distinct())  # the few steps of a scale axis
+    zeros = empty.select("tile_id", "height_index", *scale, F.lit(0).alias("ring"), F.lit(0.0).alias("coverage"), F.lit(True).alias("covered"), *[F.lit(0.0).alias(v) for v in values])
+    for part in parts:
+        zeros = zeros.unionByName(part)
+    return zeros

@@ -160,20 +160,17 @@ def arg_best(df: DataFrame, keys: list[str], value: str, tie: str, largest: bool
 
 
 def reservoir_weights(residence_days: float = 45.0) -> list[float]:
-    """Monthly impulse response of a linear reservoir fed with one unit a day for the first 29 days on
-    top of a unit store: 30-day shares of the total outflow, two digits, up to the first zero (WIN15)."""
-    store, flow = 1.0, []
-    for day in range(1, 10001):
-        out = store / residence_days
-        flow.append(out)
-        store += (1.0 if day < 30 else 0.0) - out
-    whole, weights = sum(flow), []
-    for k in range(10):
-        share = round(sum(flow[30 * k : 30 * k + 30]) / whole, 2)
-        if share == 0:
-            break
-        weights.append(share)
-    return weights
+    """Monthly response of a linear reservoir that starts with one unit and gets one more on each of
+    29 days: 30-day shares of all that leaves it, two digits, up to the first zero (WIN15).
+
+    A share q = 1 - 1/residence of the store stays each day, so after d days of inflow it holds
+    residence - (residence - 1) q^d, and a geometric sum gives the outflow of every period."""
+    q = 1 - 1 / residence_days
+    month = 1 - q**30
+    held = residence_days - (residence_days - 1) * q**29  # on day 30, when the inflow has ended
+    flows = [30 - (residence_days - 1) * month, *(held * q ** (30 * k - 29) * month for k in range(1, 10))]
+    shares = [round(f / 30, 2) for f in flows]
+    return shares[: shares.index(0)] if 0 in shares else shares
 
 
 def convolve(df: DataFrame, keys: list[str], order: str, value: str, weights: list[float], out: str = "response") -> DataFrame:
