@@ -130,7 +130,7 @@ def component_labels(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     nodes = cut_lineage(e.select("u").union(e.select("v")).distinct())
     e = cut_lineage(e.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     seen = None
-    for _ in range(MAX_ROUNDS):
+    while True:
         # large star: neighbours above a node move to the smallest node around it
         both = e.union(e.select("v", "u")).toDF("u", "v")
         low = both.groupBy("u").agg(F.min("v").alias("_m")).select("u", F.least("u", "_m").alias("m"))
@@ -146,7 +146,6 @@ def component_labels(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if stable:
             lab = nodes.withColumnRenamed("u", "node").join(e.toDF("node", "component"), "node", "left")
             return lab.select("node", F.coalesce("component", "node").alias("component"))
-    raise RuntimeError("components did not settle")
 
 
 def star_edges(membership: DataFrame, group: str, member: str) -> DataFrame:

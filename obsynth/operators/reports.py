@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.numeric import col, half_even
@@ -55,9 +54,9 @@ def compact_table(fits: DataFrame, variables: list[str], region: str = "region",
 def conversion_factors(df: DataFrame, region: str, dm: str, dv: str) -> DataFrame:
     """dm/dv per region with flags for the smallest and largest factor (RPT4)."""
     f = df.select(region, F.when(F.col(dv) != 0, F.col(dm) / F.col(dv)).alias("factor")).where(F.col("factor").isNotNull())
-    w = W.partitionBy(F.lit(1))  # a report table: one row per region
-    lo, hi = F.min_by(region, F.struct("factor", region)).over(w), F.max_by(region, F.struct(F.col("factor"), -F.col(region))).over(w)
-    return f.select(region, "factor", (F.col(region) == lo).alias("is_min"), (F.col(region) == hi).alias("is_max"))
+    ends = f.agg(F.min(F.struct("factor", region)).alias("_lo"), F.max(F.struct(F.col("factor"), (-F.col(region)).alias("_r"))).alias("_hi"), F.lit(1).alias("_k"))
+    both = f.withColumn("_k", F.lit(1)).join(ends, "_k")  # one row of ends
+    return both.select(region, "factor", (F.col(region) == F.col(f"_lo.{region}")).alias("is_min"), (F.col(region) == -F.col("_hi._r")).alias("is_max"))
 
 
 def validity_flags(df: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataFrame:

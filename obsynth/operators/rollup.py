@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 
 def region_rollup(df: DataFrame, members: DataFrame, keys: list[str], values: list[str], code: str = "code") -> DataFrame:
     """Sums per region and composite (AGG16, RPT3, AGG34).  The first aggregate reduces the rows to
@@ -106,5 +108,12 @@ def compare_models(own: DataFrame, others: DataFrame, keys: list[str], year: str
 
 
 def ranked(df: DataFrame, order: list[Column], out: str = "rank") -> DataFrame:
-    """Rank of a small result table (regions); the window is over report rows."""
-    return df.withColumn(out, F.row_number().over(W.orderBy(*order)))
+    """Rows numbered from 1 in the given order.  A range sort and the counts of its partitions number
+    them, so no task holds more than its range; only the counts pass through one window."""
+    ranged = cut_lineage(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id()))
+    part = F.shiftright("_m", 33)
+    sizes = ranged.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("_part", before.alias("_before"))
+    place = F.col("_before") + F.col("_m").bitwiseAND((1 << 33) - 1) + 1
+    return ranged.withColumn("_part", part).join(starts, "_part").withColumn(out, place.cast("int")).drop("_m", "_part", "_before")

@@ -96,7 +96,7 @@ def tiles_touching_zones(tiles: DataFrame, zones: DataFrame, tile: str, zone: st
 
 STEP = 4  # each level splits a cube of the unit ball into STEP^3, of which about pi STEP^2 meet the sphere
 LEAF = 64  # locations per leaf cube that need no further split
-MAX_LEVELS = 8  # cubes of about 200 m
+MAX_LEVELS = 15  # cubes of a centimetre: what doubles on the unit sphere can tell apart
 
 
 def _xyz(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -136,7 +136,8 @@ def _cubes_of(loc: DataFrame, by: list[str], level: int) -> DataFrame:
 
 
 def search_levels(loc: DataFrame, by: list[str] = []) -> int:
-    """Depth at which no cube holds more than LEAF locations (one small count per level)."""
+    """Depth at which no cube holds more than LEAF locations (one small count per level); places a
+    centimetre apart are told apart, so only more than LEAF places within one stay together."""
     for lv in range(1, MAX_LEVELS):
         top = loc.groupBy(*by, *_cube_names(lv)).agg(F.count(F.lit(1)).alias("_m")).agg(F.max("_m")).first()[0]
         if top is None or top <= LEAF:

@@ -46,17 +46,23 @@ def overwrite_partitions(df: DataFrame, path: str, by: list[str]) -> None:
     out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is such a path in its store; errors of the store are errors here too."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def build_archive(spark: SparkSession, incoming: DataFrame, points_path: str, ledger_path: str, domain: DataFrame | None = None) -> int:
     """Ingest one delivery into the point archive (SRC7): only tiles of the domain, only unseen granules.
     Returns the number of granules added.  Points are written before the ledger, so a job that dies in between
-    leaves its granules unlisted; their partition is found by the pending ledger and rewritten."""
+    leaves its granules unlisted, and the next run with them replaces what it wrote."""
     on = ["tile_id", "granule_id"]
     if domain is not None:
         incoming = incoming.join(domain.where("glacier_frac > 0").select("tile_id"), "tile_id", "left_semi")
-    try:
+    if _exists(spark, ledger_path):
         ledger = spark.read.parquet(ledger_path).select(*on)
-    except Exception:  # first delivery: no ledger yet
-        ledger = spark.createDataFrame([], "tile_id string, granule_id string")
+    else:  # first delivery
+        ledger = incoming.select(*on).where("false")
     new = unseen_granules(incoming, ledger, on)
     fresh = new.select(*on).distinct()
     n = fresh.count()

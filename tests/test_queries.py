@@ -7,6 +7,8 @@ import pytest
 from obsynth.catalog.all import ORACLES, QUERIES
 from tools.check import compare, connect
 
+# fits and smoothing that SQL does not express; their parts are tested against numpy elsewhere
+NO_SQL = {"surface_model_fill", "surface_model_params", "replace_with_model", "profile_fill", "monthly_spline", "filled_cube", "synthesized_cube", "calibrated_runs", "regional_results", "river_routing"}
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
@@ -20,9 +22,9 @@ def test_query(spark, con, name):
     got = QUERIES[name](spark, DATA).toArrow()
     if name in ORACLES:
         res = compare(got, con.execute(ORACLES[name]).to_arrow_table())
-        assert res in ("", "EMPTY"), res
+        assert res == "", res
     else:
-        assert got.num_rows >= 0
+        assert name in NO_SQL and got.num_rows > 0
 
 
 def test_entry(spark):
