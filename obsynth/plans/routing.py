@@ -41,12 +41,11 @@ def route(flux: DataFrame, bodies: DataFrame, reaches: DataFrame, body: str = "b
     """(accumulated flux per reach and month, reaches that receive any of it with body count and sink)."""
     inp = flux.join(bodies.select(body, "comid"), body).where(F.col("comid") > 0).groupBy("comid", "month").agg(F.sum("flux").alias("flux"))
     inp = cut_lineage(inp)
-    trace = graph.trace_downstream(inp.select(F.col("comid").alias("start")).distinct(), reaches)
-    keep = cut_lineage(routing.reaches_receiving(reaches, trace))
+    # bodies with flux, accumulated: reaches with any are those that receive flux, at one row a reach
+    own = bodies.join(inp.select("comid").distinct(), "comid", "left_semi").groupBy("comid").agg(F.count(F.lit(1)).alias("n_bodies"))
+    keep = cut_lineage(reaches.join(graph.accumulate_sum(own, reaches, "n_bodies", time=[]), "comid"))
     acc = graph.accumulate_sum(inp, keep)
-    count = trace.join(bodies.where(F.col("comid") > 0).groupBy(F.col("comid").alias("start")).agg(F.count(F.lit(1)).alias("_n")), "start")
-    count = count.groupBy("comid").agg(F.sum("_n").alias("n_bodies"))
-    return acc, keep.join(count, "comid", "left").join(graph.downstream_sink(keep), "comid", "left")
+    return acc, keep.join(graph.downstream_sink(keep), "comid", "left")
 
 
 def land_flux(models: DataFrame, reaches: DataFrame, weights: list[float]) -> DataFrame:
