@@ -10,7 +10,7 @@ from ..operators import robust
 from ..plans import calibration, filling, regional, routing, synthesis
 from . import views as v
 from .fill_queries import SETTINGS_SCHEMA
-from .registry import query
+from .registry import query, r, sql_nmad_ctes, with_
 from .rollup_queries import members
 
 
@@ -41,7 +41,21 @@ def filled_cube(spark, d):
     return c.groupBy("run_id", "mission", "tile_id", "date_index").agg(F.count(F.lit(1)).alias("n"), fixed(F.avg("dh"), 3).alias("mean_dh"))
 
 
-@query("synthesized_cube")
+CELLS = ["tile", "mission", "time_bin", "height_bin"]
+
+
+@query(
+    "synthesized_cube",
+    with_(
+        v.OBS, f"cells as (select tile, mission, {v.sql_bin(90)} as time_bin, {v.SQL_H10} as height_bin, dh from obs)", *sql_nmad_ctes("nm", "cells", CELLS, "dh", 5),
+        "cube as (select 1 as run_id, tile, mission, time_bin, height_bin, median(dh) as v from cells group by all union all select 2, tile, mission, time_bin, height_bin, v from nm_bins)",
+        "fm as (select mission, median(v) as med from cube group by mission)",
+        "floors as (select c.mission, median(abs(c.v - fm.med)) as flr from cube c join fm on c.mission = fm.mission group by c.mission)",
+        "spread as (select c.tile, c.mission, time_bin, height_bin, stddev_samp(v) + any_value(flr) as err from cube c join floors f on c.mission = f.mission group by c.tile, c.mission, time_bin, height_bin having count(v) > 1)",
+        "w as (select run_id, tile, time_bin, height_bin, v, case when err > 0 then 1.0 / (err * err) else 0.001 end as w from cube left join spread using (tile, mission, time_bin, height_bin))",
+    )
+    + f"select run_id, tile as tile_id, time_bin as date_index, height_bin as height_index, {r('sum(v * w) / sum(w)', 4)} as dh, {r('sqrt(1.0 / sum(w))', 4)} as err from w group by all",
+)
 def synthesized_cube(spark, d):
     c = _cube(spark, d)
     m = synthesis.merge_runs(c, synthesis.ensemble_error(c))

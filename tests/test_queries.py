@@ -8,7 +8,7 @@ from obsynth.catalog.all import ORACLES, QUERIES
 from tools.check import compare, connect
 
 # fits and smoothing that SQL does not express; their parts are tested against numpy elsewhere
-NO_SQL = {"surface_model_fill", "surface_model_params", "replace_with_model", "profile_fill", "monthly_spline", "filled_cube", "synthesized_cube", "calibrated_runs", "regional_results", "river_routing"}
+NO_SQL = {"surface_model_fill", "surface_model_params", "replace_with_model", "profile_fill", "monthly_spline", "filled_cube", "calibrated_runs", "regional_results", "river_routing"}
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
