@@ -28,12 +28,15 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import component_labels
 from ..session import cut_lineage
-from .common import bytes_of, mix, slices, summed_over_tasks, word_hashes
+from .common import bytes_of, map_arrow, mix, slices, summed_over_tasks, word_hashes
 
-BUCKETS = 1 << 19  # counters of the n-gram order; 2 MB, whatever the corpus
+BUCKETS = 1 << 21  # counters of the n-gram order; of fixed size, whatever the corpus
 FRAGMENTS = 8
 BITS = 1024  # of the parity bitmap
 LANES = BITS // 64
+SLOTS = 1 << 23  # bits that mark wanted documents, 1 MB
+BITMAP_BYTES = 4096  # of one row that bitmap_construct_agg makes
+TRIED_FIRST = 16  # one in so many of the pairs between components is tried before all others
 SALT_ROWS = 4096  # nodes of one n-gram that stay together
 
 GRAM_STEP = 0xC2B2AE3D27D4EB4F  # any odd constant would do
@@ -123,7 +126,7 @@ def _sorted_sets(texts: list[bytes], words: int, order: GramOrder) -> tuple[np.n
     """(row, hash, bucket) of the distinct n-grams of each text, in the global order."""
     row, h = gram_hashes(texts, words)
     bucket = _bucket(h)
-    by = np.lexsort((h, order.place[bucket].astype(np.int64) | row.astype(np.int64) << 20))
+    by = np.lexsort((h, order.place[bucket].astype(np.int64) | row.astype(np.int64) << 32))
     row, h, bucket = row[by], h[by], bucket[by]
     fresh = np.r_[True, (h[1:] != h[:-1]) | (row[1:] != row[:-1])] if len(h) else np.empty(0, bool)
     return row[fresh], h[fresh], bucket[fresh]
@@ -171,25 +174,45 @@ def document_sets(docs: DataFrame, order, sim: Similarity) -> DataFrame:
                     names=["doc_id", "node", "n", "tokens", "salts", *(f"s{i}" for i in range(LANES))],
                 )
 
-    return docs.mapInArrow(run, f"doc_id {id_type}, {SET_FIELDS}")
+    return map_arrow(docs, run, f"doc_id {id_type}, {SET_FIELDS}")
 
 
-def fragments_of(docs: DataFrame, order, sim: Similarity) -> DataFrame:
-    """(node, fragment, grams): the sets of the given documents, cut at the fragments' borders."""
+def _slot() -> Column:
+    return F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS))
+
+
+def wanted_slots(ids: DataFrame) -> np.ndarray:
+    """Bits of the slots that ids hash to; of fixed size, so it travels to every task."""
+    slots = ids.where("doc_id is not null").select((_slot() + 1).alias("s"))  # these functions count from 1
+    found = slots.groupBy(F.bitmap_bucket_number("s").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("bits")).collect()
+    out = np.zeros(SLOTS // 8, np.uint8)
+    for r in found:
+        at = (r["b"] - 1) * BITMAP_BYTES
+        out[at : at + BITMAP_BYTES] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def fragments_of(docs: DataFrame, wanted, order, sim: Similarity) -> DataFrame:
+    """(node, grams): the sets of documents whose slot is wanted (or that have no id) as one array for
+    each fragment of the order.  Texts are not shuffled; the caller drops the nodes it did not want."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        o = order.value
+        o, bits = order.value, wanted.value
         for big in batches:
-            for b in slices(big, "text"):
+            slot = big.column("slot").to_numpy(zero_copy_only=False)
+            take = (bits[slot >> 3] >> (slot & 7) & 1).astype(bool) | (slot < 0)
+            for b in slices(big.filter(pa.array(take)), "text"):
                 row, h, bucket = _sorted_sets(bytes_of(b), sim.words, o)
                 n = np.bincount(row, minlength=b.num_rows)
                 node = _node_ids(h, np.cumsum(n) - n, n)
                 key = row * FRAGMENTS + o.fragment[bucket]  # rises with the order
-                cut = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, int)
-                grams = pa.ListArray.from_arrays(pa.array(np.r_[cut, len(key)], pa.int32()), pa.array(h.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(node[row[cut]]), pa.array((key[cut] % FRAGMENTS).astype(np.int32)), grams], names=["node", "fragment", "grams"])
+                cuts = np.searchsorted(key, np.arange(b.num_rows * FRAGMENTS + 1))
+                inner = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(h.view(np.int64)))
+                outer = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * FRAGMENTS, pa.int32()), inner)
+                yield pa.RecordBatch.from_arrays([pa.array(node), outer], names=["node", "grams"])
 
-    return docs.select("text").mapInArrow(run, "node long, fragment int, grams array<long>")
+    slot = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(_slot())
+    return map_arrow(docs.select(slot.alias("slot"), "text"), run, "node long, grams array<array<long>>")
 
 
 def _ordered(a: Column, b: Column, n_a: Column, n_b: Column) -> list[Column]:
@@ -209,14 +232,15 @@ def _by_bitmap(pairs: DataFrame, sigs: DataFrame, sim: Similarity) -> DataFrame:
 def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, order, sim: Similarity) -> DataFrame:
     """The pairs that are linked: overlaps are counted in every fragment and summed per pair."""
     need = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    shown = sets.where(F.size("tokens") > 0).join(need, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-    grams = fragments_of(docs.join(shown, "doc_id", "left_semi"), order, sim)
-    grams = cut_lineage(grams.join(need, "node", "left_semi").dropDuplicates(["node", "fragment"]))
-    left = grams.select(F.col("node").alias("a"), "fragment", F.col("grams").alias("x"))
-    right = grams.select(F.col("node").alias("b"), "fragment", F.col("grams").alias("y"))
-    shared = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "n_a", "n_b", F.size(F.array_intersect("x", "y")).alias("both"))
-    sums = shared.groupBy("a", "b", "n_a", "n_b").agg(F.sum("both").alias("both"))
-    return sums.where(sim.linked(F.col("n_a"), F.col("n_b"), F.col("both"))).select("a", "b")
+    shown = sets.where(F.size("tokens") > 0).join(need, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    wanted = docs.sparkSession.sparkContext.broadcast(wanted_slots(shown))
+    grams = fragments_of(docs, wanted, order, sim)
+    grams = cut_lineage(grams.join(need, "node", "left_semi").dropDuplicates(["node"]))
+    left, right = grams.select(F.col("node").alias("a"), F.col("grams").alias("x")), grams.select(F.col("node").alias("b"), F.col("grams").alias("y"))
+    shared = [F.size(F.array_intersect(F.get("x", F.lit(f)), F.get("y", F.lit(f)))).alias(f"o{f}") for f in range(FRAGMENTS)]
+    parts = pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", *shared)
+    both = sum((F.col(f"o{f}") for f in range(FRAGMENTS)), F.lit(0))
+    return parts.where(sim.linked(F.col("n_a"), F.col("n_b"), both)).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, sim: Similarity = Similarity(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -242,32 +266,41 @@ def near_duplicates(docs: DataFrame, sim: Similarity = Similarity(), id_col: str
     def candidates(found: DataFrame) -> DataFrame:
         return found.where(F.col("a") < F.col("b")).where(sim.sizes_fit(F.col("n_a"), F.col("n_b")))
 
-    # every node with the ends of its n-grams; the ends of dealt-out n-grams with each other
-    ends = F.explode(F.array("lo", "hi")).alias("e")
+    # every node with the smallest and the largest of the nodes that most of its n-grams lead to, and
+    # the ends of dealt-out n-grams with each other: a few pairs for each node
+    def led_to(end: str) -> DataFrame:
+        fits = (F.col(f"{end}.node") != F.col("node")) & sim.sizes_fit(F.col("n"), F.col(f"{end}.n"))
+        often = live.where(fits).groupBy("node", "n", F.col(end).alias("e")).agg(F.count(F.lit(1)).alias("k"))
+        return often.groupBy("node", "n").agg(F.max(F.struct("k", "e")).alias("m")).select("node", "n", F.col("m.e").alias("e"))
+
     heads = live.groupBy("token", "salt").agg(F.min(F.struct("node", "n")).alias("h"))
     tops = heads.groupBy("token").agg(F.min("h").alias("top"), F.count(F.lit(1)).alias("k")).where("k > 1").select("token", "top")
-    star = live.select("node", "n", ends).select(*_ordered(F.col("node"), F.col("e.node"), F.col("n"), F.col("e.n")))
+    star = led_to("lo").union(led_to("hi")).select(*_ordered(F.col("node"), F.col("e.node"), F.col("n"), F.col("e.n")))
     star = star.union(heads.join(tops, "token").select(*_ordered(F.col("h.node"), F.col("top.node"), F.col("h.n"), F.col("top.n"))))
     star = cut_lineage(candidates(star).distinct())
     sigs = cut_lineage(sets.where(F.size("tokens") > 0).select("node", *(f"s{i}" for i in range(LANES))).join(live.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]))
     links = cut_lineage(_verified(cut_lineage(_by_bitmap(star, sigs, sim)), docs, sets, order, sim))
-    labels = component_labels(links).withColumnRenamed("component", "c")
-
-    # pairs of different components: who is not of an n-gram's main component meets all its nodes
-    own = live.select("token", "node", "n", "pos").join(labels, "node", "left").withColumn("c", F.coalesce("c", "node"))
-    sizes = own.groupBy("token", "c").agg(F.count(F.lit(1)).alias("k"))
-    main = sizes.groupBy("token").agg(F.max(F.struct("k", "c")).alias("m"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("token", F.col("m.c").alias("main"))
-    own = cut_lineage(own.join(main, "token"))
-    x = own.where("c <> main").select("token", *(F.col(k).alias(f"{k}_x") for k in ("node", "n", "pos", "c")))
-    met = x.join(own.select("token", *(F.col(k).alias(f"{k}_y") for k in ("node", "n", "pos", "c"))), "token").where("c_x <> c_y").where(sim.sizes_fit(F.col("n_x"), F.col("n_y")))
-    # the first shared position bounds the overlap by what is left from there on
-    swap = F.col("node_x") > F.col("node_y")
-    first = met.select(*_ordered(F.col("node_x"), F.col("node_y"), F.col("n_x"), F.col("n_y")), F.when(swap, F.col("pos_y")).otherwise(F.col("pos_x")).alias("p_a"), F.when(swap, F.col("pos_x")).otherwise(F.col("pos_y")).alias("p_b"))
-    first = first.groupBy("a", "b", "n_a", "n_b").agg(F.min("p_a").alias("p_a"), F.min("p_b").alias("p_b"))
-    first = first.where(F.least(F.col("n_a") - F.col("p_a"), F.col("n_b") - F.col("p_b")) >= sim.least_overlap(F.col("n_a"), F.col("n_b")))
-    rest = first.select("a", "b", "n_a", "n_b").join(star.select("a", "b"), ["a", "b"], "left_anti")
-    more = cut_lineage(_verified(cut_lineage(_by_bitmap(rest, sigs, sim)), docs, sets, order, sim))
-    labels = cut_lineage(component_labels(links.union(more)))
+
+    # pairs of different components: who is not of an n-gram's main component meets all its nodes.  A
+    # part of the pairs comes first, as most components of a group join by it; then all the others.
+    def between(labels: DataFrame, first: bool) -> DataFrame:
+        own = live.select("token", "node", "n", "pos").join(labels.withColumnRenamed("component", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
+        sizes = own.groupBy("token", "c").agg(F.count(F.lit(1)).alias("k"))
+        main = sizes.groupBy("token").agg(F.max(F.struct("k", "c")).alias("m"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("token", F.col("m.c").alias("main"))
+        own = cut_lineage(own.join(main, "token"))
+        x, y = (d.select("token", *(F.col(k).alias(f"{k}_{e}") for k in ("node", "n", "pos", "c"))) for d, e in ((own.where("c <> main"), "x"), (own, "y")))
+        n_x, n_y = F.col("n_x"), F.col("n_y")
+        met = x.join(y, "token").where("c_x <> c_y").where(sim.sizes_fit(n_x, n_y))
+        turn = F.pmod(F.xxhash64(F.least("node_x", "node_y"), F.greatest("node_x", "node_y")), F.lit(TRIED_FIRST)) == 0
+        # at the first n-gram that a linked pair shares, what is left of both sets must be enough
+        enough = F.least(n_x - F.col("pos_x"), n_y - F.col("pos_y")) >= sim.least_overlap(n_x, n_y)
+        met = met.where(enough & (turn if first else ~turn)).select(*_ordered(F.col("node_x"), F.col("node_y"), n_x, n_y)).distinct()
+        return met.join(star.select("a", "b"), ["a", "b"], "left_anti")
+
+    for first in (True, False):
+        pairs = between(component_labels(links), first)
+        links = links.union(cut_lineage(_verified(cut_lineage(_by_bitmap(pairs, sigs, sim)), docs, sets, order, sim)))
+    labels = cut_lineage(component_labels(links))
 
     # a component is named by its smallest document
     named = sets.select("doc_id", "node", F.col("n").cast("long").alias("n_shingles")).join(labels, "node", "left")
