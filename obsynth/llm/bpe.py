@@ -19,14 +19,14 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import slices, texts_of
+from .common import map_arrow, slices, texts_of
 
 # Fixed value: the public pre-tokenization pattern of the byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 # The same cut for texts of ASCII and Latin-1 letters alone, where plain classes say the same.
 PLAIN = r"[\t-\r -~À-ÖØ-öø-ÿ]*"
 PLAIN_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^\sA-Za-zÀ-ÖØ-öø-ÿ0-9]+|\s+(?!\S)|\s+"
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
 NO_RANK = np.iinfo(np.int32).max
 
 ENCODED = "n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -182,4 +182,4 @@ def encode_decode(docs: DataFrame, vocabulary: str | None = None, id_col: str =
                     names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
 
-    return rows.mapInArrow(run, schema)
+    return map_arrow(rows, run, schema)

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
+import re
+import sys
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -10,8 +14,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
+SLICE_ROWS = 2048
+BATCH_BYTES = 4 << 20
 CHUNKS = 64  # parts of a table of counters that are summed apart
 
 # Odd multipliers of the hashes (any odd constants would do).
@@ -30,21 +37,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Consecutive parts of a batch whose ``column`` holds about ``limit`` bytes (one row at least),
-    so that working arrays stay small however long the texts of a batch are."""
+def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES, rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """Consecutive parts of a batch of at most ``rows`` rows whose ``column`` holds about ``limit``
+    bytes (one row at least), so that working arrays stay small however long or many the texts are."""
     if batch.num_rows == 0:
         return
     lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
     start = size = 0
     for i, n in enumerate(lengths):
-        if size and size + n > limit:
+        if i > start and (size + n > limit or i - start == rows):
             yield batch.slice(start, i - start)
             start, size = i, 0
         size += n
     yield batch.slice(start)
 
 
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """``df.mapInArrow`` with batches of a few megabytes: the session's limit is lowered to
+    ``BATCH_BYTES`` if it is higher, as rows of long texts would else fill executors with batches.
+    A worker gives freed memory back at the end of a task, for it stays for the next one."""
+    key, conf = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession.conf
+    if not 0 < int(re.sub(r"\D", "", conf.get(key))) <= BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if sys.platform == "linux":
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return df.mapInArrow(tidy, schema)
+
+
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     """The texts of a batch; null reads as empty."""
     return [x or "" for x in batch.column(column).to_pylist()]
@@ -94,6 +118,16 @@ def word_hashes(texts: list[bytes], lower: bool) -> tuple[np.ndarray, np.ndarray
     return np.searchsorted(ends, first, side="right"), word
 
 
+def _packed(numbers: np.ndarray) -> bytes:
+    """Integers in the fewest bytes that hold the largest of them (its width in front), deflated."""
+    width = next(w for w in (1, 2, 4, 8) if w == 8 or np.abs(numbers).max(initial=0) < 1 << (8 * w - 1))
+    return bytes([width]) + zlib.compress(numbers.astype(f"<i{width}").tobytes(), 1)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data[1:]), f"<i{data[0]}").astype(np.int64)
+
+
 def summed_over_tasks(rows: DataFrame, count: Callable[[Iterator[pa.RecordBatch]], np.ndarray], size: int) -> np.ndarray:
     """Sum over all tasks of the ``size`` integers that ``count`` makes of a task's batches.  Tasks
     send their numbers in chunks, further tasks add those up, and one table of fixed size reaches
@@ -106,19 +140,19 @@ def summed_over_tasks(rows: DataFrame, count: Callable[[Iterator[pa.RecordBatch]
         for c in range(CHUNKS):
             part = total[c * width : (c + 1) * width]
             if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["chunk", "numbers"])
+                yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([_packed(part)], pa.binary())], names=["chunk", "numbers"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for b in batches:
             for c, x in zip(b.column("chunk").to_pylist(), b.column("numbers").to_pylist(), strict=True):
-                part = np.frombuffer(x, np.int64)
+                part = _unpacked(x)
                 sums[c] = sums[c] + part if c in sums else part
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["chunk", "numbers"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([_packed(x) for x in sums.values()], pa.binary())], names=["chunk", "numbers"])
 
     out = np.zeros(size, np.int64)
-    for r in rows.mapInArrow(send, schema).repartition(CHUNKS, "chunk").mapInArrow(add, schema).collect():
-        part = np.frombuffer(r["numbers"], np.int64)
+    for r in map_arrow(map_arrow(rows, send, schema).repartition(CHUNKS, "chunk"), add, schema).collect():
+        part = _unpacked(r["numbers"])
         out[r["chunk"] * width : r["chunk"] * width + len(part)] += part
     return out
 

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import map_arrow, slices
 from .urls import host_of
 
 MIN_PAGES = 8  # a template subtree stands on so many pages of its host at least,
@@ -230,7 +230,7 @@ def template_digests(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: fl
                 rows = np.repeat(np.arange(b.num_rows), [len(f) for f in found])
                 yield pa.RecordBatch.from_arrays([b.column("host").take(pa.array(rows)), pa.array(flat)], names=["host", "digest"])
 
-    counts = pages.select("host", "html").mapInArrow(run, "host string, digest long").groupBy("host", "digest").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
+    counts = map_arrow(pages.select("host", "html"), run, "host string, digest long").groupBy("host", "digest").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
     sizes = pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     return counts.join(sizes, "host").where(F.col("n") >= min_share * F.col("pages")).groupBy("host").agg(F.collect_list("digest").alias("digests"))
 
@@ -263,4 +263,4 @@ def extract_main(
                     [b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=["page_id", "url", "text", "n_chars"]
                 )
 
-    return joined.mapInArrow(run, schema)
+    return map_arrow(joined, run, schema)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
-from .common import slices, texts_of
+from .common import map_arrow, slices, texts_of
 
 # Fixed values of the PNG format.
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -188,7 +188,7 @@ def texts_to_png(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     [b.column("doc_id"), pa.array([n for n, _ in made], pa.int64()), pa.array([write_png(p, level) for _, p in made], pa.binary())], names=["doc_id", "n_bytes", "media"]
                 )
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_bytes long, media binary")
+    return map_arrow(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_bytes long, media binary")
 
 
 FEATURES = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, hash binary, feature string, error string"
@@ -224,4 +224,4 @@ def png_features(stored: DataFrame, media_col: str = "media") -> DataFrame:
                 made = list(zip(*map(one, b.column(media_col).to_pylist()), strict=True))
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), *(pa.array(x, t) for x, t in zip(made, kinds, strict=True))], names=[*kept, *fresh])
 
-    return rows.mapInArrow(run, schema)
+    return map_arrow(rows, run, schema)

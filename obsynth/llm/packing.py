@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .bpe import codec, default_vocabulary
-from .common import slices, texts_of
+from .common import map_arrow, slices, texts_of
 
 END_ID = 0
 SEQUENCE_BITS = 40  # sequence_id = partition << 40 | running number of the task
@@ -200,4 +200,4 @@ def pack_documents(
         emit(packer.finish())
         yield flush()
 
-    return rows.mapInArrow(run, schema)
+    return map_arrow(rows, run, schema)

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import bytes_of, labelled_sample, slices, summed_over_tasks, word_hashes
+from .common import bytes_of, labelled_sample, map_arrow, slices, summed_over_tasks, word_hashes
 
 ROWS = 1 << 15  # words share so many vectors
 DIM = 32
@@ -178,7 +178,7 @@ def train(docs: DataFrame, labels: DataFrame, held: Column, sample: dict[int, in
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "label", "part")), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "label", "part", "x"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    got = sorted(rows.mapInArrow(run, f"doc_id {kind}, label int, part long, x array<double>").collect(), key=lambda r: (r["doc_id"], r["x"]))
+    got = sorted(map_arrow(rows, run, f"doc_id {kind}, label int, part long, x array<double>").collect(), key=lambda r: (r["doc_id"], r["x"]))
     y, part = np.array([r["label"] for r in got], float), np.array([r["part"] for r in got], int)
     if len(set(y.tolist())) < 2:
         return QualityModel(vectors, constant(y.mean() if len(y) else 0.5))
@@ -204,4 +204,4 @@ def score_quality(docs: DataFrame, model: QualityModel, text_col: str = "text",
                 p = shared.value.probability(bytes_of(b, text_col))
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p, pa.float64())], names=[*b.schema.names, score_col])
 
-    return rows.mapInArrow(run, schema)
+    return map_arrow(rows, run, schema)

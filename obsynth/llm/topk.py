@@ -18,6 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from .common import map_arrow
 
 BLOCK = 2048
 SCALE = 64
@@ -47,7 +48,7 @@ def _gram(vectors: DataFrame, dim: int) -> np.ndarray:
             total += v.T @ v
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(dim)), pa.array(list(total))], names=["i", "row"])
 
-    parts = vectors.select("v").mapInArrow(run, "i long, row array<double>")
+    parts = map_arrow(vectors.select("v"), run, "i long, row array<double>")
     sums = parts.select("i", F.posexplode("row")).groupBy("i", "pos").agg(F.sum("col").alias("x")).collect()
     out = np.zeros((dim, dim))
     for r in sums:
@@ -84,7 +85,7 @@ def _blocks(rows: DataFrame, block: int, rotation: np.ndarray, head: int) -> Dat
             cells = [pa.array(x, pa.binary()) for x in (ids, vecs, heads, rests)]
             yield pa.RecordBatch.from_arrays([b.column("b"), *cells, b.column("top")], names=["b", "ids", "vecs", "heads", "rests", "top"])
 
-    return cut_lineage(flat.mapInArrow(run, "b long, ids binary, vecs binary, heads binary, rests binary, top double"))
+    return cut_lineage(map_arrow(flat, run, "b long, ids binary, vecs binary, heads binary, rests binary, top double"))
 
 
 PAIRS = 64  # candidate rows bounded at a time for a block of queries
@@ -178,10 +179,10 @@ def exact_top_k(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str =
 
     # every query block first meets block 0, the longest candidates
     first = queries.withColumn("b", F.lit(0).cast("long")).join(cands, "b").withColumn("floors", F.lit(None).cast("binary"))
-    opening = cut_lineage(first.select(*fields).repartition("q").mapInArrow(score, SCORED))
+    opening = cut_lineage(map_arrow(first.select(*fields).repartition("q"), score, SCORED))
     # then the blocks that its weakest k-th score does not rule out; only numbers meet here
     pairs = opening.select("q", "floors", "reach").join(cands.where("b > 0").select("b", "top"), F.col("top") * (1 + SLACK) + SLACK >= F.col("reach"))
-    later = pairs.repartition("q", "b").join(queries, "q").join(cands.drop("top"), "b").select(*fields).mapInArrow(score, SCORED)
+    later = map_arrow(pairs.repartition("q", "b").join(queries, "q").join(cands.drop("top"), "b").select(*fields), score, SCORED)
     both = opening.select("found").union(later.select("found")).select(F.inline("found"))
     place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return both.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import bytes_of, labelled_sample, slices
+from .common import bytes_of, labelled_sample, map_arrow, slices
 
 # The bounded training sample: labelled rows of each class, and the longest text that is used.
 SAMPLE = {1: 2000, 0: 5000}
@@ -235,4 +235,4 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text"
                 p = model.probability(gains.features(bytes_of(b, text_col)))
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p, pa.float64())], names=[*b.schema.names, score_col])
 
-    return rows.mapInArrow(run, schema)
+    return map_arrow(rows, run, schema)
