@@ -132,7 +132,7 @@ def _sorted_sets(texts: list[bytes], words: int, order: GramOrder) -> tuple[np.n
     return row[fresh], h[fresh], bucket[fresh]
 
 
-SET_FIELDS = "node long, n int, tokens array<long>, salts array<int>, " + ", ".join(f"s{i} long" for i in range(LANES))
+SET_FIELDS = "node long, n int, tokens array<long>, salts array<int>, dealt array<boolean>, " + ", ".join(f"s{i} long" for i in range(LANES))
 
 
 def _node_ids(h: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -160,7 +160,8 @@ def document_sets(docs: DataFrame, order, sim: Similarity) -> DataFrame:
                 keep = np.where(fresh, sim.prefix(n), 0)
                 pos = np.arange(len(row)) - start[row]
                 take = pos < keep[row]
-                salt = (node[row[take]] & 0x7FFFFFFF) % o.salts[bucket[take]]
+                of = o.salts[bucket[take]]
+                salt = (node[row[take]] & 0x7FFFFFFF) % of
                 offsets = pa.array(np.r_[0, np.cumsum(keep)], pa.int32())
                 cell = (h & np.uint64(BITS - 1)).astype(np.int64)
                 parity = (np.bincount(row * BITS + cell, minlength=b.num_rows * BITS) & 1).astype(np.uint8)
@@ -168,10 +169,10 @@ def document_sets(docs: DataFrame, order, sim: Similarity) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         b.column("doc_id"), pa.array(node), pa.array(n, pa.int32()),
-                        pa.ListArray.from_arrays(offsets, pa.array(h[take].view(np.int64))), pa.ListArray.from_arrays(offsets, pa.array(salt.astype(np.int32))),
+                        pa.ListArray.from_arrays(offsets, pa.array(h[take].view(np.int64))), pa.ListArray.from_arrays(offsets, pa.array(salt.astype(np.int32))), pa.ListArray.from_arrays(offsets, pa.array(of > 1)),
                         *(pa.array(np.ascontiguousarray(lanes[:, i])) for i in range(LANES)),
                     ],
-                    names=["doc_id", "node", "n", "tokens", "salts", *(f"s{i}" for i in range(LANES))],
+                    names=["doc_id", "node", "n", "tokens", "salts", "dealt", *(f"s{i}" for i in range(LANES))],
                 )
 
     return map_arrow(docs, run, f"doc_id {id_type}, {SET_FIELDS}")
@@ -257,11 +258,13 @@ def near_duplicates(docs: DataFrame, sim: Similarity = Similarity(), id_col: str
     order = spark.sparkContext.broadcast(GramOrder.of(count_grams(docs, sim.words)))  # of fixed size
     sets = cut_lineage(document_sets(docs, order, sim))
 
-    # prefix n-grams that more than one node holds
-    rows = sets.select("node", "n", F.posexplode(F.arrays_zip("tokens", "salts")).alias("pos", "t")).select(F.col("t.tokens").alias("token"), F.col("t.salts").alias("salt"), "node", "n", "pos")
+    # prefix n-grams that more than one node holds, and all that are dealt over several salts: a node
+    # alone in its salt may share the n-gram with the nodes of another one
+    rows = sets.select("node", "n", F.posexplode(F.arrays_zip("tokens", "salts", "dealt")).alias("pos", "t"))
+    rows = rows.select(F.col("t.tokens").alias("token"), F.col("t.salts").alias("salt"), F.col("t.dealt").alias("dealt"), "node", "n", "pos")
     over = W.partitionBy("token", "salt")
     rows = rows.withColumns({"lo": F.min(F.struct("node", "n")).over(over), "hi": F.max(F.struct("node", "n")).over(over)})
-    live = cut_lineage(rows.where("lo.node < hi.node or salt > 0").dropDuplicates(["token", "node"]))
+    live = cut_lineage(rows.where("lo.node < hi.node or dealt").drop("dealt").dropDuplicates(["token", "node"]))
 
     def candidates(found: DataFrame) -> DataFrame:
         return found.where(F.col("a") < F.col("b")).where(sim.sizes_fit(F.col("n_a"), F.col("n_b")))

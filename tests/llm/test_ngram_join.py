@@ -68,6 +68,19 @@ def test_chain_of_near_copies(spark):
     assert got == brute(rows, 4, 85) and {r[2] for r in got} == {0}
 
 
+def test_pairs_across_salts(spark, monkeypatch):
+    """A passage and the passage with one more word share n-grams that longer documents make frequent;
+    each of the two may be alone in its salt, the first one included."""
+    monkeypatch.setattr(N, "SALT_ROWS", 1)
+    rows = []
+    for g in range(24):
+        passage = " ".join(f"p{g}x{i}" for i in range(9))
+        rows += [(100 * g, passage), (100 * g + 1, f"{passage} more{g}")]
+        rows += [(100 * g + k, f"{passage} " + " ".join(f"q{g}y{k}z{i}" for i in range(40))) for k in range(2, 10)]
+    got = N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), N.Similarity(4, 85))
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == brute(rows, 4, 85)
+
+
 def test_no_rows(spark):
     assert N.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     got = N.near_duplicates(spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")).collect()
