@@ -2,14 +2,15 @@
 
 Every page is parsed into a tree; the hash of each block element's subtree is counted per host in
 Spark; subtrees that recur across many pages of a host are template and are deleted, along with what
-markup itself marks as menu, advert, form and the like.  What is left of the article is the text.
+markup itself marks as menu, advert, form and the like.  The article, or the page where articles hold
+less than half of what is left, is the text.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -154,27 +155,23 @@ def walk(node: Element) -> Iterator[Element]:
         stack.extend(c for c in n.children if not isinstance(c, str))
 
 
-def article_roots(tree: Element) -> list[Element]:
-    """The outermost articles that are no menus or comments; else what is marked main; else all."""
-
-    def find(test) -> list[Element]:
-        out, stack = [], [tree]
-        while stack:
-            n = stack.pop()
-            if n is not tree and not is_main(n, inside=False):
-                continue
-            if n is not tree and test(n):
-                out.append(n)
-                continue
-            stack.extend(c for c in reversed(n.children) if not isinstance(c, str))
-        return out
-
-    return find(lambda n: n.name == "article") or find(lambda n: n.name == "main" or attributes(n.attrs).get("role") == "main") or [tree]
+def outermost(tree: Element, test: Callable[[Element], bool]) -> list[Element]:
+    """The outermost elements that pass the test and are no menus, comments or the like."""
+    out, stack = [], [tree]
+    while stack:
+        n = stack.pop()
+        if n is not tree and not is_main(n, inside=False):
+            continue
+        if n is not tree and test(n):
+            out.append(n)
+            continue
+        stack.extend(c for c in reversed(n.children) if not isinstance(c, str))
+    return out
 
 
-def main_text(tree: Element, template: frozenset[int] | set[int]) -> str:
-    """Blocks of the main text joined by blank lines.  ``template`` holds digests to delete: outside
-    an article any block; inside it containers that hold a small part of its text."""
+def blocks_of(roots: list[Element], tree: Element, template: frozenset[int] | set[int]) -> list[str]:
+    """Blocks of text below the roots.  Of the whole tree any block of the template goes; of other
+    roots containers that hold a small part of the root's text."""
     blocks: list[str] = []
     line: list[str] = []
 
@@ -184,7 +181,7 @@ def main_text(tree: Element, template: frozenset[int] | set[int]) -> str:
         if text:
             blocks.append(text)
 
-    for root in article_roots(tree):
+    for root in roots:
         whole = root is tree
         stack: list[Element | str | None] = [root]
         while stack:
@@ -207,7 +204,27 @@ def main_text(tree: Element, template: frozenset[int] | set[int]) -> str:
                 stack.extend(reversed(n.children))
             else:
                 stack.extend(reversed(n.children))
-    return "\n\n".join(blocks)
+    return blocks
+
+
+def main_text(tree: Element, template: frozenset[int] | set[int]) -> str:
+    """Blocks of the main text joined by blank lines; ``template`` holds digests to delete.
+
+    Recurring subtrees go first.  Of what is left, elements marked main are the page if they hold
+    half of its text, and articles if they hold half of that; so cards marked as articles do not
+    displace a body that stands outside them.  Recurring articles count only where they hold more
+    text than all that would be kept without them (copies of one page)."""
+    letters = lambda blocks: sum(map(len, blocks))
+    articles = outermost(tree, lambda n: n.name == "article")
+    again = [a for a in articles if a.digest in template]
+    mains = outermost(tree, lambda n: n.name == "main" or attributes(n.attrs).get("role") == "main")
+    chosen = blocks_of([tree], tree, template)
+    for roots in (mains, [a for a in articles if a.digest not in template]):
+        if roots and 2 * letters(part := blocks_of(roots, tree, template)) >= letters(chosen):
+            chosen = part
+    if again and letters(blocks_of(again, tree, template)) > letters(chosen):
+        chosen = blocks_of(articles, tree, template)
+    return "\n\n".join(chosen)
 
 
 def tree_of(source: str | None) -> Element:

@@ -42,3 +42,19 @@ def test_host_templates(spark):
             assert ("Follow" in text) == ("small" in u) and "Story" in text
     assert [got[i]["text"] for i in range(len(rows) - 3, len(rows))] == ["", "", "x"]
     assert extract_main(pages.limit(0)).count() == 0
+
+
+BODY = "<p>The body of the page stands here</p><p>and goes on for some more words</p>"
+CARDS = "<article><h2>Card one</h2></article><article><h2>Card two</h2></article>"
+
+
+@pytest.mark.parametrize("source", [f"<main>{BODY}</main>{CARDS}", f"<div>{BODY}</div>{CARDS}", f"<main>{BODY}{CARDS}</main>"])
+def test_cards_do_not_displace_the_body(source):
+    assert "body of the page" in main_text(tree_of(source), frozenset()) and "some more words" in main_text(tree_of(source), frozenset())
+    cards = {c.digest for c in tree_of(CARDS).children}
+    assert main_text(tree_of(source), cards) == "The body of the page stands here\n\nand goes on for some more words"
+
+
+def test_copies_of_an_article_stay():
+    tree = tree_of(f"<div>12 May</div><article>{BODY}</article>")
+    assert main_text(tree, {tree.children[1].digest, *(c.digest for c in tree.children[1].children)}) == "The body of the page stands here\n\nand goes on for some more words"
