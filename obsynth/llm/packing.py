@@ -16,7 +16,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from .bpe import codec, default_vocabulary
 from .common import map_arrow, slices, texts_of
@@ -70,7 +71,7 @@ class SequencePacker:
         self.demand[slot] = self._vector(piece)
         if not self.free:
             while len(self.free) < self.window // 2:
-                yield self._fill()
+                yield from self._tail(self._fill())
 
     def finish(self) -> Iterator[list[Piece]]:
         while len(self.free) < self.window:
@@ -146,23 +147,39 @@ def pack_stream(examples: Iterable[tuple[object, int, int]], limits: Limits = Li
     yield from packer.finish()
 
 
+def turn_loss_start(role: Column, text: Column) -> Column:
+    """Loss start of a conversation's turn as an example: what the assistant says bears loss, no token of
+    other turns does."""
+    return F.when(role == "assistant", 0).otherwise(F.char_length(F.coalesce(text, F.lit(""))) + 1)
+
+
 PACKED = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 def pack_documents(
-    docs: DataFrame, vocabulary: str | None = None, limits: Limits = Limits(), window: int = 256, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False
+    docs: DataFrame,
+    vocabulary: str | None = None,
+    limits: Limits = Limits(),
+    window: int = 256,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    with_ids: bool = False,
+    loss_col: str | None = None,
 ) -> DataFrame:
     """One row per piece of a document (its token ids and a closing id 0) with its place in a sequence.
 
     Encoding and packing happen in the task that reads the text: no token is shuffled, and each task
     leaves at most a few short sequences of power-of-two length.  Ids of sequences hold the partition
-    number, so they are unique and the same when a lost task runs again.  In plain documents every
-    token bears loss.  A null text is empty (one piece, the closing id); repeated rows and null ids
+    number, so they are unique and the same when a lost task runs again.  ``loss_col`` tells how many
+    characters of the text (a prompt) bear no loss: both parts are encoded apart, the closing id bears
+    loss unless the number exceeds the text's length, and a column ``loss_tokens`` counts those of the
+    piece.  Without it (or where it is null) every token bears loss.  A null text is empty (one piece, the closing id); repeated rows and null ids
     are packed as they come; further columns are dropped; an empty table gives no rows.
     """
     path = vocabulary or default_vocabulary()
-    rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
-    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {PACKED}" + (", ids binary" if with_ids else "")
+    start = F.coalesce(docs[loss_col], F.lit(0)).cast("long") if loss_col else F.lit(0).cast("long")
+    rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), start.alias("loss_start"))
+    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {PACKED}" + (", ids binary" if with_ids else "") + (", loss_tokens long" if loss_col else "")
     kind = pa.int64()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,23 +196,26 @@ def pack_documents(
                 for p in seq:
                     doc_id, ids = p.key
                     own = ids[4 * p.start : 4 * (p.start + p.length)]
-                    rows_out.append((doc_id, p.start, p.length, zlib.crc32(own), len(ids) // 4, base | made, offset) + ((own,) if with_ids else ()))
+                    rows_out.append((doc_id, p.start, p.length, zlib.crc32(own), len(ids) // 4, base | made, offset) + ((own,) if with_ids else ()) + ((p.loss(),) if loss_col else ()))
                     offset += p.length
                 made += 1
 
         def flush() -> pa.RecordBatch:
-            cols = list(zip(*rows_out, strict=True)) or [()] * (8 if with_ids else 7)
-            types = [id_type, *[kind] * 6] + ([pa.binary()] if with_ids else [])
-            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + (["ids"] if with_ids else [])
+            types = [id_type, *[kind] * 6] + ([pa.binary()] if with_ids else []) + ([kind] if loss_col else [])
+            cols = list(zip(*rows_out, strict=True)) or [()] * len(types)
+            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + (["ids"] if with_ids else []) + (["loss_tokens"] if loss_col else [])
             rows_out.clear()
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, types, strict=True)], names=names)
 
         for big in batches:
             id_type = big.schema.field("doc_id").type
             for b in slices(big, "text"):
-                for doc_id, ids in zip(b.column("doc_id").to_pylist(), c.encode_batch(texts_of(b)), strict=True):
-                    ids += END_ID.to_bytes(4, "little")
-                    emit(packer.add(Piece((doc_id, ids), 0, len(ids) // 4, 0)))
+                texts, starts = texts_of(b), b.column("loss_start").to_pylist()
+                prompts = c.encode_batch([t[: max(0, k)] for t, k in zip(texts, starts, strict=True)]) if loss_col else [b""] * len(texts)
+                answers = c.encode_batch([t[max(0, k) :] for t, k in zip(texts, starts, strict=True)] if loss_col else texts)
+                for doc_id, text, k, prompt, answer in zip(b.column("doc_id").to_pylist(), texts, starts, prompts, answers, strict=True):
+                    ids = prompt + answer + END_ID.to_bytes(4, "little")
+                    emit(packer.add(Piece((doc_id, ids), 0, len(ids) // 4, (len(prompt) + 4 * (k > len(text))) // 4)))
                 yield flush()
         emit(packer.finish())
         yield flush()

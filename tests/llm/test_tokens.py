@@ -7,10 +7,11 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from obsynth.llm.bpe import BytePairCodec, default_vocabulary, encode_decode
-from obsynth.llm.packing import Limits, pack_documents, pack_stream
+from obsynth.llm.packing import Limits, pack_documents, pack_stream, turn_loss_start
 
 ODD = ["", None, "aaaaaaaaaaa", " a\n\n b\t\t c   d", "it's don't we'll<|endoftext|>x <|endoftext|>\n", "日本語 １２３ ²½ é́ 🙂🙂", "\x1c x\x85y\xa0", "  \n ", "x" * 5000, "the end " * 3000]
 
@@ -87,3 +88,26 @@ def test_packing_keeps_all_limits(limits):
         for p in seq:
             held[p.key] += p.length
     assert held == {k: n for k, n, _ in examples}
+
+
+def test_loss_start_binds_in_spark(spark):
+    rows = [(i, role, f"turn {i} has some words " * (1 + i % 7)) for i, role in enumerate(["user", "assistant"] * 60)] + [(900, "user", None)]
+    turns = spark.createDataFrame(rows, "doc_id long, role string, text string").withColumn("from", turn_loss_start(F.col("role"), F.col("text")))
+    limits = Limits(256, 64, 64)
+    got = pack_documents(turns.coalesce(1), limits=limits, loss_col="from").collect()
+    role = {d: r for d, r, _ in rows}
+    sums = {}
+    for p in got:
+        assert p["loss_tokens"] == (p["length"] if role[p["doc_id"]] == "assistant" else 0)
+        n, loss = sums.get(p["sequence_id"], (0, 0))
+        sums[p["sequence_id"]] = n + p["length"], loss + p["loss_tokens"]
+    assert all(loss <= 64 for _, loss in sums.values()) and any(loss == 64 and n > 64 for n, loss in sums.values())
+    one = pack_documents(spark.createDataFrame([(1, "ask me answer", 6)], "doc_id long, text string, k int"), loss_col="k", with_ids=True).collect()
+    assert 1 < sum(p["loss_tokens"] for p in one) < sum(p["length"] for p in one)
+
+
+def test_short_sequences_need_no_padding():
+    """Many short documents end sequences at the segment limit."""
+    made = list(pack_stream(((i, 5, 0) for i in range(2000))))
+    sizes = [sum(p.length for p in seq) for seq in made]
+    assert sum(sizes) == 10_000 and all(n & (n - 1) == 0 for n in sizes) and max(len(seq) for seq in made) <= 64
