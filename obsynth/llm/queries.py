@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 from . import quality, toxicity
 from .bpe import encode_decode
 from .common import crc_fold, table
+from .dialogue import conversation_report, damaged
 from .html_main import extract_main
 from .media import png_features, texts_to_png
 from .ngram_join import Similarity, near_duplicates
 from .packing import pack_documents
 from .secret_scan import report_sql, secret_report
+from .simhash import simhash_groups
+from .spelling import letter_runs, misspelt, spelling_variants, word_counts
 from .topk import exact_top_k
 from .urls import judge_pages
 
@@ -114,3 +117,20 @@ def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 @op
 def op10_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
+
+
+@op
+def op11_gram_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = misspelt(letter_runs(table(spark, sf_dir, "documents").select("doc_id", "text"), least=6), one_in=199)
+    return spelling_variants(word_counts(runs, least_chars=6, least=5), factor=5)
+
+
+@op
+def op12_grammar_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return conversation_report(damaged(rows), rows.select("conv_id"))
+
+
+@op
+def op13_tiled_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_groups(table(spark, sf_dir, "documents"), words=4, radius=4)
