@@ -47,6 +47,15 @@ def test_stages_reject_what_they_should(spark):
     assert share[1] > 0.97 and share[0] < 0.1
 
 
+def test_toxic_documents_go(spark):
+    """The stage learns from all labels, so this is its fit; held-out figures are in test_classifiers."""
+    d = DATA.replace("sf0.001", "sf0.1")
+    left = P.drop_toxic(spark, table(spark, d, "documents"), d).select("doc_id")
+    r = table(spark, d, "labels").join(left.withColumn("kept", F.lit(1)), "doc_id", "left").groupBy("toxic").agg(F.avg(F.coalesce("kept", F.lit(0))).alias("kept"))
+    share = {x["toxic"]: x["kept"] for x in r.collect()}
+    assert share[0] > 0.97 and share[1] < 0.25
+
+
 def test_run(spark):
     out = P.run(spark, DATA)
     rows = out.collect()
