@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, discard
 
 MAX_ROUNDS = 64
 
@@ -140,6 +140,7 @@ def component_labels(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         low = big.groupBy("u").agg(F.min("v").alias("m"))
         small = big.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.toDF("u", "v"))
         small = cut_lineage(small.where("u <> v").distinct())
+        discard(e, big)
         # order-free signature of the edge set: one small aggregate a round decides convergence
         now = small.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
         stable, seen, e = now == seen, now, small
