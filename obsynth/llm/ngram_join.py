@@ -11,7 +11,8 @@
 Copies with equal sets are one node throughout.  Candidates come in two steps so that a group of
 thousands of near copies never becomes all its pairs: first every node meets the smallest and the
 largest node of its n-grams, and links make components; then pairs of different components meet,
-each node outside an n-gram's main component with all of that n-gram's nodes.
+each node outside an n-gram's main component with that n-gram's nodes, unless both have met at an
+n-gram just before it.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.graph import component_labels
-from ..session import cut_lineage
+from ..session import cut_lineage, discard
 from .common import bytes_of, map_arrow, mix, slices, summed_over_tasks, word_hashes
 
 BUCKETS = 1 << 21  # counters of the n-gram order; of fixed size, whatever the corpus
@@ -38,6 +39,7 @@ SLOTS = 1 << 23  # bits that mark wanted documents, 1 MB
 BITMAP_BYTES = 4096  # of one row that bitmap_construct_agg makes
 TRIED_FIRST = 16  # one in so many of the pairs between components is tried before all others
 SALT_ROWS = 4096  # nodes of one n-gram that stay together
+BEFORE = 3  # earlier n-grams of a node that tell whether a pair has met already
 
 GRAM_STEP = 0xC2B2AE3D27D4EB4F  # any odd constant would do
 
@@ -231,17 +233,21 @@ def _by_bitmap(pairs: DataFrame, sigs: DataFrame, sim: Similarity) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, order, sim: Similarity) -> DataFrame:
-    """The pairs that are linked: overlaps are counted in every fragment and summed per pair."""
+    """The pairs that are linked, as a table: overlaps are counted in every fragment and summed per pair.
+    The table ``pairs`` and the sets read for it are deleted."""
     need = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     shown = sets.where(F.size("tokens") > 0).join(need, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    wanted = docs.sparkSession.sparkContext.broadcast(wanted_slots(shown))
-    grams = fragments_of(docs, wanted, order, sim)
-    grams = cut_lineage(grams.join(need, "node", "left_semi").dropDuplicates(["node"]))
+    wanted = docs.sparkSession.sparkContext.broadcast(wanted_slots(shown))  # of fixed size
+    found = fragments_of(docs, wanted, order, sim)
+    grams = cut_lineage(found.join(need, "node", "left_semi").dropDuplicates(["node"]))
     left, right = grams.select(F.col("node").alias("a"), F.col("grams").alias("x")), grams.select(F.col("node").alias("b"), F.col("grams").alias("y"))
     shared = [F.size(F.array_intersect(F.get("x", F.lit(f)), F.get("y", F.lit(f)))).alias(f"o{f}") for f in range(FRAGMENTS)]
     parts = pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", *shared)
     both = sum((F.col(f"o{f}") for f in range(FRAGMENTS)), F.lit(0))
-    return parts.where(sim.linked(F.col("n_a"), F.col("n_b"), both)).select("a", "b")
+    out = cut_lineage(parts.where(sim.linked(F.col("n_a"), F.col("n_b"), both)).select("a", "b"))
+    discard(pairs, grams)
+    wanted.destroy()
+    return out
 
 
 def near_duplicates(docs: DataFrame, sim: Similarity = Similarity(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -249,7 +255,8 @@ def near_duplicates(docs: DataFrame, sim: Similarity = Similarity(), id_col: str
     among the documents reachable over links.
 
     Null and empty texts and texts of white space have no n-gram and are linked with nothing; a text
-    of fewer words than an n-gram is one n-gram.  Rows without an id take part (their texts can link
+    of fewer words than an n-gram is one n-gram, and very long texts are taken whole.  Further columns
+    do not matter, whatever their names.  Rows without an id take part (their texts can link
     others) but name no component: a component of such rows alone is null.  Rows that repeat an id
     are judged by their own texts.  No rows, no result.
     """
@@ -264,7 +271,7 @@ def near_duplicates(docs: DataFrame, sim: Similarity = Similarity(), id_col: str
     rows = rows.select(F.col("t.tokens").alias("token"), F.col("t.salts").alias("salt"), F.col("t.dealt").alias("dealt"), "node", "n", "pos")
     over = W.partitionBy("token", "salt")
     rows = rows.withColumns({"lo": F.min(F.struct("node", "n")).over(over), "hi": F.max(F.struct("node", "n")).over(over)})
-    live = cut_lineage(rows.where("lo.node < hi.node or dealt").drop("dealt").dropDuplicates(["token", "node"]))
+    live = cut_lineage(rows.where("lo.node < hi.node or dealt").drop("dealt").dropDuplicates(["token", "salt", "node"]))  # a node has one salt: no further shuffle
 
     def candidates(found: DataFrame) -> DataFrame:
         return found.where(F.col("a") < F.col("b")).where(sim.sizes_fit(F.col("n_a"), F.col("n_b")))
@@ -282,32 +289,50 @@ def near_duplicates(docs: DataFrame, sim: Similarity = Similarity(), id_col: str
     star = star.union(heads.join(tops, "token").select(*_ordered(F.col("h.node"), F.col("top.node"), F.col("h.n"), F.col("top.n"))))
     star = cut_lineage(candidates(star).distinct())
     sigs = cut_lineage(sets.where(F.size("tokens") > 0).select("node", *(f"s{i}" for i in range(LANES))).join(live.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]))
-    links = cut_lineage(_verified(cut_lineage(_by_bitmap(star, sigs, sim)), docs, sets, order, sim))
+    links = _verified(cut_lineage(_by_bitmap(star, sigs, sim)), docs, sets, order, sim)
 
-    # pairs of different components: who is not of an n-gram's main component meets all its nodes.  A
+    # pairs of different components: who is not of an n-gram's main component meets its other nodes.  A
     # part of the pairs comes first, as most components of a group join by it; then all the others.
     def between(labels: DataFrame, first: bool) -> DataFrame:
         own = live.select("token", "node", "n", "pos").join(labels.withColumnRenamed("component", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
         sizes = own.groupBy("token", "c").agg(F.count(F.lit(1)).alias("k"))
         main = sizes.groupBy("token").agg(F.max(F.struct("k", "c")).alias("m"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("token", F.col("m.c").alias("main"))
-        own = cut_lineage(own.join(main, "token"))
-        x, y = (d.select("token", *(F.col(k).alias(f"{k}_{e}") for k in ("node", "n", "pos", "c"))) for d, e in ((own.where("c <> main"), "x"), (own, "y")))
+        own = own.join(main, "token").withColumn("inner", F.col("c") == F.col("main")).drop("main")
+        # every n-gram that two components share is here, so a pair that shares an earlier one meets there
+        line = W.partitionBy("node").orderBy("pos")
+        before = [f"p{i}" for i in range(BEFORE)]
+        own = cut_lineage(own.withColumns({p: F.lag("token", i + 1).over(line) for i, p in enumerate(before)}))
+        fields = ("node", "n", "pos", "c", "inner", *before)
+        x, y = (d.select("token", *(F.col(k).alias(f"{k}_{e}") for k in fields)) for d, e in ((own.where("not inner"), "x"), (own, "y")))
         n_x, n_y = F.col("n_x"), F.col("n_y")
-        met = x.join(y, "token").where("c_x <> c_y").where(sim.sizes_fit(n_x, n_y))
+        met_before = F.lit(False)
+        for p in before:
+            for q in before:
+                met_before = met_before | F.coalesce(F.col(f"{p}_x") == F.col(f"{q}_y"), F.lit(False))
+        met = x.join(y, "token").where((F.col("c_x") != F.col("c_y")) & (F.col("inner_y") | (F.col("node_x") < F.col("node_y"))) & sim.sizes_fit(n_x, n_y) & ~met_before)
         turn = F.pmod(F.xxhash64(F.least("node_x", "node_y"), F.greatest("node_x", "node_y")), F.lit(TRIED_FIRST)) == 0
         # at the first n-gram that a linked pair shares, what is left of both sets must be enough
         enough = F.least(n_x - F.col("pos_x"), n_y - F.col("pos_y")) >= sim.least_overlap(n_x, n_y)
         met = met.where(enough & (turn if first else ~turn)).select(*_ordered(F.col("node_x"), F.col("node_y"), n_x, n_y)).distinct()
-        return met.join(star.select("a", "b"), ["a", "b"], "left_anti")
+        out = cut_lineage(_by_bitmap(met.join(star.select("a", "b"), ["a", "b"], "left_anti"), sigs, sim))
+        discard(own)
+        return out
 
     for first in (True, False):
-        pairs = between(component_labels(links), first)
-        links = links.union(cut_lineage(_verified(cut_lineage(_by_bitmap(pairs, sigs, sim)), docs, sets, order, sim)))
+        labels = cut_lineage(component_labels(links))
+        pairs = between(labels, first)
+        more = _verified(pairs, docs, sets, order, sim)
+        both = cut_lineage(links.union(more))
+        discard(labels, links, more)
+        links = both
+    discard(live, star, sigs)
     labels = cut_lineage(component_labels(links))
 
-    # a component is named by its smallest document
+    # a component is named by its smallest document; the result is a table
     named = sets.select("doc_id", "node", F.col("n").cast("long").alias("n_shingles")).join(labels, "node", "left")
-    named = named.withColumn("component", F.coalesce("component", "node"))
-    names = named.where("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("_name"))
+    named = cut_lineage(named.withColumn("component", F.coalesce("component", "node")))
+    names = cut_lineage(named.where("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("_name")))
     out = named.join(names, "component", "left")
+    discard(sets, links, labels)
+    order.destroy()
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("_name")).otherwise(F.col("doc_id")).alias("component_id"))

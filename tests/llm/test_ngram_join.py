@@ -81,6 +81,20 @@ def test_pairs_across_salts(spark, monkeypatch):
     assert sorted((tuple(r) for r in got.collect()), key=repr) == brute(rows, 4, 85)
 
 
+def test_common_passage_and_very_long_texts(spark):
+    """Documents of different lengths made of stretches of one passage, and texts of 60,000 words."""
+    rng = random.Random(5)
+    passage = [f"p{i}" for i in range(300)]
+    rows = []
+    for i in range(150):
+        a = rng.randrange(250)
+        rows.append((i, " ".join(passage[a : a + rng.randint(10, 50)] + [f"o{i}x{k}" for k in range(rng.choice([0, 0, 3, 40]))])))
+    long = [f"w{rng.randint(0, 5000)}" for _ in range(60_000)]
+    rows += [(500, " ".join(long)), (501, " ".join(long[:-2000])), (502, " ".join(long[:30_000]))]
+    got = N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), N.Similarity(4, 85))
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == brute(rows, 4, 85)
+
+
 def test_no_rows(spark):
     assert N.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     got = N.near_duplicates(spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")).collect()
