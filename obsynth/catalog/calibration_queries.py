@@ -153,15 +153,15 @@ def cost_annual(spark, d):
 
 @query(
     "amplitude_comparison",
-    with_(v.OBS, v.MODEL_DV, SERIES, "mm as (select tile, date, value from model_dv where pscale = 1.5 and mscale = 1.0)",
-          *sql_ols_ctes("a", "ob", ["tile"], ["1.0", T, C, S], "value"), *sql_ols_ctes("b", "mm", ["tile"], ["1.0", T, C, S], "value"))
-    + f"select a.tile, {r('sqrt(a.b2 * a.b2 + a.b3 * a.b3)', 4)} as observed, {r('sqrt(b.b2 * b.b2 + b.b3 * b.b3)', 4)} as modelled, {r('(sqrt(b.b2 * b.b2 + b.b3 * b.b3) / sqrt(a.b2 * a.b2 + a.b3 * a.b3) - 1) * 100', 2)} as percent from a_fit a join b_fit b on a.tile = b.tile",
+    with_(v.OBS, v.MODEL_DV, SERIES, "mm as (select tile, pscale, mscale, date, value from model_dv)",
+          *sql_ols_ctes("a", "ob", ["tile"], ["1.0", T, C, S], "value"), *sql_ols_ctes("b", "mm", ["tile", "pscale", "mscale"], ["1.0", T, C, S], "value"))
+    + f"select a.tile, pscale, mscale, {r('sqrt(a.b2 * a.b2 + a.b3 * a.b3)', 4)} as observed, {r('sqrt(b.b2 * b.b2 + b.b3 * b.b3)', 4)} as modelled, {r('(sqrt(b.b2 * b.b2 + b.b3 * b.b3) / sqrt(a.b2 * a.b2 + a.b3 * a.b3) - 1) * 100', 2)} as percent from a_fit a join b_fit b on a.tile = b.tile",
 )
 def amplitude_comparison(spark, d):
     a = fit.seasonal_fit(observed(spark, d), ["tile"], "date", "value")
-    b = fit.seasonal_fit(v.model_dv(spark, d).where("pscale = 1.5 and mscale = 1.0"), ["tile"], "date", "value")
-    o = compare.amplitude_difference(a, b, ["tile"])
-    return o.select("tile", fixed("observed", 4).alias("observed"), fixed("modelled", 4).alias("modelled"), fixed("percent", 2).alias("percent"))
+    b = fit.seasonal_fit(v.model_dv(spark, d), ["tile", "pscale", "mscale"], "date", "value")
+    o = compare.amplitude_difference(a, b, ["tile"], by=["pscale", "mscale"])
+    return o.select("tile", "pscale", "mscale", fixed("observed", 4).alias("observed"), fixed("modelled", 4).alias("modelled"), fixed("percent", 2).alias("percent"))
 
 
 @query(
@@ -174,8 +174,8 @@ def discharge_adjusted_volume(spark, d):
     from ..functions.units import subtract_discharge
 
     ob = observed(spark, d)
-    t0 = ob.agg(F.min("date")).first()[0]  # one value: the start of the axis
+    t0 = ob.agg(F.min("date")).scalar()  # the start of the axis, a scalar subquery
     q = v.table(spark, d, "nation").where("n_regionkey < 3").select(F.col("n_nationkey").alias("tile"), (F.col("n_nationkey") * 0.01).alias("q"))
     j = ob.join(q, "tile", "left")
-    age = decimal_year("date") - decimal_year(F.lit(t0))
+    age = decimal_year("date") - decimal_year(t0)
     return j.select("tile", "date", fixed(subtract_discharge("value", age, "q"), 5).alias("value"))

@@ -196,17 +196,16 @@ def knn_tile_fill(spark, d):
 @query(
     "scale_classes",
     with_(v.OBS, v.MODEL_DV,
-          "b as (select tile, date, pscale as x, value as y from model_dv where mscale = 1.0)",
-          "g as (select tile, date, list(struct_pack(x := x, y := y) order by x) as p, coalesce(list(struct_pack(x := x, y := y) order by x) filter (y >= 0), []) as ok from b group by all)",
+          "b as (select tile, date, mscale, pscale as x, value as y from model_dv)",
+          "g as (select tile, date, mscale, list(struct_pack(x := x, y := y) order by x) as p, coalesce(list(struct_pack(x := x, y := y) order by x) filter (y >= 0), []) as ok from b group by all)",
           "nw(x) as (values (0.25::double), (0.75::double), (1.25::double), (2.5::double))",
-          "e as (select tile, date, nw.x as x, p, ok, len(ok) as n, case when len(ok) <= 3 then ok when nw.x < 0.5 then ok[1:3] else ok[-3:] end as q from g cross join nw)",
-          "f as (select tile, date, x, p, n, (select regr_slope(u.e.y, u.e.x) from (select unnest(q) as e) u) as s, (select avg(u.e.x) from (select unnest(q) as e) u) as mx, (select avg(u.e.y) from (select unnest(q) as e) u) as my from e)")
-    + f"""select tile, date, x as pscale, {r('greatest(0.0, case when n < 2 then 0.0 when x = 0.75 then (p[1].y + p[2].y) / 2 when x = 1.25 then (p[2].y + p[3].y) / 2 else my + s * (x - mx) end)', 5)} as value from f""",
+          "e as (select tile, date, mscale, nw.x as x, p, ok, len(ok) as n, case when len(ok) <= 3 then ok when nw.x < 0.5 then ok[1:3] else ok[-3:] end as q from g cross join nw)",
+          "f as (select tile, date, mscale, x, p, n, (select regr_slope(u.e.y, u.e.x) from (select unnest(q) as e) u) as s, (select avg(u.e.x) from (select unnest(q) as e) u) as mx, (select avg(u.e.y) from (select unnest(q) as e) u) as my from e)")
+    + f"""select tile, date, mscale, x as pscale, {r('greatest(0.0, case when n < 2 then 0.0 when x = 0.75 then (p[1].y + p[2].y) / 2 when x = 1.25 then (p[2].y + p[3].y) / 2 else my + s * (x - mx) end)', 5)} as value from f""",
 )
 def scale_classes(spark, d):
-    m = v.model_dv(spark, d).where("mscale = 1.0")
-    o = fit.scale_classes(m, ["tile", "date"], "pscale", "value", [0.25, 0.75, 1.25, 2.5])
-    return o.select("tile", "date", "pscale", fixed("value", 5).alias("value"))
+    o = fit.scale_classes(v.model_dv(spark, d), ["tile", "date", "mscale"], "pscale", "value", [0.25, 0.75, 1.25, 2.5])
+    return o.select("tile", "date", "mscale", "pscale", fixed("value", 5).alias("value"))
 
 
 # -- per-cube non-linear work: rows-only queries, checked by property tests ------------------------

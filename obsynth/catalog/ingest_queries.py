@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -98,7 +98,7 @@ def stream_bins_final(spark, d):
     from ..session import ensure_checkpoint_dir
 
     schema = v.table(spark, d, "events").schema
-    work = f"{ensure_checkpoint_dir(spark)}/{next(tempfile._get_candidate_names())}"
+    work = f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
     s = _stream_view(spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d))
     bins.upsert_bins(s, f"{work}/out", f"{work}/state", ["tile", "mission"], "value").awaitTermination()
     o = bins.read_upserts(spark, f"{work}/out", ["tile", "mission"])

@@ -65,12 +65,12 @@ def synthesized_cube(spark, d):
 @query("calibrated_runs")
 def calibrated_runs(spark, d):
     hy, _ = _dims(spark, d)
-    vol = calibration.tile_volumes(_cube(spark, d).where("mission = 'N'").drop("mission"), hy)
+    vol = calibration.tile_volumes(_cube(spark, d), hy, run=["run_id", "mission"])
     vol = vol.withColumn("date", F.trunc(F.date_add(F.lit("1990-01-01").cast("date"), F.col("date_index") * 90 + 45), "month"))
     g = v.table(spark, d, "nation").select(F.col("n_nationkey").alias("tile_id"), F.col("n_regionkey").alias("group"))
     st = v.model_dv(spark, d).withColumnRenamed("tile", "tile_id")
-    best = calibration.calibrate_runs(vol, st, g, v.P_AXIS, v.M_AXIS, reciprocal_grid(0.5, 2.0, 0.1), reciprocal_grid(0.2, 5.0, 0.1))
-    return best.select("run_id", "group", fixed("pscale").alias("pscale"), fixed("mscale").alias("mscale"), fixed("cost", 4).alias("cost"))
+    best = calibration.calibrate_runs(vol, st, g, v.P_AXIS, v.M_AXIS, reciprocal_grid(0.5, 2.0, 0.1), reciprocal_grid(0.2, 5.0, 0.1), run=["run_id", "mission"])
+    return best.select("run_id", "mission", "group", fixed("pscale").alias("pscale"), fixed("mscale").alias("mscale"), fixed("cost", 4).alias("cost"))
 
 
 @query("regional_results")

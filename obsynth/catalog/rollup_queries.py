@@ -142,8 +142,7 @@ def unit_conversions(spark, d):
 
 @query(
     "scale_axis_histogram",
-    "select s_nationkey as region, cast(floor(x / 0.5) as int) as bin, count(*) as n from (select s_nationkey, case when s < 1 then (case when -1.0 / s < -1 then -1.0 / s + 1 else -1.0 / s - 1 end) "
-    "else (case when s < -1 then s + 1 else s - 1 end) end as x from (select s_nationkey, 0.2 + (s_suppkey % 47) / 10.0 as s from supplier)) group by all",
+    "select s_nationkey as region, cast(floor(if(s >= 1, s - 1, 1 - 1 / s) / 0.5) as int) as bin, count(*) as n from (select s_nationkey, 0.2 + (s_suppkey % 47) / 10.0 as s from supplier) group by all",
 )
 def scale_axis_histogram(spark, d):
     s = v.table(spark, d, "supplier").select(F.col("s_nationkey").alias("region"), (0.2 + (F.col("s_suppkey") % 47) / 10.0).alias("s"))
@@ -152,16 +151,12 @@ def scale_axis_histogram(spark, d):
 
 @query(
     "scale_axis_inverse",
-    f"select s_suppkey, {r('0.2 + (s_suppkey % 47) / 10.0')} as s from supplier",
+    # the way back is defined from scale 2 up and below 1/2
+    f"select s_suppkey, case when s >= 2 or s < 0.5 then {r('s')} end as s from (select s_suppkey, 0.2 + (s_suppkey % 47) / 10.0 as s from supplier)",
 )
 def scale_axis_inverse(spark, d):
-    s = v.table(spark, d, "supplier").select("s_suppkey", (0.2 + (F.col("s_suppkey") % 47) / 10.0).alias("s"))
-    x = scales.scale_to_linear("s")
-    # the inverse is defined from +-1 outward; inside it the axis value is checked by its definition
-    inv = F.when(F.abs("x") >= 1, scales.linear_to_scale(F.when(F.col("x") < 0, F.col("x")).otherwise(F.col("x"))))
-    s = s.withColumn("x", x)
-    direct = F.when(F.col("x") >= 0, F.col("x") + 1).otherwise(F.lit(-1.0) / (F.col("x") - 1))
-    return s.select("s_suppkey", fixed(F.coalesce(inv, direct)).alias("s"))
+    s = v.table(spark, d, "supplier").select("s_suppkey", scales.scale_to_linear(0.2 + (F.col("s_suppkey") % 47) / 10.0).alias("x"))
+    return s.select("s_suppkey", fixed(scales.linear_to_scale("x")).alias("s"))
 
 
 @query(
@@ -201,11 +196,11 @@ def child_hyps(spark, d):
 @query(
     "downscale_to_children",
     with_(*v.sql_obs_binned(), CHILD)
-    + f"select cid, time_bin, {r('sum(dh * area) / sum(area)')} as dh from child c join (select * from binned where mission = 'N') b on c.tile = b.tile and c.height_bin = b.height_bin where area > 0 group by all",
+    + f"select mission, cid, time_bin, {r('sum(dh * area) / sum(area)')} as dh from child c join binned b on c.tile = b.tile and c.height_bin = b.height_bin where area > 0 group by all",
 )
 def downscale_to_children(spark, d):
-    b = v.obs_binned(spark, d).where("mission = 'N'").select("tile", "time_bin", "height_bin", "dh")
-    g = rollup.downscale_profile(b, child_hyps(spark, d), "cid", "time_bin", "dh", "tile", "height_bin", "area")
+    b = v.obs_binned(spark, d).select("mission", "tile", "time_bin", "height_bin", "dh")
+    g = rollup.downscale_profile(b, child_hyps(spark, d), "cid", "time_bin", "dh", "tile", "height_bin", "area", by=["mission"])
     return g.withColumn("dh", fixed("dh"))
 
 

@@ -25,11 +25,16 @@ def tile_assign(spark, d):
 
 @query(
     "projection_zone",
-    with_(v.SITES, "z as (select site_id, lon, lat, floor(lat) as ilat, floor(lon - floor((lon + 180.0) / 360.0) * 360.0) as ilon from sites)",
-          "y as (select *, greatest(-10, least(9, floor((ilat + 80) / 8) - 10)) as band, floor((ilon + 186) / 6) as zn from z)")
-    + """select site_id, 'EPSG:' || cast(cast(case when lat > 84 then 3413 when lat < -80 then 3031 else (case when lat >= 0 then 32600 else 32700 end) +
-    (case when band = 7 and zn = 31 and ilon >= 3 then 32 when band = 9 and ilon >= 0 and ilon < 42 then 2 * floor((ilon + 183) / 12) + 1 else zn end) end as int) as varchar) as epsg,
-    cast(case when lat > 55 or lat < -56 then 0 else zn end as int) as zone, case when lat > 55 then true when lat < -56 then false else lat >= 0 end as is_north from y""",
+    with_(
+        v.SITES,
+        "strips as (select zone, 6.0 * zone - 186 as west, 6.0 * zone - 180 as east from range(1, 61) t(zone))",
+        # cells of the grid that belong to another strip; the last band ends at 84 degrees, included
+        "special(south, north, west, east, zone) as (values (56, 64, 3, 12, 32), (72, 84.5, 0, 9, 31), (72, 84.5, 9, 21, 33), (72, 84.5, 21, 33, 35), (72, 84.5, 33, 42, 37))",
+        "placed as (select site_id, lat, strips.zone as strip, coalesce(special.zone, strips.zone) as zone from sites join strips on lon >= strips.west and lon < strips.east "
+        "left join special on lat >= south and lat < north and lat <= 84 and lon >= special.west and lon < special.east)",
+    )
+    + """select site_id, printf('EPSG:%d', case when lat > 84 then 3413 when lat < -80 then 3031 when lat < 0 then 32700 + zone else 32600 + zone end) as epsg,
+    cast(case when lat between -56 and 55 then strip else 0 end as int) as zone, lat >= 0 as is_north from placed""",
 )
 def projection_zone(spark, d):
     z = geo.polar_zone("lon", "lat")

@@ -81,7 +81,7 @@ def parse_triplet(df: DataFrame, key: str, names: list[str], models: list[str],
     return d.unpivot(rest, models, "model", value)
 
 
-def amplitude_difference(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
-    """Percent difference of two fitted amplitudes (CMP9)."""
-    j = a.select(*on, F.col("amplitude").alias("_a")).join(b.select(*on, F.col("amplitude").alias("_b")), on)
-    return j.select(*on, F.col("_a").alias("observed"), F.col("_b").alias("modelled"), F.when(F.col("_a") != 0, (F.col("_b") / F.col("_a") - 1) * 100).alias("percent"))
+def amplitude_difference(a: DataFrame, b: DataFrame, on: list[str], by: list[str] = []) -> DataFrame:
+    """Percent difference of two fitted amplitudes (CMP9), for each value of the columns ``by`` of ``b``."""
+    j = a.select(*on, F.col("amplitude").alias("_a")).join(b.select(*on, *by, F.col("amplitude").alias("_b")), on)
+    return j.select(*on, *by, F.col("_a").alias("observed"), F.col("_b").alias("modelled"), F.when(F.col("_a") != 0, (F.col("_b") / F.col("_a") - 1) * 100).alias("percent"))

@@ -159,7 +159,7 @@ def surface_model_fill(
 
     Count and size filters, and the date range that all tiles of a sensor share, are SQL.  The fit itself
     runs on one cube per task: a cube has at most 438 x 100 cells, whatever the number of points behind it."""
-    d = binned.join(F.broadcast(settings), "mission")  # one row per sensor
+    d = binned.join(settings, "mission")
     raw_span = binned.where(F.col("dh").isNotNull()).groupBy(*span_keys).agg(F.min("date_index").alias("_d0"), F.max("date_index").alias("_d1"))
     d = d.where((F.col("nobs") > F.col("bincount_min")) & (F.abs("dh") < 200.0)).join(raw_span, span_keys)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in binned.select(*keys).schema) + ", " + FILL_SCHEMA

@@ -57,10 +57,11 @@ def last_positive_region(tiles: DataFrame, key: str, fractions: str = "region_fr
     return e.groupBy(key).agg(F.coalesce(F.max(F.when(F.col("frac") > 0, F.col("region"))), F.lit(0)).alias("region"))
 
 
-def downscale_profile(tile_series: DataFrame, child_hyps: DataFrame, child: str, time: str, value: str, tile: str = "tile_id", height: str = "height_bin", area: str = "area_km2") -> DataFrame:
-    """Child series as the area-weighted mean over elevation of its tile's series (DOWN1)."""
+def downscale_profile(tile_series: DataFrame, child_hyps: DataFrame, child: str, time: str, value: str, tile: str = "tile_id", height: str = "height_bin", area: str = "area_km2", by: list[str] = []) -> DataFrame:
+    """Child series as the area-weighted mean over elevation of its tile's series (DOWN1), for each value
+    of the series' columns ``by``."""
     j = child_hyps.where(F.col(area) > 0).select(child, tile, height, area).join(tile_series.where(F.col(value).isNotNull()), [tile, height])
-    return j.groupBy(child, time).agg(F.try_divide(F.sum(F.col(value) * F.col(area)), F.sum(area)).alias(value))
+    return j.groupBy(*by, child, time).agg(F.try_divide(F.sum(F.col(value) * F.col(area)), F.sum(area)).alias(value))
 
 
 def downscale_by_area(tile_series: DataFrame, children: DataFrame, tile: str, value: str, area: str, out: str) -> DataFrame:

@@ -65,4 +65,4 @@ def fill_cubes(
 
 def _missions(settings: DataFrame) -> list[str]:
     """Sensor names of the settings dimension (a handful of rows)."""
-    return [r["mission"] for r in settings.select("mission").collect()]
+    return [r["mission"] for r in settings.select("mission").distinct().collect()]
