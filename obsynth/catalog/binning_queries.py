@@ -262,7 +262,6 @@ def region_trends(spark, d):
 def tile_series_fit(spark, d):
     """Flagship: robust filter -> nmad5 cells -> area-weighted 30-day series -> trend, amplitude, phase."""
     o = filters.valid_points(v.obs(spark, d)).where(F.abs("dh") < 400)
-    # one count of the tile groups serves both steps: without a large (tile, mission) group there is no large cell
     o = filters.robust_range(o, ["tile", "mission"], "dh", 200.0)
     b = binning.bin_2d(o, ["tile", "mission"], "dh", date_bin("ts"), v.height10(), "nmad5")
     s = binning.area_average(b, v.hyps(spark, d).where("area > 0"), ["tile", "time_bin"], "dh", "tile", "height_bin", "area")

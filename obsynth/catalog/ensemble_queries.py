@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import decimal_year
 from ..functions.numeric import fixed
 from ..operators import binning, ensemble, fill, windows
+from ..session import cut_lineage
 from . import views as v
 from .registry import query, r, sql_decyear, with_
 
@@ -30,7 +31,7 @@ MEDIAN_BINNED = "binned as (select * from obs_run where run_id = 1)"
 
 
 def _spread(spark, d):
-    runs = v.obs_run(spark, d)
+    runs = cut_lineage(v.obs_run(spark, d))  # read for floors, spread and merge
     floors = binning.mission_mad(runs.where("run_id = 1"))
     return runs, ensemble.spread_error(runs, floors, ["mission", *CELL])
 
@@ -93,7 +94,7 @@ OFFS = [
 
 
 def _offsets(spark, d):
-    b = v.obs_binned(spark, d)
+    b = cut_lineage(v.obs_binned(spark, d))  # read for offsets and alignment
     h = v.hyps(spark, d).where("area > 0")
     return b, fill.mission_offsets(b, h, ["tile"], "time_bin", ["A", "N"], tile="tile", height="height_bin", area="area")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -276,3 +278,80 @@ MODEL_DV = (
     "model_dv as (select tile, date, pax.v as pscale, maxis.v as mscale, base * pax.v - maxis.v * melt / 10.0::double as value, pax.i as ip, maxis.i as im "
     "from mbase cross join pax cross join maxis)"
 )
+
+
+# -- shapes: polygons with holes and parts, and non-convex ones ----------------------------------
+
+# fixed values: corners (ring, a, b) of a shape; ring 1 is a hole, ring 2 an island in it, ring 3 a part beside
+SHAPE = [
+    (0, -2, -1), (0, 1, -2), (0, 3, 0), (0, 1, 2), (0, -1, 1.5), (0, -0.5, 0.25), (0, -2.5, 1),
+    (1, -0.25, -0.75), (1, 0, 0.5), (1, 1.25, 0.75), (1, 1, -0.5),
+    (2, 0.25, -0.25), (2, 0.75, -0.25), (2, 0.5, 0.25),
+    (3, 4, -1), (3, 5, -1), (3, 5, 2), (3, 4.5, 2), (3, 4.5, 0), (3, 4, 0),
+]
+SHAPE_SCALE = 5.5
+
+
+def shapes(spark: SparkSession, d: str) -> DataFrame:
+    """A shape around each nation's centre."""
+    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("shape"), "n_regionkey")
+    cx, cy = (F.col("shape") * 67 % 320) - 160.0 + 0.125, (F.col("shape") * 31 % 140) - 70.0 + 0.375
+    rings = [F.array(*(F.struct((cx + a * SHAPE_SCALE).alias("x"), (cy + b * SHAPE_SCALE).alias("y")) for r, a, b in SHAPE if r == k)) for k in range(4)]
+    return n.select("shape", "n_regionkey", F.array(*rings).alias("rings"))
+
+
+def _sides(rows: list[tuple[int, float, float]]) -> str:
+    out = []
+    for r in sorted({x[0] for x in rows}):
+        own = [(a, b) for k, a, b in rows if k == r]
+        out += [f"({r}, {a}, {b}, {c}, {e})" for (a, b), (c, e) in zip(own, own[1:] + own[:1], strict=True)]
+    return ", ".join(out)
+
+
+# one row for each side of each shape
+SHAPE_EDGES = (
+    f"unit(part, a, b, c, e) as (values {_sides(SHAPE)}), "
+    f"shape_edges as (select n_nationkey as shape, part, (n_nationkey * 67 % 320) - 160.0::double + 0.125 + a * {SHAPE_SCALE}::double as x1, (n_nationkey * 31 % 140) - 70.0::double + 0.375 + b * {SHAPE_SCALE}::double as y1, "
+    f"(n_nationkey * 67 % 320) - 160.0::double + 0.125 + c * {SHAPE_SCALE}::double as x2, (n_nationkey * 31 % 140) - 70.0::double + 0.375 + e * {SHAPE_SCALE}::double as y2 from nation cross join unit)"
+)
+
+ARROW = [(0, 0), (9, 3), (0, 6), (3, 3)]  # fixed values: corners of a non-convex tile
+
+
+def arrows(spark: SparkSession, d: str) -> DataFrame:
+    """A non-convex polygon at every second tile."""
+    t = tiles(spark, d).where("tile_id % 2 = 0")
+    return t.select(F.col("tile_id").alias("arrow"), F.array(*(F.struct((F.col("lon") + a).alias("x"), (F.col("lat") + b).alias("y")) for a, b in ARROW)).alias("ring"))
+
+
+ARROW_EDGES = (
+    f"head(part, a, b, c, e) as (values {_sides([(0, a, b) for a, b in ARROW])}), "
+    "arrow_edges as (select tile_id as arrow, part, lon + a as x1, lat + b as y1, lon + c as x2, lat + e as y2 from tiles cross join head where tile_id % 2 = 0)"
+)
+
+WAVES = 100_000  # corners of the largest ring
+
+
+def waves(spark: SparkSession, d: str) -> DataFrame:
+    """A wavy ring of a region; that of region 0 has 100,000 corners, the others a hundredth."""
+    n = F.when(F.col("r_regionkey") == 0, WAVES).otherwise(WAVES // 100)
+    turn = lambda i: i * (2 * math.pi) / n
+    out = lambda i: 20 + F.col("r_regionkey") * 8 + F.sin(turn(i) * 40)
+    ring = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct((out(i) * F.cos(turn(i)) * 2).alias("x"), (out(i) * F.sin(turn(i))).alias("y")))
+    return table(spark, d, "region").select(F.col("r_regionkey").alias("region"), ring.alias("ring"))
+
+
+WAVE_EDGES = (
+    f"wave_n as (select r_regionkey as region, case when r_regionkey = 0 then {WAVES} else {WAVES // 100} end as n from region), "
+    "wave_i as (select region, n, unnest(range(n)) as i from wave_n), "
+    "wave_p as (select region, n, i, (20 + region * 8 + sin(i * (2 * pi()) / n * 40)) * cos(i * (2 * pi()) / n) * 2 as x, (20 + region * 8 + sin(i * (2 * pi()) / n * 40)) * sin(i * (2 * pi()) / n) as y from wave_i), "
+    "wave_edges as (select p.region, p.x as x1, p.y as y1, q.x as x2, q.y as y2 from wave_p p join wave_p q on p.region = q.region and q.i = (p.i + 1) % p.n)"
+)
+
+
+def sql_inside(points: str, keys: str, edges: str, zone: str, x: str = "lon", y: str = "lat") -> str:
+    """CTE body: keys + zone wherever an odd number of edges crosses the point's ray."""
+    return (
+        f"select {keys}, {zone} from {points} cross join {edges} where (y1 > {y}) <> (y2 > {y}) and {x} < (x2 - x1) * ({y} - y1) / (y2 - y1) + x1 "
+        f"group by {keys}, {zone} having count(*) % 2 = 1"
+    )

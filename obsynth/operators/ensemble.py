@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..schema import MISSIONS
@@ -63,10 +64,12 @@ def quantile_over_runs(runs: DataFrame, keys: list[str], p: float, value: str =
 
 def reference_and_error(runs: DataFrame, reference, keys: list[str], quantile: float = 0.95, scaling: float = 1.0, value: str = "value", run: str = "run_id") -> DataFrame:
     """Value of the reference run with the quantile of abs(run - reference) as error (ENS1, ENS4, ENS8, ENS9)."""
-    d = delta_from_reference(runs, reference, keys, value, run)
-    err = quantile_over_runs(d, keys, quantile, "delta", True, "error").withColumn("error", F.col("error") * scaling)
-    ref = runs.where(F.col(run) == reference).select(*keys, value)
-    return ref.join(err, keys)
+    # the runs of a key meet once: reference, differences and their quantile share one shuffle
+    cell, own = W.partitionBy(*keys), F.col(run) == reference
+    d = runs.select(*keys, run, value).withColumn("_ref", F.max(F.when(own, F.col(value))).over(cell)).withColumn("_has", F.max(own).over(cell)).where("_has")
+    delta = F.abs(F.col(value) - F.col("_ref"))
+    g = d.groupBy(*keys).agg(F.max("_ref").alias(value), F.percentile(delta, quantile).alias("_q"), F.count(F.lit(1)).alias("_n"), F.count(delta).alias("_ok"))
+    return g.select(*keys, value, F.when(F.col("_n") == F.col("_ok"), F.col("_q") * scaling).alias("error"))
 
 
 def error_floor(df: DataFrame, fraction: float, value: str = "value", error: str = "error", compat: bool = False) -> DataFrame:

@@ -1,10 +1,9 @@
 """Exact order statistics and robust means per group, by one method for groups of every size.
 
-A mergeable sketch of bounded size brackets each wanted rank; exact counts on equal-width buckets
-inside the bracket locate the bucket that holds it; that bucket's distinct values are ranked.  The
-sketch steers the bucket edges, the answer rests on exact counts alone.  No group meets in one task:
-sketches and counts are combined before the shuffle, and values inside a bracket are dealt out by
-value.
+A mergeable sketch of bounded size brackets each wanted rank.  One scan then counts, per group, what
+lies below the brackets and keeps the distinct values inside them (about a hundredth of a large group) with
+their counts; ranking those gives the exact answer.  No group meets in one task: sketches and counts
+are combined before the shuffle, and a group's values outside the brackets are one row.
 """
 
 from __future__ import annotations
@@ -18,8 +17,8 @@ from pyspark.sql import functions as F
 from ..functions.numeric import col
 from ..session import cut_lineage
 
-BUCKETS = 1024
 ACCURACY = 2000  # of the sketch; its ranks are off by a two-thousandth at most
+MARGIN = 0.002  # of a bracket on either side of a rank, as a share of the group
 MAD_TO_SIGMA = 1.4826  # fixed value
 
 
@@ -35,35 +34,52 @@ def _values(df: DataFrame, keys: list[str], value: str | Column) -> DataFrame:
     return df.select(*keys, col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
 
 
+def _sketch(d: DataFrame, keys: list[str], probs: list[float]) -> DataFrame:
+    """keys, the count ``_n`` and approximate quantiles ``_q``."""
+    return d.groupBy(*keys).agg(F.count("_v").alias("_n"), F.percentile_approx("_v", [min(max(float(p), 0.0), 1.0) for p in probs], ACCURACY).alias("_q"))
+
+
 def _quantiles(d: DataFrame, keys: list[str], probs: dict[str, float]) -> DataFrame:
     """Quantiles of ``_v``: one read for the sketch and one for the counts."""
-    around = [min(max(p + d_, 0.0), 1.0) for p in probs.values() for d_ in (-0.005, 0.005)]
-    sketch = d.groupBy(*keys).agg(F.count("_v").alias("_n"), F.percentile_approx("_v", [float(a) for a in around], ACCURACY).alias("_q"))
-    wanted = F.array(*(
-        F.struct(F.lit(nm).alias("name"), (F.lit(float(p)) * (F.col("_n") - 1)).alias("pos"), F.col("_q")[2 * i].alias("a"), F.col("_q")[2 * i + 1].alias("b"))
-        for i, (nm, p) in enumerate(probs.items())
-    ))
-    x = same_keys(d, sketch.select(*keys, wanted.alias("_t")), keys).select(*keys, "_v", F.explode("_t").alias("_t"))
-    v, a, b = F.col("_v"), F.col("_t.a"), F.col("_t.b")
-    inside = F.when(b > a, F.least(F.floor((v - a) / (b - a) * BUCKETS), F.lit(BUCKETS - 1))).otherwise(F.lit(0))
-    x = x.withColumn("_b", F.when(v < a, -1).when(v > b, BUCKETS).otherwise(inside).cast("int"))
-    gk = [*keys, "_t"]
-    # outside the bracket only the values next to it can be wanted (a rank is at most one place off)
-    vals = x.groupBy(*gk, "_b", F.when((v >= a) & (v <= b), v).alias("_in")).agg(F.count(F.lit(1)).alias("_c"), F.max("_v").alias("_top"), F.min("_v").alias("_low"))
-    vals = vals.select(*gk, "_b", "_c", F.when(F.col("_b") < 0, F.col("_top")).otherwise(F.col("_low")).alias("_w"))
-
-    # cumulative counts of at most BUCKETS + 2 rows, then of the distinct values of one or two buckets
-    hist = vals.groupBy(*gk, "_b").agg(F.sum("_c").alias("_c")).withColumn("_upto", F.sum("_c").over(W.partitionBy(*gk).orderBy("_b")))
-    lo, hi = F.floor(F.col("_t.pos")), F.ceil(F.col("_t.pos"))
-    before = F.col("_upto") - F.col("_c")
-    picked = hist.where((before <= hi) & (F.col("_upto") > lo)).select(*gk, "_b", before.alias("_before"))
-    ties = same_keys(vals, picked, [*gk, "_b"])
-    ties = ties.withColumn("_upto", F.col("_before") + F.sum("_c").over(W.partitionBy(*gk, "_b").orderBy("_w")))
-    at = lambda r: F.max(F.when((before <= r) & (F.col("_upto") > r), F.col("_w")))
-    got = ties.groupBy(*gk).agg(at(lo).alias("_lo"), at(hi).alias("_hi"))
-    frac = F.col("_t.pos") - F.floor(F.col("_t.pos"))
-    got = got.select(*keys, F.col("_t.name").alias("_name"), (F.col("_lo") + frac * (F.col("_hi") - F.col("_lo"))).alias("_val"))
-    return got.groupBy(*keys).agg(*[F.max(F.when(F.col("_name") == nm, F.col("_val"))).alias(nm) for nm in probs])
+    k = len(probs)
+    brackets = _sketch(d, keys, [p + m for p in probs.values() for m in (-MARGIN, MARGIN)])
+    lows, highs = [f"_a{i}" for i in range(k)], [f"_z{i}" for i in range(k)]
+    brackets = brackets.select(*keys, "_n", *(F.col("_q")[2 * i].alias(lows[i]) for i in range(k)), *(F.col("_q")[2 * i + 1].alias(highs[i]) for i in range(k)))
+    x, v = same_keys(d, brackets, keys), F.col("_v")
+    inside = [v.between(F.col(a), F.col(z)) for a, z in zip(lows, highs, strict=True)]
+    some = inside[0]
+    for i in inside[1:]:
+        some = some | i
+
+    # a row for each distinct value inside a bracket, and one for all values outside; next to a bracket
+    # only the nearest values can be wanted (a rank is at most one place off)
+    fixed = ["_n", *lows, *highs]
+    counts = [F.count_if(v < F.col(a)).alias(f"_below{i}") for i, a in enumerate(lows)]
+    nearest = [f.alias(f"_{n}{i}") for i, (a, z) in enumerate(zip(lows, highs, strict=True)) for n, f in (("top", F.max(F.when(v < F.col(a), v))), ("low", F.min(F.when(v > F.col(z), v))))]
+    x = x.groupBy(*keys, *fixed, F.when(some, v).alias("_w")).agg(F.count(F.lit(1)).alias("_c"), *counts, *nearest)
+
+    group, rising, w = W.partitionBy(*keys), W.partitionBy(*keys).orderBy("_w"), F.col("_w")
+    ranked, made = {}, []
+    for i, p in enumerate(probs.values()):
+        held = F.when(w.between(F.col(f"_a{i}"), F.col(f"_z{i}")), F.col("_c")).otherwise(0)
+        ranked[f"_upto{i}"] = F.sum(F.col(f"_below{i}")).over(group) + F.sum(held).over(rising)
+        ranked[f"_held{i}"] = held
+        pos = F.lit(float(p)) * (F.col("_n") - 1)
+        made.append((F.floor(pos), F.ceil(pos), pos - F.floor(pos)))
+    x = x.withColumns(ranked)
+    out = []
+    for i, (name, (lo, hi, part)) in enumerate(zip(probs, made, strict=True)):
+        upto, held = F.col(f"_upto{i}"), F.col(f"_held{i}")
+
+        def at(rank: Column, i: int = i, upto: Column = upto, held: Column = held) -> Column:
+            found = F.max(F.when((held > 0) & (upto - held <= rank) & (upto > rank), w))
+            place, total = F.max(rank), F.max(f"_total{i}")
+            under, over = F.when(place == total - 1, F.max(f"_top{i}")), F.when(place == total + F.sum(held), F.min(f"_low{i}"))
+            return F.coalesce(found, under, over, F.raise_error(F.lit("a rank lies outside its bracket")).cast("double"))
+
+        x = x.withColumn(f"_total{i}", F.sum(F.col(f"_below{i}")).over(group))
+        out.append((at(lo) + F.max(part) * (at(hi) - at(lo))).alias(name))
+    return x.groupBy(*keys).agg(*out)
 
 
 def group_quantiles(df: DataFrame, keys: list[str], value: str | Column, probs: dict[str, float]) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..functions.numeric import col
+from .polygons import points_in_zones, zones_meeting
 from .robust import let
 
 # -- containment and overlap ------------------------------------------------------------------
@@ -25,25 +26,6 @@ def cover_cells(df: DataFrame, bbox: str | Column, size: float) -> DataFrame:
     return d.withColumn("_cy", F.explode(F.sequence(F.floor(F.col("_bb.min_y") / size), F.floor(F.col("_bb.max_y") / size))))
 
 
-def points_in_zones(points: DataFrame, zones: DataFrame, cell: float, x: str = "lon", y: str = "lat", ring: str = "ring", how: str = "inner") -> DataFrame:
-    """Point-in-polygon join (JN8, RAS5): equi-join on grid cells, box test, ray test.  The zone side is the
-    small one; a hot cell only lengthens the streamed side, which AQE splits.  ``how`` is inner, left_semi or left_anti."""
-    z = cover_cells(zones, geo.ring_bbox(ring), cell)
-    p = points.withColumn("_cx", F.floor(F.col(x) / cell)).withColumn("_cy", F.floor(F.col(y) / cell))
-    px, py = F.col(f"p.{x}"), F.col(f"p.{y}")
-    hit = (
-        (F.col("p._cx") == F.col("z._cx")) & (F.col("p._cy") == F.col("z._cy"))
-        & (px >= F.col("z._bb.min_x")) & (px <= F.col("z._bb.max_x"))
-        & (py >= F.col("z._bb.min_y")) & (py <= F.col("z._bb.max_y"))
-        & geo.point_in_ring(px, py, f"z.{ring}")
-    )
-    j = p.alias("p").join(z.alias("z"), hit, how)
-    cols = [F.col(f"p.{c}") for c in points.columns]
-    if how == "inner":
-        cols += [F.col(f"z.{c}") for c in zones.columns if c not in points.columns and c != ring]
-    return j.select(*cols)
-
-
 def first_zone(points: DataFrame, zones: DataFrame, key: str, zone: str, order: str, cell: float, last: bool = False, x: str = "lon", y: str = "lat", ring: str = "ring") -> DataFrame:
     """Every point with its first (or last) containing zone, NULL for none (JN10, JN12, CMP3)."""
     hits = points_in_zones(points.select(key, x, y), zones.select(zone, *([order] if order != zone else []), ring), cell, x, y, ring)
@@ -86,10 +68,15 @@ def boxes_touching(a: DataFrame, b: DataFrame, a_key: str, b_key: str, size: flo
     return j.select(F.col("_ka").alias(a_key), F.col("_kb").alias(b_key if b_key != a_key else f"{b_key}_2"), area.alias("overlap"))
 
 
-def tiles_touching_zones(tiles: DataFrame, zones: DataFrame, tile: str, zone: str, size: float) -> DataFrame:
-    """Tiles whose box meets any zone box (RAS6)."""
-    hit = boxes_touching(tiles, zones, tile, zone, size).select(tile).distinct()
-    return tiles.join(hit, tile, "left_semi")
+def tiles_touching_zones(tiles: DataFrame, zones: DataFrame, tile: str, zone: str, size: float, ring: str | None = None) -> DataFrame:
+    """Tiles (with a ``bbox``) that meet any zone (RAS6): by the zone's polygon if ``ring`` names it, else by its box."""
+    if ring is None:
+        hit = boxes_touching(tiles, zones, tile, zone, size)
+    else:
+        corners = [("min_x", "min_y"), ("max_x", "min_y"), ("max_x", "max_y"), ("min_x", "max_y")]
+        box = F.array(*(F.struct(F.col(f"bbox.{x}").cast("double").alias("x"), F.col(f"bbox.{y}").cast("double").alias("y")) for x, y in corners))
+        hit = zones_meeting(tiles.select(tile, box.alias("_ring")), zones, tile, zone, size, "_ring", ring)
+    return tiles.join(hit.select(tile).distinct(), tile, "left_semi")
 
 
 # -- nearest neighbours -----------------------------------------------------------------------
