@@ -55,6 +55,10 @@ class Similarity:
         """Sets linked with one of n elements share one of its first so many."""
         return n - -(-self.percent * n // 100) + 1
 
+    def front(self, n: Column) -> Column:
+        """The first n-gram that a set shares with a linked one of its size or larger is among so many."""
+        return n - F.ceil(2 * self.percent * n / (100 + self.percent)) + 1
+
     def linked(self, n_a: Column, n_b: Column, both: Column) -> Column:
         return 100 * both >= self.percent * (n_a + n_b - both)
 
@@ -270,8 +274,10 @@ def near_duplicates(docs: DataFrame, sim: Similarity = Similarity(), id_col: str
     rows = sets.select("node", "n", F.posexplode(F.arrays_zip("tokens", "salts", "dealt")).alias("pos", "t"))
     rows = rows.select(F.col("t.tokens").alias("token"), F.col("t.salts").alias("salt"), F.col("t.dealt").alias("dealt"), "node", "n", "pos")
     over = W.partitionBy("token", "salt")
-    rows = rows.withColumns({"lo": F.min(F.struct("node", "n")).over(over), "hi": F.max(F.struct("node", "n")).over(over)})
-    live = cut_lineage(rows.where("lo.node < hi.node or dealt").drop("dealt").dropDuplicates(["token", "salt", "node"]))  # a node has one salt: no further shuffle
+    # and that stand early enough in one of them to be the first that a pair shares
+    early = F.max(F.col("pos") < sim.front(F.col("n"))).over(over)
+    rows = rows.withColumns({"lo": F.min(F.struct("node", "n")).over(over), "hi": F.max(F.struct("node", "n")).over(over), "early": early})
+    live = cut_lineage(rows.where("lo.node < hi.node and early or dealt").drop("dealt", "early").dropDuplicates(["token", "salt", "node"]))  # a node has one salt: no further shuffle
 
     def candidates(found: DataFrame) -> DataFrame:
         return found.where(F.col("a") < F.col("b")).where(sim.sizes_fit(F.col("n_a"), F.col("n_b")))
@@ -293,15 +299,18 @@ def near_duplicates(docs: DataFrame, sim: Similarity = Similarity(), id_col: str
 
     # pairs of different components: who is not of an n-gram's main component meets its other nodes.  A
     # part of the pairs comes first, as most components of a group join by it; then all the others.
-    def between(labels: DataFrame, first: bool) -> DataFrame:
-        own = live.select("token", "node", "n", "pos").join(labels.withColumnRenamed("component", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
-        sizes = own.groupBy("token", "c").agg(F.count(F.lit(1)).alias("k"))
-        main = sizes.groupBy("token").agg(F.max(F.struct("k", "c")).alias("m"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("token", F.col("m.c").alias("main"))
-        own = own.join(main, "token").withColumn("inner", F.col("c") == F.col("main")).drop("main")
-        # every n-gram that two components share is here, so a pair that shares an earlier one meets there
-        line = W.partitionBy("node").orderBy("pos")
-        before = [f"p{i}" for i in range(BEFORE)]
-        own = cut_lineage(own.withColumns({p: F.lag("token", i + 1).over(line) for i, p in enumerate(before)}))
+    labels = cut_lineage(component_labels(links))
+    own = live.select("token", "node", "n", "pos").join(labels.withColumnRenamed("component", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
+    parts = own.groupBy("token", "c").agg(F.count(F.lit(1)).alias("k"))
+    main = parts.groupBy("token").agg(F.max(F.struct("k", "c")).alias("m"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("token", F.col("m.c").alias("main"))
+    # every n-gram that two components share is here, so a pair that shares an earlier one meets there
+    line = W.partitionBy("node").orderBy("pos")
+    before = [f"p{i}" for i in range(BEFORE)]
+    own = cut_lineage(own.join(main, "token").withColumns({p: F.lag("token", i + 1).over(line) for i, p in enumerate(before)}))
+    discard(live)
+
+    def between(own: DataFrame, first: bool) -> DataFrame:
+        own = own.withColumn("inner", F.col("c") == F.col("main")).drop("main")
         fields = ("node", "n", "pos", "c", "inner", *before)
         x, y = (d.select("token", *(F.col(k).alias(f"{k}_{e}") for k in fields)) for d, e in ((own.where("not inner"), "x"), (own, "y")))
         n_x, n_y = F.col("n_x"), F.col("n_y")
@@ -313,26 +322,34 @@ def near_duplicates(docs: DataFrame, sim: Similarity = Similarity(), id_col: str
         turn = F.pmod(F.xxhash64(F.least("node_x", "node_y"), F.greatest("node_x", "node_y")), F.lit(TRIED_FIRST)) == 0
         # at the first n-gram that a linked pair shares, what is left of both sets must be enough
         enough = F.least(n_x - F.col("pos_x"), n_y - F.col("pos_y")) >= sim.least_overlap(n_x, n_y)
-        met = met.where(enough & (turn if first else ~turn)).select(*_ordered(F.col("node_x"), F.col("node_y"), n_x, n_y)).distinct()
-        out = cut_lineage(_by_bitmap(met.join(star.select("a", "b"), ["a", "b"], "left_anti"), sigs, sim))
-        discard(own)
-        return out
+        ends = [F.when(F.col("node_x") > F.col("node_y"), F.col(f"c_{e}")) for e in "yx"]
+        met = met.where(enough & (turn if first else ~turn)).select(*_ordered(F.col("node_x"), F.col("node_y"), n_x, n_y), F.coalesce(ends[0], "c_x").alias("c_a"), F.coalesce(ends[1], "c_y").alias("c_b")).distinct()
+        return cut_lineage(met.join(star.select("a", "b"), ["a", "b"], "left_anti"))
+
+    def renamed(d: DataFrame, names: DataFrame, *cols: str) -> DataFrame:
+        """Components under the names that they have got since."""
+        for c in cols:
+            d = d.join(names.select(F.col("node").alias(c), F.col("component").alias("_new")), c, "left").withColumn(c, F.coalesce("_new", c)).drop("_new")
+        return d
 
     for first in (True, False):
-        labels = cut_lineage(component_labels(links))
-        pairs = between(labels, first)
-        more = _verified(pairs, docs, sets, order, sim)
-        both = cut_lineage(links.union(more))
-        discard(labels, links, more)
-        links = both
-    discard(live, star, sigs)
-    labels = cut_lineage(component_labels(links))
+        met = between(own, first)
+        more = _verified(cut_lineage(_by_bitmap(met, sigs, sim)), docs, sets, order, sim)
+        joined = more.join(met, ["a", "b"]).select(F.col("c_a").alias("a"), F.col("c_b").alias("b")).distinct()
+        names = cut_lineage(component_labels(cut_lineage(joined)))  # of whole components: few
+        if first:
+            own = renamed(own, names, "c", "main")
+        # nodes that no link has reached name themselves
+        alone = names.join(labels.select("node"), "node", "left_anti")
+        labels = cut_lineage(renamed(labels, names, "component").unionByName(alone))
+        discard(met, more)
+    discard(star, sigs, links)
 
     # a component is named by its smallest document; the result is a table
     named = sets.select("doc_id", "node", F.col("n").cast("long").alias("n_shingles")).join(labels, "node", "left")
     named = cut_lineage(named.withColumn("component", F.coalesce("component", "node")))
     names = cut_lineage(named.where("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("_name")))
     out = named.join(names, "component", "left")
-    discard(sets, links, labels)
+    discard(sets)
     order.destroy()
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("_name")).otherwise(F.col("doc_id")).alias("component_id"))
