@@ -3,7 +3,8 @@
 Four pattern-free steps beside three patterns: runs of one character class are candidate strings;
 a window slides over each, and its Shannon entropy follows from counts that change by one character
 in and one out per step (kept in integers: sums of n * log2 n scaled by 2**20, so nothing drifts);
-a candidate with a window above the class's threshold is a span unless the allow list names it.
+a candidate with a window above the class's threshold is a span.  Stretches that the allow list
+names are cut out first: a window that overlaps one doesn't count, the rest of the candidate does.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ BASE = [("assign", ASSIGN, 2, 12), ("access", "AKIA[A-Z0-9]{14,}", 0, 18), ("hex
 SCALE = 1 << 20
 STEP = 256  # matches added up at a time when positions are summed
 # Strings that look random but are not: alphabets, placeholders, universally unique ids.
-ALLOWED = r"(?i)abcdefgh|12345678|qwerty|example|placeholder|changeme|(.)\1{5}|^[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}$"
+ALLOWED = r"(?i)^[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}$|abcdefgh|12345678|qwerty|example|placeholder|changeme|(.)\1{5,}"
 MIXED = r"(?:[0-9].*[A-Za-z]|[A-Za-z].*[0-9])"
 
 
@@ -103,13 +104,13 @@ def find_secrets(docs: DataFrame, text_col: str = "text", classes: list[CharClas
     ``_base`` and ``_all``: arrays of (start, kind, end) of
     the base patterns and of all spans, sorted; kinds are numbered in the order of ``kinds``.
 
-    A null or empty text has no spans.  Every row is judged alone, so repeated rows, null ids and any
+    A null or empty text has no spans, very long ones are read whole.  Every row is judged alone, so repeated rows, null ids and any
     other columns make no difference; no rows give no rows.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     out = docs
     rules = [(k, p, g, lambda v, n=n: F.char_length(v) >= n) for k, p, g, n in BASE]
-    rules += [(c.kind, c.pattern, 0, lambda v, c=c: v.rlike(MIXED) & ~v.rlike(ALLOWED) & high_entropy(v, c)) for c in classes]
+    rules += [(c.kind, c.pattern, 0, lambda v, c=c: F.exists(F.split(v, ALLOWED), lambda x: (F.char_length(x) >= c.window) & x.rlike(MIXED) & high_entropy(x, c))) for c in classes]
     none = F.array().cast("array<string>")
     for i, (_, pattern, group, keep) in enumerate(rules):
         hit = text.rlike(pattern)
@@ -170,7 +171,7 @@ def report_sql(classes: list[CharClass] = CLASSES) -> str:
     words = "|".join(_sql_either_case(w) for w in ("password", "passwd", "secret", "token", "api_?key"))
     quote = "[\"'']"
     patterns = [f"({words}){quote}?\\x20*[:=]\\x20*{quote}?([A-Za-z0-9+/_.=-]+)", "AKIA[A-Z0-9]+", "[0-9a-f]+", *(c.pattern for c in classes)]
-    allowed = "(?i)abcdefgh|12345678|qwerty|example|placeholder|changeme|^[0-9a-f]{8}-([0-9a-f]{4}-){3}[0-9a-f]{12}$|" + "|".join(f"{c}{{6}}" for c in DIGITS + LOWER + "/_=-") + r"|\+{6}"
+    allowed = "(?i)^[0-9a-f]{8}-([0-9a-f]{4}-){3}[0-9a-f]{12}$|abcdefgh|12345678|qwerty|example|placeholder|changeme|" + "|".join(f"{c}{{6,}}" for c in DIGITS + LOWER + "/_=-") + r"|\+{6,}"
     one = []
     for i, p in enumerate(patterns):
         group = 2 if i == 0 else 0
@@ -178,8 +179,8 @@ def report_sql(classes: list[CharClass] = CLASSES) -> str:
             keep = f"len(v) >= {BASE[i][3]}"
         else:
             c = classes[i - len(BASE)]
-            entropy = f"list_max(list_transform(range(1, len(v) - {c.window - 2}), lambda k: list_aggregate(string_split(substr(v, k, {c.window}), ''), 'entropy')))"
-            keep = f"regexp_matches(v, '{MIXED}') and not regexp_matches(v, '{allowed}') and {entropy} >= {c.bits}"
+            entropy = f"list_max(list_transform(range(1, len(x) - {c.window - 2}), lambda k: list_aggregate(string_split(substr(x, k, {c.window}), ''), 'entropy')))"
+            keep = f"len(list_filter(string_split_regex(v, '{allowed}'), lambda x: len(x) >= {c.window} and regexp_matches(x, '{MIXED}') and {entropy} >= {c.bits})) > 0"
         one.append(
             f"""select n, {i} as kind, start, start + size as stop from (
                 select n, v, size, sum(gap + size) over (partition by n order by k rows between unbounded preceding and current row) - size as start from (

@@ -54,15 +54,20 @@ def link_edges(pages: DataFrame, host: str = "_host", html: str = "html") -> Dat
     return to.where("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("n"))
 
 
-def domain_edges(hosts: DataFrame, host: str = "host") -> DataFrame:
-    """(src, dst, n): each host and its parent domains, step by step, both ways (weight 1): a site's
-    subdomains answer for each other although their links are relative."""
+# Names of several labels under which anyone may register (those of one label always are); a parameter.
+SUFFIXES = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.nz", "co.jp", "co.kr", "com.br", "com.cn", "co.in", "co.za")
+
+
+def domain_edges(hosts: DataFrame, host: str = "host", suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
+    """(src, dst, n): each host and its parent domains up to the registered one, step by step, both ways
+    (weight 1): a site's subdomains answer for each other although their links are relative.  What lies
+    above, such as a top-level domain, is no site and passes nothing on."""
     labels = F.split(host, r"\.")
     chain = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     up = (
         hosts.where(F.col(host) != "")
         .select(F.explode(F.arrays_zip(F.slice(chain, 1, F.size(chain) - 1).alias("a"), F.slice(chain, 2, F.size(chain)).alias("b"))).alias("e"))
-        .where("e.b is not null")
+        .where(F.col("e.b").contains(".") & ~F.col("e.b").isin(*suffixes))
         .select(F.col("e.a").alias("src"), F.col("e.b").alias("dst"))
         .distinct()
     )
@@ -79,8 +84,7 @@ def spread(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds:
     """
     out = edges.groupBy("src").agg(F.sum("n").alias("all"))
     step = cut_lineage(edges.join(out, "src").select("src", "dst", (F.col("n") / F.col("all")).alias("share")))
-    total = seeds.agg(F.sum("weight").alias("_all"), F.lit(1).alias("_k"))
-    home = cut_lineage(seeds.groupBy("host").agg(F.sum("weight").alias("w"), F.lit(1).alias("_k")).join(total, "_k").select("host", (F.col("w") / F.col("_all")).alias("home")))
+    home = cut_lineage(seeds.groupBy("host").agg(F.sum("weight").alias("w")).select("host", (F.col("w") / seeds.agg(F.sum("weight")).scalar()).alias("home")))
     rank = home.select("host", F.col("home").alias("rank"))
     start = home.select("host", ((1 - damping) * F.col("home")).alias("rank"))
     for i in range(rounds):
@@ -96,7 +100,8 @@ def judge_pages(pages: DataFrame, rules: list[tuple[str, str]] = RULES, damping:
 
     Seeds weigh as many pages of the host as rules allow or block.  A host is blocked if its distrust
     exceeds its trust, so hosts that neither reaches (and pages without a host) are allowed.  Null
-    urls have empty host and path, null html has no links; repeated rows stay; no rows, no rows.
+    urls have empty host and path, null html has no links, very long html is searched whole; repeated
+    rows stay; further columns do not matter, whatever their names; no rows, no rows.
     """
     url = F.col(url_col)
     p = pages.select(F.col(id_col).alias("page_id"), host_of(url).alias("_host"), path_of(url).alias("_path"), F.col(html_col).alias("html"))

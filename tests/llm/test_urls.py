@@ -43,7 +43,7 @@ def test_pages(spark):
     tree = set()
     for h in hosts:
         parts = h.split(".")
-        tree |= {(".".join(parts[i:]), ".".join(parts[i + 1 :])) for i in range(len(parts) - 1)}
+        tree |= {(".".join(parts[i:]), ".".join(parts[i + 1 :])) for i in range(len(parts) - 2)}  # up to the registered domain
     for a, b in tree:
         add(a, b)
         add(b, a)
@@ -61,3 +61,16 @@ def test_pages(spark):
         assert r["verdict"] == (verdicts[i] or ("block" if bad else "allow"))
     assert got[11]["verdict"] == "block" and got[6]["verdict"] == "allow"
     assert judge_pages(pages.limit(0)).count() == 0
+
+
+def test_suffixes_pass_nothing_on_and_links_decide(spark):
+    """Blocked pages of one .com site leave other .com sites alone; links to and from seeds decide them."""
+    pages = [
+        ("http://example.com/de/1", None), ("http://en.example.com/x", None), ("http://other.com/", None), ("http://shop.co.uk/", None), ("http://bad.net/", None), ("http://x.bad.co.uk/", '<a href="http://bad.net/">'),
+        ("http://linker.com/", '<a href="http://bad.net/1"><a href=//bad.net/2>'), ("http://good.org/fr/", '<a href="http://liked.com/">'), ("http://liked.com/", '<a href="http://bad.net/">' + '<a href="http://good.org/">' * 2 + "<p>" * 50_000),
+    ]
+    got = {r["host"]: r for r in judge_pages(spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(pages)], "page_id long, url string, html string")).collect()}
+    verdict = {h: r["verdict"] for h, r in got.items()}
+    assert verdict["en.example.com"] == "block" and verdict["other.com"] == "allow" and verdict["shop.co.uk"] == "allow"
+    assert verdict["linker.com"] == "block" and verdict["x.bad.co.uk"] == "block"
+    assert got["liked.com"]["trust"] > 0 and got["liked.com"]["distrust"] > 0 and got["other.com"]["distrust"] == 0
