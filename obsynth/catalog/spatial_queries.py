@@ -388,9 +388,9 @@ def coverage_fraction(spark, d):
     + "select site_id, count(*) filter (m <= 3000000) as n_inside from dd group by site_id",
 )
 def cap_membership(spark, d):
-    j = v.sites(spark, d).alias("s").join(v.tiles(spark, d).alias("t"), F.col("s.nation") == F.col("t.s_nationkey"))
-    inside = geo.in_spherical_cap("s.lon", "s.lat", "t.lon", "t.lat", 3000000.0)
-    return j.groupBy("s.site_id").agg(F.sum(inside.cast("long")).alias("n_inside"))
+    t = v.tiles(spark, d).select(F.col("s_nationkey").alias("nation"), "lon", "lat")
+    s = v.sites(spark, d).join(t.select("nation").distinct(), "nation", "left_semi")
+    return spatial.count_in_caps(s, t, 3000000.0, "site_id", ["nation"]).withColumnRenamed("n", "n_inside")
 
 
 @query(

@@ -79,6 +79,46 @@ def tiles_touching_zones(tiles: DataFrame, zones: DataFrame, tile: str, zone: st
     return tiles.join(hit.select(tile).distinct(), tile, "left_semi")
 
 
+# -- spherical caps -----------------------------------------------------------------------------
+
+CAP_SPLIT = 6  # cubes along the radius of a cap
+CAP_GUARD = 1e-9  # squared chord within which the exact test decides
+
+
+def cap_cover(centers: DataFrame, meters: float, keys: list[str], x: str = "lon", y: str = "lat", radius: float = geo.EARTH_RADIUS_M) -> DataFrame:
+    """keys, _x, _y, _z, _i, _j, _k, _whole: the cubes around the unit sphere that a cap touches, and whether they
+    lie in it wholly (FN16).  Cubes know neither poles nor a date line; about 4 CAP_SPLIT^2 of them cover a cap."""
+    reach = 2 * math.sin(min(meters / radius, math.pi) / 2)
+    side = reach / CAP_SPLIT
+    d = _xyz(centers.select(*keys, x, y), x, y).withColumns({"_near": F.lit(0.0), "_far": F.lit(0.0), "_low": F.lit(0.0), "_high": F.lit(0.0)})
+    for c, i in zip("xyz", "ijk", strict=True):  # an axis at a time, so that few cubes are looked at
+        q = F.col(f"_{c}")
+        d = d.withColumn(f"_{i}", F.explode(F.sequence(F.floor((q - reach) / side), F.floor((q + reach) / side))))
+        lo, hi = F.col(f"_{i}") * side, (F.col(f"_{i}") + 1) * side
+        near, far = F.greatest(lo - q, q - hi, F.lit(0.0)), F.greatest(F.abs(q - lo), F.abs(hi - q))
+        low, high = F.greatest(lo, -hi, F.lit(0.0)), F.greatest(F.abs(lo), F.abs(hi))
+        d = d.withColumns({"_near": F.col("_near") + near * near, "_far": F.col("_far") + far * far, "_low": F.col("_low") + low * low, "_high": F.col("_high") + high * high})
+        d = d.where((F.col("_near") <= reach**2 + CAP_GUARD) & (F.col("_low") <= 1 + CAP_GUARD))
+    d = d.where(F.col("_high") >= 1 - CAP_GUARD)
+    return d.select(*keys, "_x", "_y", "_z", "_i", "_j", "_k", (F.col("_far") <= reach**2 - CAP_GUARD).alias("_whole"))
+
+
+def count_in_caps(centers: DataFrame, points: DataFrame, meters: float, key: str, by: list[str] = [], x: str = "lon", y: str = "lat", radius: float = geo.EARTH_RADIUS_M) -> DataFrame:
+    """(key, n): points of the same ``by`` within ``meters`` of each center (FN16, GR5).  Points are counted per
+    cube first; cubes wholly inside add their count, and only points of the cubes on the edge are tested."""
+    reach = 2 * math.sin(min(meters / radius, math.pi) / 2)
+    side = reach / CAP_SPLIT
+    p = _xyz(points.select(*by, x, y), x, y).withColumns({f"_{i}": F.floor(F.col(f"_{c}") / side) for c, i in zip("xyz", "ijk", strict=True)})
+    cube = [*by, "_i", "_j", "_k"]
+    cover = cap_cover(centers, meters, [key, *by], x, y, radius)
+    whole = cover.where("_whole").join(p.groupBy(*cube).agg(F.count(F.lit(1)).alias("_n")), cube).groupBy(key).agg(F.sum("_n").alias("_n"))
+    q = cover.where("not _whole").toDF(*(f"{c}q" if c in ("_x", "_y", "_z") else c for c in cover.columns))
+    dot = sum((F.col(f"_{c}") * F.col(f"_{c}q") for c in "xyz"), F.lit(0.0))
+    edge = q.join(p, cube).where(dot >= math.cos(meters / radius)).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    n = whole.union(edge).groupBy(key).agg(F.sum("_n").alias("n"))
+    return centers.select(key).join(n, key, "left").select(key, F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+
+
 # -- nearest neighbours -----------------------------------------------------------------------
 
 STEP = 4  # each level splits a cube of the unit ball into STEP^3, of which about pi STEP^2 meet the sphere

@@ -3,6 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from obsynth.functions import geo
 from obsynth.operators import raster, spatial
 
 
@@ -98,3 +99,20 @@ def test_bilinear_sample_of_a_plane(spark):
     pts = spark.createDataFrame([(1, 2.25, 3.75), (2, 0.1, 3.0), (3, 5.5, 5.5)], "id int, x double, y double")
     got = {r["id"]: r["v"] for r in raster.sample(pts, px, ["v"], (0.0, 0.0, 1.0, 1.0), "bilinear").collect()}
     assert got[1] == pytest.approx(2.25 * 2 + 3.75 * 5) and got[2] is None and got[3] == pytest.approx(5.5 * 7)
+
+
+def test_counts_in_caps(spark):
+    """Against every pair, with centers at the poles and on the date line, and caps up to half the globe."""
+    import math
+    import random
+
+    rng = random.Random(7)
+    centers = [(0, "a", 0.0, 90.0), (1, "a", 179.9, 10.0), (2, "b", -180.0, -5.0), (3, "b", 20.0, -90.0), (4, "none", 1.0, 1.0)] + [(10 + i, rng.choice("ab"), rng.uniform(-180, 180), rng.uniform(-90, 90)) for i in range(20)]
+    points = [(rng.choice("ab"), rng.uniform(-180, 180), rng.uniform(-90, 90)) for _ in range(400)] + [("a", 0.0, 90.0)] * 3
+    xyz = lambda lon, lat: (math.cos(math.radians(lat)) * math.cos(math.radians(lon)), math.cos(math.radians(lat)) * math.sin(math.radians(lon)), math.sin(math.radians(lat)))
+    c = spark.createDataFrame(centers, "id int, g string, lon double, lat double")
+    p = spark.createDataFrame(points, "g string, lon double, lat double").repartition(3)
+    for meters in (5e4, 3e6, 1e7):
+        least = math.cos(meters / geo.EARTH_RADIUS_M)
+        want = {i: sum(sum(a * b for a, b in zip(xyz(x, y), xyz(u, w), strict=True)) >= least for h, u, w in points if h == g) for i, g, x, y in centers}
+        assert {r["id"]: r["n"] for r in spatial.count_in_caps(c, p, meters, "id", ["g"]).collect()} == want
