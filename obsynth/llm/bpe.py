@@ -160,7 +160,7 @@ def codec(path: str) -> BytePairCodec:
 def encode_decode(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: id, number of tokens, digest of the ids, digest of the decoded text.
 
-    A null text reads as empty (no tokens, digests of the empty string); repeated rows, null ids and
+    A null text reads as empty (no tokens, digests of the empty string), very long ones are encoded whole; repeated rows, null ids and
     further columns are allowed, the latter are dropped.  An empty table gives an empty result.
     """
     path = vocabulary or default_vocabulary()

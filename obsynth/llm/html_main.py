@@ -19,11 +19,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .common import map_arrow, slices
 from .urls import host_of
 
 MIN_PAGES = 8  # a template subtree stands on so many pages of its host at least,
 MIN_SHARE = 0.02  # and on this share of them
+SENT = 1 << 22  # digests (32 MB) that may travel to every task
+SALTS = 16  # parts of a host where they may not
 MAX_PART = 1 / 3  # inside an article, a recurring container with more of its text is the article itself
 
 # Element names by their role in HTML (fixed values of the standard).
@@ -252,16 +255,27 @@ def template_digests(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: fl
     return counts.join(sizes, "host").where(F.col("n") >= min_share * F.col("pages")).groupBy("host").agg(F.collect_list("digest").alias("digests"))
 
 
+def with_templates(pages: DataFrame, templates: DataFrame) -> DataFrame:
+    """``pages`` with the ``digests`` of their host.  Templates are counted first: up to SENT digests travel to the
+    tasks that read the pages, so that no html is shuffled; beyond it pages are dealt by host and salt,
+    so that the pages of a large host do not meet in one task."""
+    templates = cut_lineage(templates)
+    if (templates.agg(F.sum(F.size("digests"))).first()[0] or 0) <= SENT:
+        return pages.join(F.broadcast(templates), "host", "left")
+    dealt = templates.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return pages.withColumn("_salt", F.pmod(F.xxhash64("url", "page_id"), F.lit(SALTS)).cast("int")).join(dealt, ["host", "_salt"], "left")
+
+
 def extract_main(
     pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE
 ) -> DataFrame:
     """Per row: page_id, url, text, n_chars.
 
-    Null or empty html gives an empty text; null urls share the empty host; repeated rows stay (and
+    Null or empty html gives an empty text, very long html is read whole; null urls share the empty host; repeated rows stay (and
     count as pages of their host); further columns are dropped; no rows give no rows.
     """
     p = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("host"))
-    joined = p.join(template_digests(p, min_pages, min_share), "host", "left").select("page_id", "url", "html", "digests")
+    joined = with_templates(p, template_digests(p, min_pages, min_share)).select("page_id", "url", "html", "digests")
     schema = f"page_id {joined.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -177,7 +177,8 @@ def payload_of(text: str) -> tuple[int, bytes]:
 
 def texts_to_png(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", level: int = LEVEL) -> DataFrame:
     """(doc_id, n_bytes, media): every text as a PNG column.  Null and empty texts become one row of
-    spaces; ids may be null or repeat; further columns are dropped; no rows give no rows."""
+    spaces, very long ones a tall picture; ids may be null or repeat; further columns are dropped; no rows
+    give no rows."""
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -173,7 +173,8 @@ def pack_documents(
     number, so they are unique and the same when a lost task runs again.  ``loss_col`` tells how many
     characters of the text (a prompt) bear no loss: both parts are encoded apart, the closing id bears
     loss unless the number exceeds the text's length, and a column ``loss_tokens`` counts those of the
-    piece.  Without it (or where it is null) every token bears loss.  A null text is empty (one piece, the closing id); repeated rows and null ids
+    piece.  Without it (or where it is null) every token bears loss.  A null text is empty (one piece, the closing id), a very long one is cut
+    into as many pieces as it needs; repeated rows and null ids
     are packed as they come; further columns are dropped; an empty table gives no rows.
     """
     path = vocabulary or default_vocabulary()

@@ -192,7 +192,7 @@ def train(docs: DataFrame, labels: DataFrame, held: Column, sample: dict[int, in
 
 def score_quality(docs: DataFrame, model: QualityModel, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """``docs`` with a double ``score_col`` (replaced if there): the probability that the whole text is
-    good.  Null and empty texts have the score of a text without words; repeated rows and null ids
+    good.  Null and empty texts have the score of a text without words, very long ones are pooled whole; repeated rows and null ids
     are scored as they come; no rows give no rows."""
     rows = docs.drop(score_col)
     schema = StructType([*rows.schema.fields, StructField(score_col, DoubleType())])

@@ -2,6 +2,7 @@
 
 import pytest
 
+from obsynth.llm import html_main
 from obsynth.llm.html_main import extract_main, main_text, tree_of
 
 CASES = [
@@ -58,3 +59,18 @@ def test_cards_do_not_displace_the_body(source):
 def test_copies_of_an_article_stay():
     tree = tree_of(f"<div>12 May</div><article>{BODY}</article>")
     assert main_text(tree, {tree.children[1].digest, *(c.digest for c in tree.children[1].children)}) == "The body of the page stands here\n\nand goes on for some more words"
+
+
+@pytest.mark.parametrize("sent", [1 << 22, 0])
+def test_counted_subtrees_alone_decide(spark, sent, monkeypatch):
+    """Plain blocks without telling names: what recurs on a host goes there and stays on a host with few such pages."""
+    monkeypatch.setattr(html_main, "SENT", sent)
+    top = "<div><p>Words on top of every page of the place, said again and again</p></div>"
+    page = lambda i: f"<html><body>{top}<div><p>Body number {i} with words of its own</p><p>and a second block {i}</p></div></body></html>"
+    rows = [(i, f"http://big.test/{i}", page(i)) for i in range(40)] + [(100 + i, f"http://small.test/{i}", page(100 + i)) for i in range(3)] + [(200, "http://big.test/x", page(200) + " " * 200_000)]
+    got = {r["page_id"]: r["text"] for r in html_main.extract_main(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert len(got) == 44
+    for i in (*range(40), 200):
+        assert got[i] == f"Body number {i} with words of its own\n\nand a second block {i}"
+    for i in range(100, 103):
+        assert got[i].startswith("Words on top") and got[i].endswith(f"and a second block {i}")
