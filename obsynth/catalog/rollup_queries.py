@@ -423,23 +423,31 @@ def misfit_per_cell(spark, d):
     return m.select("cell", fixed("mean_misfit", 4).alias("mean_misfit"), fixed("std_misfit", 4).alias("std_misfit"), "n", fixed("radius").alias("radius"))
 
 
-@query(
-    "steady_discharge_filled",
-    with_(
-        "s as (select o_custkey as id, cast(date_trunc('month', o_orderdate) as date) as day, sum(o_totalprice) / 1e4 as smb from orders group by 1, 2)",
-        f"g as (select id, regr_slope(smb, {sql_decyear('day')}) * (id % 40 + 1) / 1000.0 as q from s where (id % 180) - 90 < -60 group by id)",
-        "o as (select c_custkey as id, c_acctbal / 1000 as q from customer where c_mktsegment = 'BUILDING')",
-        "u as (select id, q from o union all select id, q from g where id not in (select id from o))",
-    )
-    + f"select id, {r('greatest(0.0, q)')} as q from u where q is not null and not isnan(q)",
-)
-def steady_discharge_filled(spark, d):
+DISCHARGE = [
+    "s as (select o_custkey as id, cast(date_trunc('month', o_orderdate) as date) as day, sum(o_totalprice) / 1e4 as smb from orders group by 1, 2)",
+    f"g as (select id, regr_slope(smb, {sql_decyear('day')}) * (id % 40 + 1) / 1000.0 as q from s where (id % 180) - 90 < -60 and day between date '1979-01-01' and date '2000-01-01' group by id)",
+    "o as (select c_custkey as id, c_acctbal / 1000 as q from customer where c_mktsegment = 'BUILDING')",
+    "u as (select id, greatest(0.0, q) as q, kind from (select id, q, 'observed' as kind from o union all select id, q, 'modelled' from g) where q is not null and not isnan(q))",
+]
+
+
+def _discharge(spark, d):
     o = v.table(spark, d, "orders").groupBy(F.col("o_custkey").alias("id"), F.trunc("o_orderdate", "month").alias("day")).agg((F.sum("o_totalprice") / 1e4).alias("smb"))
     o = o.withColumn("lat", (F.col("id") % 180 - 90).cast("double")).withColumn("area", (F.col("id") % 40 + 1).cast("double"))
-    m = fit.steady_discharge(o, ["id"], "day", "smb", "area", "lat", -60.0)
-    seen = v.table(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("id"), (F.col("c_acctbal") / 1000).alias("discharge_gtyr"))
-    f = fit.fill_discharge(seen, m, ["id"]).where("discharge_gtyr is not null")
-    return f.select("id", fixed("discharge_gtyr").alias("q"))
+    m = fit.steady_discharge(o, ["id"], "day", "smb", "area", "lat", -60.0).withColumn("kind", F.lit("modelled"))
+    seen = v.table(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("id"), (F.col("c_acctbal") / 1000).alias("discharge_gtyr"), F.lit("observed").alias("kind"))
+    return fit.fill_discharge(seen, m).where("discharge_gtyr is not null")
+
+
+@query("steady_discharge_filled", with_(*DISCHARGE) + f"select id, kind, {r('q')} as q from u")
+def steady_discharge_filled(spark, d):
+    return _discharge(spark, d).select("id", "kind", fixed("discharge_gtyr").alias("q"))
+
+
+@query("discharge_total_range", with_(*DISCHARGE) + f"select {r('sum(q)', 3)} as total, sum(q) between 100 and 1e6 as sane from u")
+def discharge_total_range(spark, d):
+    t = fit.total_between(_discharge(spark, d), "discharge_gtyr", 100.0, 1e6)
+    return t.select(fixed("total", 3).alias("total"), "sane")
 
 
 @query(
