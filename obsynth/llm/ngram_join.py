@@ -236,11 +236,11 @@ def _by_bitmap(pairs: DataFrame, sigs: DataFrame, sim: Similarity) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(differ <= most).select("a", "b", "n_a", "n_b")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, order, sim: Similarity) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, people: DataFrame, order, sim: Similarity) -> DataFrame:
     """The pairs that are linked, as a table: overlaps are counted in every fragment and summed per pair.
     The table ``pairs`` and the sets read for it are deleted."""
     need = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    shown = sets.where(F.size("tokens") > 0).join(need, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    shown = people.where("shown").join(need, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     wanted = docs.sparkSession.sparkContext.broadcast(wanted_slots(shown))  # of fixed size
     found = fragments_of(docs, wanted, order, sim)
     grams = cut_lineage(found.join(need, "node", "left_semi").dropDuplicates(["node"]))
@@ -295,7 +295,10 @@ def near_duplicates(docs: DataFrame, sim: Similarity = Similarity(), id_col: str
     star = star.union(heads.join(tops, "token").select(*_ordered(F.col("h.node"), F.col("top.node"), F.col("h.n"), F.col("top.n"))))
     star = cut_lineage(candidates(star).distinct())
     sigs = cut_lineage(sets.where(F.size("tokens") > 0).select("node", *(f"s{i}" for i in range(LANES))).join(live.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]))
-    links = _verified(cut_lineage(_by_bitmap(star, sigs, sim)), docs, sets, order, sim)
+    # whose set is which node, without the n-grams, which go
+    people = cut_lineage(sets.select("doc_id", "node", F.col("n").cast("long").alias("n_shingles"), (F.size("tokens") > 0).alias("shown")))
+    discard(sets)
+    links = _verified(cut_lineage(_by_bitmap(star, sigs, sim)), docs, people, order, sim)
 
     # pairs of different components: who is not of an n-gram's main component meets its other nodes.  A
     # part of the pairs comes first, as most components of a group join by it; then all the others.
@@ -334,7 +337,7 @@ def near_duplicates(docs: DataFrame, sim: Similarity = Similarity(), id_col: str
 
     for first in (True, False):
         met = between(own, first)
-        more = _verified(cut_lineage(_by_bitmap(met, sigs, sim)), docs, sets, order, sim)
+        more = _verified(cut_lineage(_by_bitmap(met, sigs, sim)), docs, people, order, sim)
         joined = more.join(met, ["a", "b"]).select(F.col("c_a").alias("a"), F.col("c_b").alias("b")).distinct()
         names = cut_lineage(component_labels(cut_lineage(joined)))  # of whole components: few
         if first:
@@ -346,10 +349,10 @@ def near_duplicates(docs: DataFrame, sim: Similarity = Similarity(), id_col: str
     discard(star, sigs, links)
 
     # a component is named by its smallest document; the result is a table
-    named = sets.select("doc_id", "node", F.col("n").cast("long").alias("n_shingles")).join(labels, "node", "left")
+    named = people.drop("shown").join(labels, "node", "left")
     named = cut_lineage(named.withColumn("component", F.coalesce("component", "node")))
     names = cut_lineage(named.where("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("_name")))
     out = named.join(names, "component", "left")
-    discard(sets)
+    discard(people, labels)
     order.destroy()
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("_name")).otherwise(F.col("doc_id")).alias("component_id"))
