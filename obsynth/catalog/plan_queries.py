@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from ..functions.numeric import fixed
 from ..functions.scales import reciprocal_grid
 from ..operators import robust
+from ..plans import binning as binning_plan
 from ..plans import calibration, filling, regional, routing, synthesis
+from ..session import cut_lineage
 from . import views as v
 from .fill_queries import SETTINGS_SCHEMA
-from .registry import query, r, sql_nmad_ctes, with_
+from .registry import query, r, sql_nmad_ctes, sql_ols_ctes, with_
 from .rollup_queries import members
 
 
@@ -21,6 +23,50 @@ def _cube(spark, d):
     return c.select(F.when(F.col("method") == "median", 1).otherwise(2).alias("run_id"), "mission", "tile_id", "date_index", "height_index", "dh", "nobs")
 
 
+LEAST_POINTS = 20  # of a mask, surface, sensor and tile
+STAGE_GROUP = ["surface_mask", "curvature_correct", "dem_id", "mission", "tile_id"]
+STAGE_CELL = [*STAGE_GROUP, "date_index", "height_index"]
+STAGE = [
+    "pts as (select s_nationkey as tile_id, l_returnflag as mission, cast(l_shipdate as date) as ts, l_linestatus = 'F' as ice, l_tax > 0.01 as quality, l_discount * 20 as canopyh, "
+    "l_quantity * 20.0::double as base, (l_extendedprice / l_quantity - 1500) / 100 as dh, l_discount * 10 + l_tax * 4 - 0.73::double as curv, l_partkey % 2 = 0 as second from lineitem join supplier on l_suppkey = s_suppkey)",
+    "surf as (select *, 'a' as dem_id, base as href, base + dh - base as d from pts union all select *, 'b', base + 1, base + dh - (base + 1) from pts where second)",
+    "okp as (select * from surf where mission <> 'A' or quality)",
+    # the curvature bias of each surface, sensor and tile, from flat ground off the ice
+    "fb as (select dem_id, mission, tile_id, cast(floor((curv + 1.0) / 0.1::double) as int) as bin, median(d) as m, count(*) as n from okp where not ice and abs(d) < 10 and canopyh <= 1 and floor((curv + 1.0) / 0.1::double) between 0 and 19 group by all)",
+    "fw as (select dem_id, mission, tile_id, sqrt(n) as w, -1.0::double + (bin + 0.5) * 0.1::double as c, m from fb)",
+    "fx as (select dem_id, mission, tile_id, w as x_0, w * c as x_1, w * pow(c, 2) as x_2, w * pow(c, 3) as x_3, w * pow(c, 4) as x_4, w * m as yy from fw)",
+    *sql_ols_ctes("bias", "fx", ["dem_id", "mission", "tile_id"], ["x_0", "x_1", "x_2", "x_3", "x_4"], "yy"),
+    "var as (select o.*, false as curvature_correct, d as v from okp o union all select o.*, true, d - case when f.n > 5 then b0 + curv * (b1 + curv * (b2 + curv * (b3 + curv * b4))) else 0.0 end "
+    "from okp o left join bias_fit f on o.dem_id = f.dem_id and o.mission = f.mission and o.tile_id = f.tile_id)",
+    "msk as (select *, case when ice then 'glacier' else 'land' end as surface_mask from var)",
+    f"sup as (select {', '.join(STAGE_GROUP)}, median(v) as med from msk group by all having count(*) >= {LEAST_POINTS})",
+    f"kept as (select m.*, {v.sql_bin(30)} as date_index, cast(floor(href / 100.0) as int) as height_index from msk m join sup s on {' and '.join(f'm.{c} = s.{c}' for c in STAGE_GROUP)} "
+    "where abs(v) < 400 and abs(v - med) < 200 and (m.surface_mask <> 'land' or canopyh <= 1))",
+    "in_range as (select * from kept where height_index between 0 and 99)",
+    *sql_nmad_ctes("cell", "in_range", STAGE_CELL, "v", 5),
+    f"cube as (select {', '.join(STAGE_CELL)}, 'nmad5' as binning_method, v as dh, nobs from cell_bins union all select {', '.join(STAGE_CELL)}, 'median', median(v), count(*) from in_range group by all)",
+]
+
+
+@query("binning_stage", with_(*STAGE) + f"select {', '.join(STAGE_CELL)}, binning_method, {r('dh', 3)} as dh, nobs from cube")
+def binning_stage(spark, d):
+    """The whole stage over ``lineitem`` as points: two surfaces, two masks, with and without the curvature correction,
+    two binning methods."""
+    li, su = v.table(spark, d, "lineitem"), v.table(spark, d, "supplier")
+    p = li.join(su, li["l_suppkey"] == su["s_suppkey"]).select(
+        F.monotonically_increasing_id().alias("point_id"), F.col("s_nationkey").alias("tile_id"), F.col("l_returnflag").alias("mission"), F.to_date("l_shipdate").alias("ts"),
+        (F.col("l_linestatus") == "F").alias("ice"), (F.col("l_tax") > 0.01).alias("quality"), (F.col("l_discount") * 20).alias("canopyh"), (F.col("l_quantity") * 20.0).alias("base"),
+        ((F.col("l_extendedprice") / F.col("l_quantity") - 1500) / 100).alias("off"), (F.col("l_discount") * 10 + F.col("l_tax") * 4 - F.lit(0.73)).alias("curvature"), (F.col("l_partkey") % 2 == 0).alias("second"))
+    p = cut_lineage(p)  # points that keep their ids in every table made of them
+    layer = lambda rows, name, more: rows.select("point_id", F.lit(name).alias("dem_id"), (F.col("base") + more).alias("height_ref"), "curvature")
+    dem = layer(p, "a", 0.0).union(layer(p.where("second"), "b", 1.0))
+    points = p.select("point_id", "tile_id", "mission", "ts", "quality", (F.col("base") + F.col("off")).alias("height"), F.lit(31.0).alias("lat"))
+    masks = p.select("point_id", F.when(F.col("ice"), "glacier").otherwise("land").alias("mask"), F.lit(True).alias("inside"))
+    sensors = spark.createDataFrame([("A", True), ("N", False), ("R", False)], "mission string, apply_quality_filter boolean")
+    b = binning_plan.bin_points(points, dem, masks, p.select("point_id", "canopyh"), sensors, ["median", "nmad5"], min_points=LEAST_POINTS)
+    return b.select(*STAGE_CELL, "binning_method", fixed("dh", 3).alias("dh"), "nobs")
+
+
 def _dims(spark, d):
     hy = v.hyps(spark, d).select(F.col("tile").alias("tile_id"), F.col("height_bin").alias("height_index"), F.col("area").alias("area_km2"))
     n = v.table(spark, d, "nation").select(F.col("n_nationkey").alias("tile_id"))

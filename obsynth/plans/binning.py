@@ -30,8 +30,7 @@ def bin_points(
     """surface_mask, dem_id, curvature_correct, binning_method, mission, tile_id, date_index, height_index, dh, nobs.
 
     The parameter grid lives in columns: the mask and surface tables already hold one row per choice, the
-    curvature choice is exploded, and all binning methods are evaluated on one shuffled array per cell.
-    Points are read once for all runs."""
+    curvature choice is exploded, and all binning methods share one median and MAD of a cell."""
     ref = points.join(dem, "point_id").withColumn("dh", F.col("height") - F.col("height_ref"))
     ref = filters.quality_filter(filters.valid_points(ref, reference="height_ref"), missions, unfiltered)
     ref = filters.canopy_filter(ref, canopy, float("inf"))  # attaches canopyh, keeps every row
