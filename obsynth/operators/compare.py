@@ -7,27 +7,31 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 
 def interval_change(obs: DataFrame, series: DataFrame, on: list[str], obs_id: str, begin: str, end: str, values: list[str], date: str = "date", step_days: int = 30, divide_by: str | None = None) -> DataFrame:
     """Accumulated change of each variable over an observation period (JN15, DIM9).
 
     ``series`` holds increments labelled by the centre of their step; a step belongs to the period when it
     overlaps it, and the first overlapping step is the starting level.  Both sides meet on the cell key and
-    the month of the step, so a long series is not paired whole with every observation."""
+    the month of the step, so a long series is not paired whole with every observation.  The series is written
+    as a table at once."""
     half = step_days // 2
-    o = obs.where(F.col(begin).isNotNull() & F.col(end).isNotNull()).select(*on, obs_id, begin, end)
+    area = [] if divide_by is None else [F.col(divide_by).alias("_area")]
+    o = obs.where(F.col(begin).isNotNull() & F.col(end).isNotNull()).select(*on, obs_id, begin, end, *area)
     months = F.sequence(F.trunc(F.date_sub(begin, half), "month"), F.trunc(F.date_add(end, half), "month"), F.expr("interval 1 month"))
     o = o.withColumn("_mon", F.explode(months))
-    s = series.select(*on, date, *values).withColumn("_mon", F.trunc(date, "month"))
+    # as a table the series has a known size; the planner takes the observations times months for no more than the
+    # observations' file, and would send them to every task
+    s = cut_lineage(series.select(*on, date, *values)).withColumn("_mon", F.trunc(date, "month"))
     j = o.join(s, [*on, "_mon"])
     j = j.where((F.date_add(date, half) >= F.col(begin)) & (F.date_sub(date, half) <= F.col(end)))
     aggs = [(F.sum(v) - F.min_by(v, date)).alias(v) for v in values]
-    g = j.groupBy(obs_id).agg(*aggs, F.count(F.lit(1)).alias("n_steps"))
-    if divide_by is not None:
-        a = obs.select(obs_id, F.col(divide_by).alias("_area"))
-        g = g.join(a, obs_id)
-        g = g.select(obs_id, "n_steps", *[(F.try_divide(F.col(v), F.col("_area")) / 1000.0).alias(v) for v in values])
-    return g
+    if divide_by is None:
+        return j.groupBy(obs_id).agg(*aggs, F.count(F.lit(1)).alias("n_steps"))
+    g = j.groupBy(obs_id).agg(*aggs, F.count(F.lit(1)).alias("n_steps"), F.max("_area").alias("_area"))
+    return g.select(obs_id, "n_steps", *[(F.try_divide(F.col(v), F.col("_area")) / 1000.0).alias(v) for v in values])
 
 
 def annual_statistics(df: DataFrame, year: str, area: str, balance: str, site: str) -> DataFrame:
