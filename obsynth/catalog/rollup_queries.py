@@ -151,12 +151,11 @@ def scale_axis_histogram(spark, d):
 
 @query(
     "scale_axis_inverse",
-    # the way back is defined from scale 2 up and below 1/2
-    f"select s_suppkey, case when s >= 2 or s < 0.5 then {r('s')} end as s from (select s_suppkey, 0.2 + (s_suppkey % 47) / 10.0 as s from supplier)",
+    f"select s_suppkey, {r('0.2 + (s_suppkey % 47) / 10.0')} as s from supplier",
 )
 def scale_axis_inverse(spark, d):
     s = v.table(spark, d, "supplier").select("s_suppkey", scales.scale_to_linear(0.2 + (F.col("s_suppkey") % 47) / 10.0).alias("x"))
-    return s.select("s_suppkey", fixed(scales.linear_to_scale("x")).alias("s"))
+    return s.select("s_suppkey", fixed(scales.linear_to_scale("x", whole=True)).alias("s"))
 
 
 @query(

@@ -14,9 +14,12 @@ def scale_to_linear(c) -> Column:
     return F.when(s >= 1, s - 1).otherwise(1 - 1 / s)
 
 
-def linear_to_scale(c) -> Column:
-    """Inverse of :func:`scale_to_linear`; NULL inside the undefined interval [-1, 1) (FN12)."""
+def linear_to_scale(c, whole: bool = False) -> Column:
+    """Inverse of :func:`scale_to_linear`; NULL inside the interval [-1, 1), which the published way back leaves
+    undefined, or with ``whole`` the scale of every position (FN12)."""
     x = col(c)
+    if whole:
+        return F.when(x >= 0, x + 1).otherwise(1 / (1 - x))
     return F.when(x >= 1, x + 1).when(x < -1, 1 / (1 - x))
 
 

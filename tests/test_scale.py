@@ -9,3 +9,8 @@ DATA = "/root/testdata/sf0.1"
 def test_observations_are_not_broadcast(spark):
     sent = below(QUERIES["interval_metrics"](spark, DATA), "BroadcastExchange")
     assert sent and not any("Generate" in x or "c_custkey" in x for x in sent)
+
+
+def test_every_scale_has_its_way_back(spark):
+    got = QUERIES["scale_axis_inverse"](spark, DATA).toPandas()
+    assert len(got) == 1000 and (got.s == (0.2 + got.s_suppkey % 47 / 10).round(6)).all()
