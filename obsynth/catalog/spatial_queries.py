@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..functions.numeric import fixed, gaussian_weights
-from ..operators import merge, raster, spatial
+from ..operators import raster, spatial
 from . import views as v
 from .registry import query, r, sql_haversine, with_
 
@@ -148,7 +148,7 @@ def boxes_touching(spark, d):
 )
 def largest_overlap(spark, d):
     a, b = _boxes(spark, d)
-    m = merge.largest_match(spatial.boxes_touching(a, b, "a", "b", 10.0), ["b"], "overlap", "a")
+    m = spatial.largest_box_overlap(a, b, "a", "b", 10.0)
     return m.select("b", "a", fixed("overlap").alias("overlap"))
 
 

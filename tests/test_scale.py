@@ -40,3 +40,14 @@ def test_population_is_decided_by_cubes(spark, monkeypatch):
             m = (2 * 6371000.0 * np.arcsin(np.sqrt(h))).min(1)
             want |= {(c, s, d, a.population[m <= d].sum()) for d in (3e5, 2e6)}
     assert {tuple(x) for x in got.select("country", "scenario_id", "buffer_m", "population").collect()} == want
+
+
+def test_equal_boxes_meet_as_one(spark, monkeypatch):
+    box = lambda x, w: {"min_x": x, "min_y": 0.0, "max_x": x + w, "max_y": 1.0}
+    t = "{} long, bbox struct<min_x double, min_y double, max_x double, max_y double>".format
+    a = spark.createDataFrame([(k, box(float(k % 2), 2.0)) for k in range(40)], t("a"))
+    b = spark.createDataFrame([(7, box(0.5, 1.0)), (8, box(1.5, 1.25)), (9, box(50.0, 1.0))], t("b"))
+    pairs, touching = [], spatial.boxes_touching
+    monkeypatch.setattr(spatial, "boxes_touching", lambda *x: pairs.append(touching(*x)) or pairs[-1])
+    got = spatial.largest_box_overlap(a, b, "a", "b", 10.0)
+    assert {tuple(x) for x in got.collect()} == {(7, 0, 1.0), (8, 1, 1.25)} and pairs[0].count() == 4
