@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
+PROFILE_SPLIT = 8  # partitions of child profiles per shuffle partition
+
 
 def region_rollup(df: DataFrame, members: DataFrame, keys: list[str], values: list[str], code: str = "code") -> DataFrame:
     """Sums per region and composite (AGG16, RPT3, AGG34).  The first aggregate reduces the rows to
@@ -59,8 +61,11 @@ def last_positive_region(tiles: DataFrame, key: str, fractions: str = "region_fr
 
 def downscale_profile(tile_series: DataFrame, child_hyps: DataFrame, child: str, time: str, value: str, tile: str = "tile_id", height: str = "height_bin", area: str = "area_km2", by: list[str] = []) -> DataFrame:
     """Child series as the area-weighted mean over elevation of its tile's series (DOWN1), for each value
-    of the series' columns ``by``."""
-    j = child_hyps.where(F.col(area) > 0).select(child, tile, height, area).join(tile_series.where(F.col(value).isNotNull()), [tile, height])
+    of the series' columns ``by``.  Children are dealt out by key before a row meets every date, in partitions small
+    enough that a task holds few of the results; the series is written as a table, so that its size is known."""
+    n = PROFILE_SPLIT * int(child_hyps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    h = child_hyps.where(F.col(area) > 0).select(child, tile, height, area).repartition(n, child)
+    j = h.join(cut_lineage(tile_series.where(F.col(value).isNotNull())), [tile, height])
     return j.groupBy(*by, child, time).agg(F.try_divide(F.sum(F.col(value) * F.col(area)), F.sum(area)).alias(value))
 
 

@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 
 from obsynth.catalog.all import QUERIES
-from obsynth.operators import spatial
+from obsynth.operators import rollup, spatial
 from plan_text import below
 
 DATA = "/root/testdata/sf0.1"
@@ -51,3 +51,11 @@ def test_equal_boxes_meet_as_one(spark, monkeypatch):
     monkeypatch.setattr(spatial, "boxes_touching", lambda *x: pairs.append(touching(*x)) or pairs[-1])
     got = spatial.largest_box_overlap(a, b, "a", "b", 10.0)
     assert {tuple(x) for x in got.collect()} == {(7, 0, 1.0), (8, 1, 1.25)} and pairs[0].count() == 4
+
+
+def test_children_are_dealt_out_before_they_meet_dates(spark):
+    h = spark.createDataFrame([(c, c % 2, k, 1.0 + k) for c in range(50) for k in range(2)], "cid long, tile long, height_bin int, area double")
+    s = spark.createDataFrame([(m, t, y, k, t + y + k * 1.0) for m in "AN" for t in range(2) for y in range(3) for k in range(2)], "mission string, tile long, time_bin int, height_bin int, dh double")
+    g = rollup.downscale_profile(s, h, "cid", "time_bin", "dh", "tile", "height_bin", "area", by=["mission"])
+    assert g.count() == 300 and all(abs(r.dh - (r.cid % 2 + r.time_bin + 2 / 3)) < 1e-12 for r in g.collect())
+    assert "REPARTITION_BY_NUM" in g._jdf.queryExecution().executedPlan().toString()
