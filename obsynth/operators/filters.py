@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.numeric import col
+from ..session import cut_lineage
 from .robust import group_median
 
 
@@ -47,8 +48,9 @@ def canopy_filter(df: DataFrame, canopy: DataFrame, max_height: float = 1.0, key
 
 
 def quality_filter(df: DataFrame, missions: DataFrame, unfiltered_missions: tuple[str, ...] = ()) -> DataFrame:
-    """Apply the quality flag where the product asks for it or the source variant is unfiltered (FLT6)."""
-    j = df.join(missions.select("mission", "apply_quality_filter"), "mission", "left")
+    """Apply the quality flag where the product asks for it or the source variant is unfiltered (FLT6).  The few
+    missions are written, so the planner knows their size and no row is shuffled to them."""
+    j = df.join(cut_lineage(missions.select("mission", "apply_quality_filter")), "mission", "left")
     need = F.coalesce("apply_quality_filter", F.lit(False))
     if unfiltered_missions:
         need = need | F.col("mission").isin(*unfiltered_missions)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import decimal_year
 from ..functions.models import amplitude, annual_terms, phase_day, phase_month
 from ..functions.numeric import bin_center, bin_index, col
-from .robust import let, reduce_bins
+from .robust import let, medians_of_many
 
 TIME_ORIGIN = 2000.0  # integer, so the annual terms keep their phase
 
@@ -156,7 +156,7 @@ def curvature_coefficients(df: DataFrame, keys: list[str], curvature: str, value
     n_bins = int(round((hi - lo) / width))
     d = df.where(F.col(value).isNotNull() & F.col(curvature).isNotNull())
     d = d.withColumn("_bin", bin_index(curvature, lo, width)).where(F.col("_bin").between(0, n_bins - 1))
-    b = reduce_bins(d, [*keys, "_bin"], value, "median", "_m").withColumnRenamed("nobs", "_n").withColumn("_c", bin_center("_bin", lo, width))
+    b = medians_of_many(d, [*keys, "_bin"], value, "_m").withColumnRenamed("nobs", "_n").withColumn("_c", bin_center("_bin", lo, width))
     powers = {"q0": F.lit(1.0)}
     for k in range(1, degree + 1):
         powers[f"q{k}"] = F.pow(F.col("_c"), F.lit(float(k)))
@@ -166,13 +166,17 @@ def curvature_coefficients(df: DataFrame, keys: list[str], curvature: str, value
 
 def curvature_correct(df: DataFrame, off_mask: DataFrame, keys: list[str], curvature: str, value: str, **axis) -> DataFrame:
     """Subtract the polynomial bias estimated on ``off_mask`` rows; unfitted groups are unchanged (FIT5)."""
-    fit = curvature_coefficients(off_mask, keys, curvature, value, **axis)
+    return curvature_subtract(df, curvature_coefficients(off_mask, keys, curvature, value, **axis), keys, curvature, value)
+
+
+def curvature_subtract(df: DataFrame, fit: DataFrame, keys: list[str], curvature: str, value: str, out: str | None = None) -> DataFrame:
+    """``out`` (else ``value`` itself) without the polynomial of ``curvature_coefficients``."""
     names = [c for c in fit.columns if c.startswith("q")]
     j = df.join(fit.select(*keys, *names), keys, "left")
     bias = F.col(names[-1])
     for c in reversed(names[:-1]):
         bias = bias * F.col(curvature) + F.col(c)
-    return j.withColumn(value, F.col(value) - F.coalesce(bias, F.lit(0.0))).drop(*names)
+    return j.withColumn(out or value, F.col(value) - F.coalesce(bias, F.lit(0.0))).drop(*names)
 
 
 EQUILIBRIUM = ("1979-01-01", "2000-01-01")  # fixed value: the period in which ice bodies count as steady, both ends included

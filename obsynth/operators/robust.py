@@ -9,6 +9,7 @@ are combined before the shuffle, and a group's values outside the brackets are o
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -20,6 +21,7 @@ from ..session import cut_lineage
 ACCURACY = 2000  # of the sketch; its ranks are off by a two-thousandth at most
 MARGIN = 0.002  # of a bracket on either side of a rank, as a share of the group
 MAD_TO_SIGMA = 1.4826  # fixed value
+MOST_TOGETHER = 1 << 18  # rows dealt out as one that meet in one task
 
 
 def same_keys(df: DataFrame, other: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -34,18 +36,20 @@ def _values(df: DataFrame, keys: list[str], value: str | Column) -> DataFrame:
     return df.select(*keys, col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
 
 
-def _sketch(d: DataFrame, keys: list[str], probs: list[float]) -> DataFrame:
+def _sketch(d: DataFrame, keys: list[str], probs: list[float], accuracy: int = ACCURACY) -> DataFrame:
     """keys, the count ``_n`` and approximate quantiles ``_q``."""
-    return d.groupBy(*keys).agg(F.count("_v").alias("_n"), F.percentile_approx("_v", [min(max(float(p), 0.0), 1.0) for p in probs], ACCURACY).alias("_q"))
+    return d.groupBy(*keys).agg(F.count("_v").alias("_n"), F.percentile_approx("_v", [min(max(float(p), 0.0), 1.0) for p in probs], accuracy).alias("_q"))
 
 
-def _quantiles(d: DataFrame, keys: list[str], probs: dict[str, float]) -> DataFrame:
-    """Quantiles of ``_v``: one read for the sketch and one for the counts."""
+def _quantiles(d: DataFrame, keys: list[str], probs: dict[str, float], rough: int = 1, table: bool = False) -> DataFrame:
+    """Quantiles of ``_v``: one read for the sketch and one for the counts.  ``rough`` makes the sketch so many times
+    smaller and the brackets wider.  With ``table`` the brackets are written first: the planner knows their size
+    and sends few of them to the rows, where it would else deal out all rows."""
     k = len(probs)
-    brackets = _sketch(d, keys, [p + m for p in probs.values() for m in (-MARGIN, MARGIN)])
+    brackets = _sketch(d, keys, [p + m for p in probs.values() for m in (-MARGIN * rough, MARGIN * rough)], ACCURACY // rough)
     lows, highs = [f"_a{i}" for i in range(k)], [f"_z{i}" for i in range(k)]
     brackets = brackets.select(*keys, "_n", *(F.col("_q")[2 * i].alias(lows[i]) for i in range(k)), *(F.col("_q")[2 * i + 1].alias(highs[i]) for i in range(k)))
-    x, v = same_keys(d, brackets, keys), F.col("_v")
+    x, v = same_keys(d, cut_lineage(brackets) if table else brackets, keys), F.col("_v")
     inside = [v.between(F.col(a), F.col(z)) for a, z in zip(lows, highs, strict=True)]
     some = inside[0]
     for i in inside[1:]:
@@ -87,6 +91,16 @@ def group_quantiles(df: DataFrame, keys: list[str], value: str | Column, probs:
     return _quantiles(_values(df, keys, value), keys, probs)
 
 
+def medians_of_many(df: DataFrame, keys: list[str], value: str | Column, name: str = "median") -> DataFrame:
+    """keys, ``number`` of the group, exact median and ``nobs`` of groups that are few beside their rows.  The groups are
+    a table, one row each, and so are their brackets: no row is shuffled, and rows are sorted by a number."""
+    d = _values(df, keys, value)
+    groups = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("nobs"))
+    groups = cut_lineage(groups.withColumn("number", F.row_number().over(W.orderBy(*keys)).cast("long")))
+    numbered = same_keys(d, groups.select(*keys, "number"), keys).select("number", "_v")
+    return groups.join(_quantiles(numbered, ["number"], {name: 0.5}, rough=8, table=True), "number")
+
+
 def group_median(df: DataFrame, keys: list[str], value: str | Column, name: str = "median") -> DataFrame:
     return group_quantiles(df, keys, value, {name: 0.5})
 
@@ -176,3 +190,44 @@ def reduce_bins_methods(df: DataFrame, keys: list[str], value: str, methods: lis
     got = _reduced(_values(df, keys, value), keys, methods, names)
     made = F.array(*(F.struct(F.lit(m).alias("method"), F.col(n).alias(value)) for m, n in zip(methods, names, strict=True)))
     return got.select(*keys, "nobs", F.explode(made).alias("_m")).select(*keys, "_m.method", f"_m.{value}", "nobs")
+
+
+def _middle(a: Column) -> Column:
+    """The median of a sorted array without nulls."""
+    n = F.size(a)
+    low, high = F.get(a, ((n - 1) / 2).cast("int")), F.get(a, (n / 2).cast("int"))
+    return low + 0.5 * (high - low)
+
+
+def _array_reducer(method: str, a: Column, median: Column, mad: Column) -> Column:
+    """One of ``_reducers`` over the values of a group as an array."""
+    mean = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v) / F.size(x)
+    how = bin_reducer(method)
+    if how == "median":
+        return median
+    if how == "mean":
+        return mean(a)
+    keep = F.filter(a, lambda v: (F.abs(v - median) < how * MAD_TO_SIGMA * mad) | (v == median))
+    return let(keep, lambda k: F.when(F.size(k) > 0, mean(k)).otherwise(median))
+
+
+def reduce_cells(df: DataFrame, deal: list[str], spread: Callable[[DataFrame], DataFrame], cell: str, value: str, methods: list[str]) -> DataFrame:
+    """``reduce_bins_methods(spread(df), [cell, *deal], ...)`` for many small cells, where ``spread`` makes several rows
+    of one and numbers the cells by a long; a number has one ``deal``.  The rows of ``df`` are shuffled once, by ``deal``,
+    and spread out and sorted where their cells lie; a cell's values then are one array.  Rows of a ``deal`` of more
+    than MOST_TOGETHER do not meet in one task, their cells are found by sketches and counts."""
+    keys, a = [cell, *deal], F.col("_a")
+    full = cut_lineage(df.groupBy(*deal).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > MOST_TOGETHER).select(*deal))
+    some = not full.isEmpty()
+    d = _values(spread((same_keys(df, full, deal, "left_anti") if some else df).repartition(*deal)), keys, value)
+    # sorted by one number, which is cheap; the aggregate sorts by all keys and finds them in order
+    cells = d.sortWithinPartitions(cell).groupBy(*keys).agg(F.sort_array(F.collect_list("_v")).alias("_a"))
+
+    def made(median: Column, mad: Column) -> Column:
+        return F.array(*(F.struct(F.lit(m).alias("method"), _array_reducer(m, a, median, mad).alias(value)) for m in methods))
+
+    out = let(_middle(a), lambda m: let(_middle(F.sort_array(F.transform(a, lambda v: F.abs(v - m)))), lambda mad: made(m, mad)))
+    cells = cells.select(*keys, F.size(a).cast("long").alias("nobs"), F.explode(out).alias("_m")).select(*keys, "_m.method", f"_m.{value}", "nobs")
+    if some:
+        cells = cells.unionByName(reduce_bins_methods(spread(same_keys(df, full, deal, "left_semi")), keys, value, methods))
+    return cells

@@ -3,10 +3,11 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from obsynth.catalog import plan_queries
 from obsynth.catalog.all import QUERIES
-from obsynth.operators import bands, rollup, spatial
+from obsynth.operators import bands, filters, robust, rollup, spatial
 from obsynth.plans import binning
 from plan_text import below
 
@@ -75,6 +76,40 @@ def test_stages_write_what_is_read_several_times(spark, monkeypatch):
     assert len(tables) == 4  # the points of the query, points with surfaces, variants
 
 
+def test_binning_stage_writes_points_once(spark, monkeypatch):
+    """All tables together hold little more rows than there are points, and the cells take one shuffle."""
+    tables = []
+    for module in (plan_queries, binning, filters, robust):
+        monkeypatch.setattr(module, "cut_lineage", lambda df, f=module.cut_lineage: tables.append(f(df)) or tables[-1])
+    got = QUERIES["binning_stage"](spark, DATA)
+    n = spark.read.parquet(f"{DATA}/lineitem.parquet").count()
+    assert n < sum(t.count() for t in tables) < 1.1 * n
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plan
+
+
+@pytest.mark.parametrize("together", [1 << 18, 25, 0])
+def test_cells_of_dealt_rows(spark, monkeypatch, together):
+    """Cells found in one place, and those of deals too large for it, are those of the plain operator."""
+    monkeypatch.setattr(robust, "MOST_TOGETHER", together)
+    rng, methods = np.random.default_rng(8), ["median", "mean", "nmad1", "nmad5"]
+    odd = [(None, 0, 1.5), (None, 0, -9.0), ("b", 1, float("nan")), ("b", 1, None), ("c", 2, 7.0), ("d", 0, float("nan"))]
+    same = [("e", 0, 2.0)] * 9 + [("e", 0, 50.0)]
+    d = spark.createDataFrame([("a", int(k), float(x)) for k, x in zip(rng.integers(0, 4, 40), rng.normal(0, 9, 40).round(1))] + odd + same, "place string, k int, v double")
+    spread = lambda d: d.withColumn("t", F.explode(F.array(F.lit(0), F.lit(1)))).select("place", (F.hash("place").cast("long") * 100 + F.col("k") * 2 + F.col("t")).alias("cell"), (F.col("v") * (1 + F.col("t"))).alias("v"))
+    got = {(r.place, r.cell, r.method): (r.v, r.nobs) for r in robust.reduce_cells(d, ["place"], spread, "cell", "v", methods).collect()}
+    want = {(r.place, r.cell, r.method): (pytest.approx(r.v, rel=1e-12), r.nobs) for r in robust.reduce_bins_methods(spread(d), ["cell", "place"], "v", methods).collect()}
+    assert len(got) == 4 * 2 * 7 and got == want
+
+
+def test_medians_of_few_groups_meet_rows_where_they_lie(spark):
+    rng = np.random.default_rng(9)
+    p = pd.DataFrame({"a": rng.choice(["x", "y"], 4000), "b": rng.integers(0, 3, 4000), "v": rng.standard_cauchy(4000).round(2)})
+    d = spark.createDataFrame(p.values.tolist() + [[None, 0, 1.0], [None, 0, 2.0], ["z", 0, float("nan")]], "a string, b long, v double")
+    got = {(r.a, r.b): (r.median, r.nobs) for r in robust.medians_of_many(d, ["a", "b"], "v").collect()}
+    assert got == {k: (pytest.approx(g.v.median()), len(g)) for k, g in p.groupby(["a", "b"])} | {(None, 0): (1.5, 2)}
+
+
 def band_rows(p, q, edges):
     """n, s, c by year, id of q and band, from all pairs of q and p."""
     out = {}
